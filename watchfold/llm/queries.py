@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import langid, linededup, minhash, mixing, packing
+from . import ann, langid, linededup, minhash, mixing, packing, pii, quotes, topk, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_entities")
+
+
 @query
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
@@ -34,6 +39,45 @@ def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_systematic_mix"] = f"WITH docs AS (SELECT doc_id, text, source FROM documents), {mixing.REPORT_SQL} SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM mixed"
 
 
+@query
+def op3_tiled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), query_divisor=100)
+
+
+SQL["op3_tiled_topk"] = """
+WITH valid AS (
+  SELECT vec_id, min(embedding) AS embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  GROUP BY vec_id),
+whole AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM valid),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("row.conv_id", "row.turn", "row.role", "quotes", "linked", "reply_to", "thread", "depth", "position", F.md5("body").alias("body_md5"))
+
+
+@query
+def op5_rarest_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+SQL["op5_rarest_token_rules"] = urls.REPORT_SQL
+
+
+@query
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), query_divisor=20)
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
