@@ -7,10 +7,11 @@ into one bin of its own, so that every bin fills. Each bin then agrees for two s
 similarity, with the concentration of independent samples, at a cost near that of one pass over the set.
 
 Documents with equal sets are one class from the start. Classes that agree in a whole band of ROWS bins meet in a
-bucket. In a bucket all classes are compared with a pivot; those that are then in one component need no further
-comparison, and only buckets that still hold several components go on, with further pivots, until each pair of a
-bucket was compared or is connected. So a bucket of many copies costs its length, not its square, and no pair is
-dropped. Every comparison is exact, on full sets.
+bucket. In a bucket all classes are compared with a pivot, the one with the least shingles of its own. Those that are
+then in one component need no further comparison; in buckets that still hold several, what is not in the first meets
+all that is in another. So a bucket of many copies costs its length, not its square, and no pair is dropped: a pair is
+passed over only if it is connected already, or if the shingles that either shares with any other class are too few for
+the similarity asked for. Every comparison is exact, on full sets.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 
@@ -134,39 +135,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with percent * union <= 100 * intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    na, nb = F.length("set_a") / 8, F.length("set_b") / 8
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    common = F.col("common")
+    na, nb, common = F.length("set_a") / 8, F.length("set_b") / 8, F.col("common")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     return both.withColumn("common", shared("set_a", "set_b")).where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, component) of the classes with links; None if there are none. classes: node, th1, th2, bands."""
+def occurrences(sets: DataFrame) -> DataFrame:
+    """(node, n, c): the size of each set, and how many of its shingles are in any other set too."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                own = batch[a : a + 500]
+                parts = [np.frombuffer(x, np.int64) for x in own["set"]]
+                yield pd.DataFrame({"shingle": np.concatenate(parts), "node": np.repeat(own["node"].to_numpy(), [len(x) for x in parts])})
+
+    alone = sets.mapInPandas(spread, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    lone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    return sets.select("node", (F.length("set") / 8).cast("long").alias("n")).join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c"))
+
+
+def can_link(percent: int, n: str, c: str, n2: str, c2: str):
+    """Whether two sets may be alike enough: what they share is no more than what either shares with any other set."""
+    return (100 + percent) * F.least(F.col(c), F.col(c2)) >= percent * (F.col(n) + F.col(n2))
+
+
+def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes with links. classes: node, th1, th2, bands."""
     spread = classes.select("node", F.explode("bands").alias("bucket"))
-    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").drop("n")
-    members = checkpointed(spread.join(several, "bucket"))
-    wanted = members.select("node").distinct().join(classes.select("node", "th1", "th2"), "node")
+    several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = checkpointed(spread.join(several, "bucket"))
+    wanted = met.select("node").distinct().join(classes.select("node", "th1", "th2"), "node")
     sets = checkpointed(full_sets(docs, wanted, width))
-    links = checkpointed(verified(members.where("node != a").select("a", F.col("node").alias("b")).distinct(), sets, percent))
-    if links.isEmpty():
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    else:
-        labels = components(links)
-    rest, pivots = members.where("node > a").drop("a"), 8
-    while True:
-        named = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        rest = checkpointed(named.join(mixed, "bucket"))
-        if rest.isEmpty():
-            return labels
-        first = rest.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("rn") <= pivots)
-        pivot = first.select("bucket", F.col("node").alias("a"), F.col("component").alias("of"))
-        pairs = rest.join(pivot, "bucket").where("node > a AND component != of").select("a", F.col("node").alias("b")).distinct()
-        new = checkpointed(verified(pairs, sets, percent))
-        if not new.isEmpty():
-            labels = components(new.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
-        last = pivot.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest, pivots = rest.drop("component").join(last, "bucket").where("node > last").drop("last"), min(64, 4 * pivots)
+    # nodes in a new order: those that share most of their shingles first, as they make the best pivots
+    known = occurrences(sets).where(100 * F.col("c") >= percent * F.col("n")).withColumn("own", 1 - F.col("c") / F.col("n"))
+    ranked = checkpointed(known.repartitionByRange("own", "node").sortWithinPartitions("own", "node").withColumn("id", F.monotonically_increasing_id()))
+    members = checkpointed(met.join(ranked, "node").select("bucket", F.col("id").alias("node"), "n", "c"))
+    sets = sets.join(ranked.select("node", "id"), "node").select(F.col("id").alias("node"), "set")
+    sizes = ranked.select("id", "n", "c")
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = members.join(pivots, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sizes.toDF("a", "na", "ca"), "a").join(sizes.toDF("b", "nb", "cb"), "b").where(can_link(percent, "na", "ca", "nb", "cb"))
+    links = checkpointed(verified(pairs, sets, percent))
+    labels = components(links)
+    # what is not in its bucket's first component meets all that is in another
+    named = checkpointed(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = named.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").drop("last")
+    rest = named.join(first, "bucket")
+    others = rest.where("component != first").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("component").alias("of"))
+    apart = (F.col("component") != F.col("of")) & ((F.col("component") == F.col("first")) | (F.col("node") < F.col("a")))
+    pairs = rest.join(others, "bucket").where(apart & can_link(percent, "n", "c", "na", "ca")).select("a", F.col("node").alias("b")).distinct()
+    more = checkpointed(verified(pairs, sets, percent))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    return labels.join(ranked.select(F.col("node").alias("class"), "id"), F.col("node") == F.col("id")).select(F.col("class").alias("node"), "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,7 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("th1", "th2")).alias("th"), F.first("bands").alias("bands"))
     classes = checkpointed(classes.select("f1", "f2", "th.th1", "th.th2", "bands", F.monotonically_increasing_id().alias("node")))
     labels = linked(docs, classes, width, percent)
-    component = classes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    # components are named by ids of the linked classes; other classes by their own, below 0
+    component = classes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", -F.col("node") - 1).alias("component"))
     rows_ = signed.drop("bands").join(component, ["f1", "f2"], "left")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th1", "th2")
     firsts = rows_.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("first"))
