@@ -65,7 +65,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     units = F.array_distinct(F.concat(passages(F.col("said")), F.array(normalised(F.col("said"))), wordy(F.col("said"))))
     return (
         rows.withColumn("said", said)
-        .withColumn("body", F.when(F.col("text").isNotNull(), F.when(F.col("depth") > 0, F.trim(F.regexp_replace(kept, r"\n{3,}", "\n\n"))).otherwise(F.col("text"))))
+        .withColumn("body", F.when(F.col("text").isNotNull(), F.when(F.col("depth") > 0, F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(F.col("text"))))
         .withColumn("quotes", quotes)
         .withColumn("units", F.transform(F.filter(units, lambda u: u != ""), hashed))
         .select("row", *CONV, "key", "body", "quotes", "units")
