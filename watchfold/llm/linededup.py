@@ -151,6 +151,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with their texts deduplicated; documents that lost all their lines go."""
-    done = dedup_lines(docs, min_words).where("NOT (deleted > 0 AND deleted = lines)")
+    """docs with their texts deduplicated; documents that lost all their words go."""
+    done = dedup_lines(docs, min_words).where((F.col("deleted") == 0) | F.col("text").rlike(WORD) | F.col("text").isNull())
     return done.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
