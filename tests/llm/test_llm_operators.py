@@ -328,6 +328,15 @@ def test_language_accuracy_and_odd(spark):
     assert langid.identify(documents(spark, EMPTY)).count() == 0
 
 
+def test_language_lengths_do_not_depend_on_slices(spark, monkeypatch):
+    model = langid.learn(documents(spark, [(k, "the cat sat on the mat and the hat", "a", "en") for k in range(9)]))
+    texts = [b"the cat", b"x" * 50, "zürich".encode(), b"a", b"the mat sat on"] * 3
+    whole = model.lengths(texts)
+    for size in (1, 2, 7, 40):
+        monkeypatch.setattr(langid, "SLICE", size)
+        np.testing.assert_allclose(model.lengths(texts), whole)
+
+
 def brute_bits(train, text):
     """PPM of one language by dictionaries, byte by byte."""
     counts = defaultdict(lambda: defaultdict(int))

@@ -127,11 +127,13 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         for k in range(0, len(owner), SLICE):
             own, part = owner[k : k + SLICE], data[k : k + SLICE + ORDER]
-            cost, first = self.cost(grams(part, ORDER), ORDER), max(own.min(), 0)
-            cost[own < 0] = 0
-            own = np.maximum(own, first) - first
+            inside = np.flatnonzero(own >= 0)
+            if not len(inside):
+                continue
+            first, last = own[inside[0]], own[inside[-1]]
+            cost = self.cost(grams(part, ORDER)[inside], ORDER)
             for x in range(len(self.langs)):
-                out[first : first + own[-1] + 1, x] += np.bincount(own, cost[:, x], own[-1] + 1)
+                out[first : last + 1, x] += np.bincount(own[inside] - first, cost[:, x], last - first + 1)
         return out
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
