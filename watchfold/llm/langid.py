@@ -166,9 +166,11 @@ class Model:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the labelled documents that are not held out."""
     labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    per_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    # a row for each language, as the model itself has
+    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(per_lang.items()) for x in (lang, sample_docs / n)]) if per_lang else F.lit(None)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(per_lang, "lang").where(draw < F.lit(float(sample_docs)) / F.col("docs")).where("text IS NOT NULL")
+    sample = labelled.where(draw < (share[F.col("lang")] if per_lang else F.lit(0.0))).where("text IS NOT NULL")
     counted = (
         sample.select("lang", "text")
         .mapInPandas(count_grams, "lang string, ord int, key long, n long")
