@@ -100,6 +100,8 @@ def embedding(df: DataFrame, vector: str = "scaled", k: int = 64, out: str = "em
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if df.limit(2).count() < 2:  # no components
+        return df.withColumn(out, F.transform(vector, lambda _: F.lit(0.0)))
     raw = df.withColumn("__v", array_to_vector(vector))
     size = raw.select(F.size(vector).alias("n")).first()["n"]
     model = PCA(k=min(k, size), inputCol="__v", outputCol="__p").fit(raw)
@@ -111,6 +113,8 @@ def reconstruction_error(df: DataFrame, vector: str = "scaled", k: int = 8, out:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
+    if df.limit(2).count() < 2:  # no components
+        return df.withColumn(out, F.lit(0.0))
     raw = df.withColumn("__v", array_to_vector(vector))
     size = raw.select(F.size(vector).alias("n")).first()["n"]
     axes = PCA(k=min(k, size), inputCol="__v", outputCol="__p").fit(raw).pc.toArray()
