@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Rows up to which a dimension is sent to all executors.
 BROADCAST_ROWS = 200_000
 
@@ -114,7 +116,7 @@ def min_max(df: DataFrame, columns: list[str], epsilon: float = 1e-8) -> DataFra
 def rank_percentile(df: DataFrame, column: str, tie: str, name: str = "rank_percentile") -> DataFrame:
     """Place by column over the number of rows. Partitions of a range sort are numbered and then offset, so no task sees all rows."""
     ordered = df.repartitionByRange(column, tie).sortWithinPartitions(column, tie)
-    placed = ordered.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}).persist()
+    placed = checkpointed(ordered.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("__before", before).withColumn("__all", F.sum("__n").over(Window.partitionBy()))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, text, timeops
 from .operators import graph, labels, people, scoring, sequences, shaping, user_day
 from .plans import pipelines
-from .session import ship
+from .session import checkpoint_folder, ship
 from .sources import adapters as views
 from .sources import logs as readers
 from .streaming import live
@@ -674,8 +673,7 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream of all files at hand yields, written by its batches to a shared folder."""
     spark = stream.sparkSession
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = f"{shared.get() if shared.isDefined() else tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/out")
     live.write_available(stream, f"{folder}/state", mode).foreachBatch(write).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
