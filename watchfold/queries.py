@@ -667,6 +667,53 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ensemble(scored).select("user", *names)
 
 
+@query("ev", f"""SELECT "user", date, CAST(after_hours_ratio > .3 AS INTEGER) AS high_after_hours, least(emails_sent / (logon_count + 1.0), 100.0) AS email_per_logon FROM {RISK}""", "email_per_logon")
+def late_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rows(spark, sf_dir).select("user", "date", "high_after_hours", "email_per_logon")
+
+
+# Calendars over orders, and event-time sessions
+
+
+ORDER_HOLIDAYS = tuple(f"{year}-{day}" for year in range(1990, 2001) for day in ("01-01", "07-04", "12-25"))
+
+
+@query(None, f"""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') IN {ORDER_HOLIDAYS} AS is_holiday, CAST(day(o_orderdate) AS INTEGER) AS day_of_month, CAST(last_day(o_orderdate) AS DATE) AS month_end,
+  hour(o_orderdate) < 18 AND isodow(o_orderdate) <= 5 AND NOT strftime(o_orderdate, '%Y-%m-%d') IN {ORDER_HOLIDAYS} AS works, CAST(strftime(o_orderdate, '%Y-%m-01') AS DATE) AS month FROM orders""")
+def holiday_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("o_orderdate")
+    return views.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), timeops.is_holiday(t, ORDER_HOLIDAYS).alias("is_holiday"), F.dayofmonth(t).alias("day_of_month"), F.last_day(t).alias("month_end"),
+        timeops.is_working_hours(t, start=0, holidays=ORDER_HOLIDAYS).alias("works"), timeops.parse_month(F.date_format(t, "yyyy-MM")).alias("month"),
+    )
+
+
+@query(None, """SELECT o_custkey AS id, CAST(last_day(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH))) AS DATE) AS snapshot FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1)""")
+def month_end_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return timeops.month_ends(spans, "a", "b").select("id", "snapshot")
+
+
+@query("ev truth", f"""SELECT d."user", d.date, n, CAST(coalesce(is_insider, 0) AS SMALLINT) AS is_insider, coalesce(threat_type, 'none') AS threat_type FROM {DAILY} d LEFT JOIN (SELECT "user", CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS date, 1 AS is_insider, CAST(scenario AS VARCHAR) AS threat_type FROM truth) t ON d."user" = t."user" AND d.date = t.date""")
+def attached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = labels.expanded(views.intervals(spark, sf_dir)).withColumn("is_insider", F.lit(1).cast("smallint"))
+    return labels.attached(daily_counts(spark, sf_dir).select("user", "date", "n"), days)
+
+
+@query("ev", """SELECT min(timestamp) AS start, max(timestamp) + INTERVAL 30 MINUTE AS "end", "user", count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY "user" ORDER BY timestamp, id) AS g FROM (
+  SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY "user" ORDER BY timestamp, id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM ev)) GROUP BY "user", g""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = views.events(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return live.session_windows(events).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("ev http", f"""SELECT domain, CAST(place AS INTEGER) AS place, CAST(place = CASE WHEN contains(domain, 'blog') THEN {graph.DOMAIN_CATEGORIES.index("blog")} ELSE -1 END AS DOUBLE) AS hot FROM (SELECT DISTINCT domain FROM http), (SELECT unnest(generate_series(0, 30)) AS place)""")
+def category_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.when(F.contains("domain", F.lit("blog")), F.lit(graph.DOMAIN_CATEGORIES.index("blog"))).otherwise(F.lit(-1))
+    rows = views.http(spark, sf_dir).select("domain").distinct().withColumn("v", graph.one_hot(place))
+    return rows.select("domain", F.posexplode("v").alias("place", "hot"))
+
+
 # Streams: the given events replayed, until all of them are through
 
 
