@@ -10,8 +10,8 @@ Documents with equal sets are one class from the start. Classes that agree in a
 bucket. In a bucket all classes are compared with a pivot, the one with the least shingles of its own. Those that are
 then in one component need no further comparison; in buckets that still hold several, what is not in the first meets
 all that is in another. So a bucket of many copies costs its length, not its square, and no pair is dropped: a pair is
-passed over only if it is connected already, or if the shingles that either shares with any other class are too few for
-the similarity asked for. Every comparison is exact, on full sets.
+passed over only if it is connected already, or if a bound on what it shares (from what each shares with any other class,
+and with the bucket's pivot) is too low for the similarity asked for. Every comparison is exact, on full sets.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 
@@ -131,13 +131,13 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with percent * union <= 100 * intersection."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with common, the size of their intersection, and alike: percent * union <= 100 * common."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     na, nb, common = F.length("set_a") / 8, F.length("set_b") / 8, F.col("common")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.withColumn("common", shared("set_a", "set_b")).where(100 * common >= percent * (na + nb - common)).select("a", "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", shared("set_a", "set_b"))
+    return both.select("a", "b", "common", (100 * common >= percent * (na + nb - common)).alias("alike"))
 
 
 def occurrences(sets: DataFrame) -> DataFrame:
@@ -155,9 +155,16 @@ def occurrences(sets: DataFrame) -> DataFrame:
     return sets.select("node", (F.length("set") / 8).cast("long").alias("n")).join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c"))
 
 
-def can_link(percent: int, n: str, c: str, n2: str, c2: str):
-    """Whether two sets may be alike enough: what they share is no more than what either shares with any other set."""
-    return (100 + percent) * F.least(F.col(c), F.col(c2)) >= percent * (F.col(n) + F.col(n2))
+def can_link(percent: int, n: str, c: str, n2: str, c2: str, i: str | None = None, i2: str | None = None):
+    """Whether two sets may be alike enough, by a bound on what they share.
+
+    That is no more than what either shares with any other set (c). If i and i2 are what they share with a third set,
+    it is no more than the lesser of these and the lesser of what is left to each outside that set.
+    """
+    most = F.least(c, c2)
+    if i is not None:
+        most = F.when(F.col(i).isNotNull() & F.col(i2).isNotNull(), F.least(i, i2) + F.least(F.col(c) - F.col(i), F.col(c2) - F.col(i2))).otherwise(most)
+    return (100 + percent) * most >= percent * (F.col(n) + F.col(n2))
 
 
 def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -174,18 +181,22 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     sets = sets.join(ranked.select("node", "id"), "node").select(F.col("id").alias("node"), "set")
     sizes = ranked.select("id", "n", "c")
     pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = members.join(pivots, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    members = checkpointed(members.join(pivots, "bucket"))
+    pairs = members.where("node != a").select("a", F.col("node").alias("b")).distinct()
     pairs = pairs.join(sizes.toDF("a", "na", "ca"), "a").join(sizes.toDF("b", "nb", "cb"), "b").where(can_link(percent, "na", "ca", "nb", "cb"))
-    links = checkpointed(verified(pairs, sets, percent))
+    scored = checkpointed(measured(pairs, sets, percent))
+    links = scored.where("alike").select("a", "b")
     labels = components(links)
     # what is not in its bucket's first component meets all that is in another
-    named = checkpointed(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    known = scored.select("a", F.col("b").alias("node"), F.col("common").alias("i"))
+    named = members.join(labels, "node", "left").join(known, ["a", "node"], "left")
+    named = checkpointed(named.select("bucket", "node", "n", "c", F.when(F.col("node") == F.col("a"), F.col("n")).otherwise(F.col("i")).alias("i"), F.coalesce("component", "node").alias("component")))
     first = named.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").drop("last")
     rest = named.join(first, "bucket")
-    others = rest.where("component != first").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("component").alias("of"))
+    others = rest.where("component != first").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"), F.col("component").alias("of"))
     apart = (F.col("component") != F.col("of")) & ((F.col("component") == F.col("first")) | (F.col("node") < F.col("a")))
-    pairs = rest.join(others, "bucket").where(apart & can_link(percent, "n", "c", "na", "ca")).select("a", F.col("node").alias("b")).distinct()
-    more = checkpointed(verified(pairs, sets, percent))
+    pairs = rest.join(others, "bucket").where(apart & can_link(percent, "n", "c", "na", "ca", "i", "ia")).select("a", F.col("node").alias("b")).distinct()
+    more = checkpointed(measured(pairs, sets, percent)).where("alike").select("a", "b")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return labels.join(ranked.select(F.col("node").alias("class"), "id"), F.col("node") == F.col("id")).select(F.col("class").alias("node"), "component")
