@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder, checkpointed  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,21 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where none is set (as in tests) one is made."""
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return checkpoint_folder(spark)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read back, which cuts its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
