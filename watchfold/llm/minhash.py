@@ -36,7 +36,7 @@ from .components import components
 
 BANDS, ROWS = 32, 5
 #: Words whose hashes a task keeps.
-CACHE = 1_000_000
+CACHE = 500_000
 GOLDEN = 0x9E3779B97F4A7C15
 WIDTH = 2
 PERCENT = 80

@@ -33,7 +33,7 @@ END_ID = 0
 PART_PIECES = 32_768
 ROUNDS = 3
 #: Entries that the cache of a tokenizer keeps.
-CACHE = 400_000
+CACHE = 250_000
 #: Texts that are encoded whole: with white space besides the blank and the line feed, or a special token's name.
 ODD = re.compile(r"[^\S \n]|<\|endoftext\|>")
 #: Up to here libraries agree on what a letter is.
