@@ -25,5 +25,6 @@ def components(links: DataFrame) -> DataFrame:
         links = checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            both = F.array(*[F.struct(F.col(x).alias("node"), F.col("v").alias("component")) for x in ("u", "v")])
+            return checkpointed(links.select(F.explode(both).alias("x")).select("x.node", "x.component").distinct())
         before = now

@@ -10,8 +10,8 @@ Documents with equal sets are one class from the start. Classes that agree in a
 bucket. In a bucket all classes are compared with a pivot, the one with the least shingles of its own. Those that are
 then in one component need no further comparison; in buckets that still hold several, what is not in the first meets
 all that is in another. So a bucket of many copies costs its length, not its square, and no pair is dropped: a pair is
-passed over only if it is connected already, or if a bound on what it shares (from what each shares with any other class,
-and with the bucket's pivot) is too low for the similarity asked for. Every comparison is exact, on full sets.
+passed over only if it is connected already, or if the shingles that either shares with any other class are too few for
+the similarity asked for. Every comparison is exact, on full sets.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 
@@ -35,6 +35,8 @@ from .common import checkpointed, text_key
 from .components import components
 
 BANDS, ROWS = 32, 5
+#: Sets that a task holds at once, and that it streams past them, when what is left of a pivot's buckets is compared.
+TILE, BLOCK = 1024, 4096
 #: Words whose hashes a task keeps.
 CACHE = 500_000
 GOLDEN = 0x9E3779B97F4A7C15
@@ -155,16 +157,73 @@ def occurrences(sets: DataFrame) -> DataFrame:
     return sets.select("node", (F.length("set") / 8).cast("long").alias("n")).join(lone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("c"))
 
 
-def can_link(percent: int, n: str, c: str, n2: str, c2: str, i: str | None = None, i2: str | None = None):
-    """Whether two sets may be alike enough, by a bound on what they share.
+def can_link(percent: int, n: str, c: str, n2: str, c2: str):
+    """Whether two sets may be alike enough: what they share is no more than what either shares with any other set."""
+    return (100 + percent) * F.least(F.col(c), F.col(c2)) >= percent * (F.col(n) + F.col(n2))
 
-    That is no more than what either shares with any other set (c). If i and i2 are what they share with a third set,
-    it is no more than the lesser of these and the lesser of what is left to each outside that set.
+
+class Tile:
+    """Sets of one tile as an inverted index, which yields the intersections of a set with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.sizes = owner[order], np.array([len(x) for x in sets])
+        self.shingles, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+
+    def alike(self, other: np.ndarray, percent: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.shingles, other), len(self.shingles) - 1)
+        at = at[self.shingles[at] == other]
+        sizes = self.ends[at] - self.starts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(other) - common))
+
+
+def settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, of all classes of a pivot's buckets with those outside the buckets' first components.
+
+    rest: bucket, pivot, node, component and first, of buckets with several components. Both sides are dealt in blocks;
+    a task holds one block of the lesser side and streams one of the other past it. It yields no more links than
+    it takes to join what it found alike.
     """
-    most = F.least(c, c2)
-    if i is not None:
-        most = F.when(F.col(i).isNotNull() & F.col(i2).isNotNull(), F.least(i, i2) + F.least(F.col(c) - F.col(i), F.col(c2) - F.col(i2))).otherwise(most)
-    return (100 + percent) * most >= percent * (F.col(n) + F.col(n2))
+    members = rest.select("pivot", "node", "component").distinct()
+    others = rest.where("component != first").select("pivot", "node", "component").distinct()
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys"))
+    sizes = sizes.join(others.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("xs")), "pivot")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = others.join(sizes, "pivot").select("pivot", block("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("kind"), "node", "component")
+    right = members.join(sizes, "pivot").select("pivot", every("xs").alias("x"), block("ys").alias("y"), F.lit(1).alias("kind"), "node", "component")
+    dealt = left.unionByName(right).join(sets, "node").repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y", "kind", "node")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, tile, joined = None, [], None, {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for batch in batches:
+            found = []
+            for pivot, x, y, kind, node, component, data in zip(*(batch[c] for c in ("pivot", "x", "y", "kind", "node", "component", "set")), strict=True):
+                if (pivot, x, y) != now:
+                    now, held, tile, joined = (pivot, x, y), [], None, {}
+                own = np.frombuffer(data, np.uint64)
+                if kind == 0:
+                    held.append((node, component, own))
+                    continue
+                tile = tile or Tile([h[2] for h in held])
+                for k in tile.alike(own, percent):
+                    one, two = root(held[k][1]), root(component)
+                    if one != two:
+                        joined[max(one, two)] = min(one, two)
+                        found.append((held[k][0], node))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.select("pivot", "x", "y", "kind", "node", "component", "set").mapInPandas(compare, "a long, b long")
 
 
 def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,17 +247,11 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     links = scored.where("alike").select("a", "b")
     labels = components(links)
     # what is not in its bucket's first component meets all that is in another
-    known = scored.select("a", F.col("b").alias("node"), F.col("common").alias("i"))
-    named = members.join(labels, "node", "left").join(known, ["a", "node"], "left")
-    named = checkpointed(named.select("bucket", "node", "n", "c", F.when(F.col("node") == F.col("a"), F.col("n")).otherwise(F.col("i")).alias("i"), F.coalesce("component", "node").alias("component")))
+    named = checkpointed(members.join(labels, "node", "left").select("bucket", F.col("a").alias("pivot"), "node", F.coalesce("component", "node").alias("component")))
     first = named.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").drop("last")
-    rest = named.join(first, "bucket")
-    others = rest.where("component != first").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("i").alias("ia"), F.col("component").alias("of"))
-    apart = (F.col("component") != F.col("of")) & ((F.col("component") == F.col("first")) | (F.col("node") < F.col("a")))
-    pairs = rest.join(others, "bucket").where(apart & can_link(percent, "n", "c", "na", "ca", "i", "ia")).select("a", F.col("node").alias("b")).distinct()
-    more = checkpointed(measured(pairs, sets, percent)).where("alike").select("a", "b")
+    more = checkpointed(settled(named.join(first, "bucket"), sets, percent))
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(checkpointed(links.unionByName(more)))
     return labels.join(ranked.select(F.col("node").alias("class"), "id"), F.col("node") == F.col("id")).select(F.col("class").alias("node"), "component")
 
 
