@@ -454,6 +454,26 @@ def test_surrogates_are_distinct(spark):
     assert all(a["text"] == b["text"] for a, b in zip(*[pii.pseudonymise(documents(spark, rows)).orderBy("row.doc_id").collect() for _ in range(2)], strict=True))
 
 
+def test_surrogates_of_full_forms(spark):
+    names = ["Bo", "Co", "Do", "Fo", "Go", "Ho", "Jo", "Ko", "Lo", "Mo", "No", "Po", "Qo", "Ro", "So", "To", "Vo", "Wo", "Xo", "Yo", "Zo"]
+    rows = [(k, f"Mr {x} wrote.") for k, x in enumerate([*names, "Öo", *(x.title() for _, own in pii.LISTS for x in own)])]
+    rows += [(100 + k, f"to {x}@b.com") for k, x in enumerate("aeiou")] + [(200 + k, f"to a@{x}.com") for k, x in enumerate("bcdfghjklmnpqrstvwxyz")]
+    found = pii.found_in(documents(spark, rows))
+    again = {(r["kind"], r["norm"]): r["attempt"] for r in pii.drawn_again(found, "k").collect()}
+    norms = {(r["kind"], r["norm"]) for r in found.select("kind", "norm").distinct().collect()}
+    values = {x: (x[0], pii.surrogate(*x, again.get(x, 0), "k")) for x in norms}
+    listed = {("name", x) for _, own in pii.LISTS for x in own}
+    assert len(set(values.values())) == len(norms) and not set(values.values()) & (norms - listed) and all(x != y for x, y in values.items())
+    assert any(n > pii.TRIES for n in again.values()) and not listed & set(again)
+
+
+def test_lengthened_surrogates():
+    for kind, norm in (("phone", "5558243555"), ("account", "4111111111111111"), ("account", "4111111111111112"), ("ssn", "123456789"), ("iban", "DE12345678"), ("secret", "0a1b2c3d4e5f"), ("secret", "Zz1_2c3d4e5f")):
+        assert len(pii.surrogate(kind, norm, pii.TRIES + 2, "k")) == len(norm) + 2
+    assert pii.luhn(pii.surrogate("account", "4111111111111111", pii.TRIES + 1, "k"))
+    assert pii.written("phone", "55512345678", "(743) 555-3824") == "(555) 123-45678"
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 97, 1000):
         assert sorted(pii.permuted(k, size, "key") for k in range(size)) == list(range(size))

@@ -3,14 +3,16 @@
 Entities (e-mail addresses, phone numbers, IPv4 addresses, account numbers, social security numbers, IBANs, secrets
 behind a keyword, and names behind a form of address) get surrogates of the same kind and form: letters stay letters of their
 script and case, vowels vowels, digits digits; punctuation, country codes, top-level domains, the network class of an
-address and the validity of a check digit stay. Given names of a list move within the list of their gender and script;
-other names keep their last letter, which carries gender in many languages.
+address and the validity of a check digit stay. Given names of a list move within the list of their gender and script, in
+one cycle, so that none stays; other names keep their last letter, which carries gender in many languages.
 
 A surrogate is a keyed permutation (a Feistel network with cycle walking) of all values of the entity's form. So equal
 entities get equal surrogates everywhere, in whatever way they are written, and different ones different surrogates,
 without a table. What a permutation cannot see is checked over the corpus: all distinct entities are gathered, and those
-whose surrogate is itself an entity of the corpus, or that of another entity, draw again until none is left. Only those
-that drew again are joined back to documents; all others are replaced where the text is read.
+whose surrogate is itself an entity of the corpus, or that of another entity, draw again until none is left. After TRIES
+draws the form counts as full, and its values get longer by a character a draw (an IP address leaves its network class),
+which makes room for any number of entities. A listed given name may become another that occurs: the lists are public.
+Only those that drew again are joined back to documents; all others are replaced where the text is read.
 
 Defined results: null texts stay null, texts without entities stay as they are; ties go to the kind listed first, then
 to the longer match; repeated rows are replaced alike; an empty table gives an empty result.
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, text_key
 
 KEY = "surrogates-1"
+#: Draws within an entity's form, before its surrogate may get longer.
 TRIES = 12
+#: Draws after which the run fails, rather than leave a collision: longer values are all free by then, addresses are used up.
+MAX_DRAWS = 64
 #: Texts with an entity that drew again, up to which these are sent to all executors instead of shuffling all texts.
 BROADCAST_TEXTS = 20_000
 VOWELS, CONSONANTS, DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789"
@@ -144,9 +149,41 @@ def respelled(text: str, key: str, valid: Callable[[str], bool] = lambda _: True
             return text
 
 
+def in_cycle(name: str, names: list[str], key: str) -> str:
+    """Another name of the list: a keyed permutation of one cycle."""
+    order = sorted(names, key=lambda x: hashlib.blake2b(f"{key}|{x}".encode(), digest_size=16).digest())
+    return order[(order.index(name) + 1) % len(order)]
+
+
+def lengthened(kind: str, norm: str, more: int, key: str) -> str:
+    """A keyed draw from values that are longer by some characters, for entities whose own form is full."""
+    key = f"{key}|{norm}"
+    if kind == "email":
+        local, _, domain = norm.partition("@")
+        return surrogate(kind, f"{local}{'b' * more}@{domain}", 0, key)
+    if kind == "ip":
+        number = permuted(int.from_bytes(bytes(map(int, norm.split("."))), "big"), 1 << 32, key)
+        return ".".join(map(str, number.to_bytes(4, "big")))
+    if kind == "phone":
+        head = 0 if len(norm) <= 10 else 2
+        return norm[:head] + respelled(norm[head:] + "0" * more, key)
+    if kind == "account":
+        padded = norm + "0" * (more - 1)
+        return respelled(padded + next(d for d in DIGITS if luhn(padded + d) == luhn(norm)), key, lambda x: luhn(x) == luhn(norm))
+    if kind == "name":  # letters of no class would stay, and with them the name
+        return respelled("".join(x if x in CLASS_OF else "b" for x in norm[:-1]) + "b" * more, key) + norm[-1]
+    return surrogate(kind, norm + ("b" if kind == "secret" else "0") * more, 0, key)
+
+
 def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     """The surrogate's normal form."""
     key = f"{key}|{kind}|{attempt}"
+    if kind == "name":
+        for _, names in LISTS:
+            if norm in names:
+                return in_cycle(norm, names, key)
+    if attempt > TRIES:
+        return lengthened(kind, norm, attempt - TRIES, key)
     if kind == "email":
         local, _, domain = norm.partition("@")
         *labels, top = domain.split(".")
@@ -167,9 +204,6 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     if kind == "iban":
         return norm[:2] + respelled(norm[2:].lower(), key).upper()
     if kind == "name":
-        for _, names in LISTS:
-            if norm in names:
-                return names[permuted(names.index(norm), len(names), key)]
         listed = {x for _, names in LISTS for x in names}
         return respelled(norm[:-1], f"{key}|{norm[-1]}", lambda x: x + norm[-1] not in listed) + norm[-1]
     if re.fullmatch("[0-9a-f]+", norm):
@@ -195,7 +229,7 @@ def written(kind: str, value: str, like: str) -> str:
             out.append(x)
         else:
             out.append(next(rest))
-    return "".join(out)
+    return "".join([*out, *rest])
 
 
 def replaced(text: str, attempts: dict[tuple[str, str], int], key: str) -> tuple[str, int]:
@@ -228,7 +262,7 @@ def drawn_again(found: DataFrame, key: str) -> DataFrame:
     real = checkpointed(found.select("kind", "norm").distinct())
     now = real.withColumn("attempt", F.lit(0)).withColumn("value", draw("kind", "norm", "attempt"))
     listed = F.lit([x for _, names in LISTS for x in names])
-    for attempt in range(1, TRIES + 1):
+    for attempt in range(1, MAX_DRAWS + 2):
         now = checkpointed(now)
         taken = real.where(~F.array_contains(listed, F.col("norm"))).select("kind", F.col("norm").alias("value"), F.lit(True).alias("taken"))
         first = now.groupBy("kind", "value").agg(F.min(F.struct("attempt", "norm")).alias("first"))
@@ -236,10 +270,10 @@ def drawn_again(found: DataFrame, key: str) -> DataFrame:
         again = F.coalesce("taken", F.lit(False)) | (F.col("first.norm") != F.col("norm"))
         judged = checkpointed(judged.select("kind", "norm", "attempt", "value", again.alias("again")))
         if judged.where("again").isEmpty():
-            break
+            return now.where("attempt > 0").select("kind", "norm", "attempt")
         redrawn = judged.where("again").withColumn("attempt", F.lit(attempt)).withColumn("value", draw("kind", "norm", "attempt"))
         now = judged.where("NOT again").unionByName(redrawn).drop("again")
-    return now.where("attempt > 0").select("kind", "norm", "attempt")
+    raise ValueError(f"entities are left without a surrogate of their own after {MAX_DRAWS} draws")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
