@@ -444,6 +444,17 @@ def test_surrogates(spark):
     assert pii.pseudonymise(documents(spark, EMPTY)).count() == 0
 
 
+def test_names_are_found_whole():
+    text = "Mrs Laura Weber met Dr. Anna Maria Schmidt-Vogel. Weber said: WEBER, not Webers web. Herr Dr. McDonald and Laura Keller, Lauraville. Schmidt left"
+    found = pii.entities(text)
+    assert [text[e.start : e.end] for e in found] == "Laura Weber Anna Maria Schmidt Vogel Weber WEBER McDonald Laura Keller Schmidt".split()
+    out, number = pii.replaced(text, {}, "k")
+    assert number == 12 and not re.search(r"(?i)\b(Weber|Schmidt|Vogel|McDonald|Keller)\b", out)
+    weber = re.search(r"^Mrs \w+ (\w+) met", out)[1]
+    assert f" {weber} said: {weber.upper()}, not Webers web. Herr Dr. " in out and "Lauraville" in out
+    assert not pii.entities("Anna went home. JoAnna Smith, Paula said, anna Smith")
+
+
 def test_surrogates_are_distinct(spark):
     rows = [(k, f"from 192.168.{k // 256}.{k % 256} to u{k}@x{k % 7}.example.com {1000000000000 + k}") for k in range(1200)]
     found = pii.found_in(documents(spark, rows))

@@ -1,11 +1,14 @@
 """Keyed surrogates for personal data.
 
 Entities (e-mail addresses, phone numbers, IPv4 addresses, account numbers, social security numbers, IBANs, secrets
-behind a keyword, and names behind a form of address) get surrogates of the same kind and form: letters stay letters of their
+behind a keyword, and names) get surrogates of the same kind and form: letters stay letters of their
 script and case, vowels vowels, digits digits; punctuation, country codes, top-level domains, the network class of an
 address and the validity of a check digit stay. Given names of a list move within the list of their gender and script, in
 one cycle, so that none stays; other names keep their last letter, which carries gender in many languages.
 
+A name is the whole run of capitalised words behind a form of address, or a listed given name with those behind it; each
+of its words is then replaced wherever the same document has it with a capital letter.
+
 A surrogate is a keyed permutation (a Feistel network with cycle walking) of all values of the entity's form. So equal
 entities get equal surrogates everywhere, in whatever way they are written, and different ones different surrogates,
 without a table. What a permutation cannot see is checked over the corpus: all distinct entities are gathered, and those
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -49,7 +53,8 @@ GIVEN = {
 }
 LISTS = [(gender, names.lower().split()) for gender, scripts in GIVEN.items() for names in scripts]
 TITLES = {"m": "Mr|Sir|Herr|Señor|Sr|Monsieur|Don|Господин|Г-н", "f": "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Doña|Госпожа|Г-жа"}
-NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]+"
+ADDRESS = rf"(?:{TITLES['m']}|{TITLES['f']}|Dr|Prof)"
+NAME = rf"(?!{ADDRESS}(?!\w))[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]+[^\W\d_]*"
 PATTERNS = (
     ("email", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63})+"), "@"),
     ("secret", re.compile(r"(?i)(?:token|secret|password|api_?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/-]{12,})"), None),
@@ -59,7 +64,10 @@ PATTERNS = (
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), None),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"), None),
 )
-TITLED = re.compile(rf"(?<!\w)(?:(?P<m>{TITLES['m']})|(?P<f>{TITLES['f']})|Dr|Prof)\.? (?P<name>{NAME}(?: {NAME})?)")
+TITLED = re.compile(rf"(?<!\w)(?:{ADDRESS}\.? )+(?P<name>{NAME}(?:[ -]{NAME})*)")
+#: Literals first and what is before them after, by which the search skips to their first letters.
+GIVEN_FIRST = re.compile(rf"(?P<name>(?:{'|'.join(rf'{x}(?<!\w{x})' for _, own in LISTS for x in (y.title() for y in own))})(?:[ -]{NAME})+)")
+WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d[\d .()-]{4}")
 KEYWORD = re.compile(r"(?i)token|secret|password|api_?key")
 
@@ -101,17 +109,18 @@ def entities(text: str) -> list[Entity]:
                     if kind == "email":  # a full stop before the address ends a sentence
                         end -= len(m[0]) - len(m[0].rstrip(".-"))
                     found.append((rank, Entity(start, end, kind, normal(kind, text[start:end]))))
-    for m in TITLED.finditer(text):
-        at = m.start("name")
-        for word in m["name"].split(" "):
-            found.append((len(PATTERNS), Entity(at, at + len(word), "name", normal("name", word))))
-            at += len(word) + 1
+    names = {normal("name", word) for pattern in (TITLED, GIVEN_FIRST) for m in pattern.finditer(text) for word in WORD.findall(m["name"])}
+    if names:
+        for m in WORD.finditer(text):
+            if (norm := normal("name", m[0])) in names and not m[0][0].islower():
+                found.append((len(PATTERNS), Entity(*m.span(), "name", norm)))
     found.sort(key=lambda x: (x[0], x[1].start - x[1].end, x[1].start))
     out: list[Entity] = []
     for _, x in found:
-        if all(x.end <= y.start or y.end <= x.start for y in out):
-            out.append(x)
-    return sorted(out)
+        at = bisect(out, x)
+        if (not at or out[at - 1].end <= x.start) and (at == len(out) or x.end <= out[at].start):
+            out.insert(at, x)
+    return out
 
 
 def permuted(number: int, size: int, key: str) -> int:
