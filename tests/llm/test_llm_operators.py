@@ -191,6 +191,18 @@ def test_quote_threads(spark):
     assert quotes.link_quotes(messages.limit(0)).count() == 0
 
 
+def test_quotes_of_a_missing_message(spark):
+    rows = [
+        (1, 0, "Shall we ship the release on Friday?"), (1, 1, "An unrelated remark about lunch."),
+        (1, 3, "> > Shall we ship the release on Friday?\n> Yes, as the missing message says.\nGreat, thanks to all."),
+        (1, 4, "> > > Shall we ship the release on Friday?\n> > An unrelated remark about lunch.\n> Edited since it was quoted.\nFine."),
+        (1, 5, "> > Great, thanks to all.\n> An unrelated remark about lunch.\nOn we go."),
+    ]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3))
+    got = {r["turn"]: r[1:] for r in out.select("row.turn", "quotes", "linked", "reply_to", "thread", "depth").collect()}
+    assert got == {0: (0, 0, None, 0, 0), 1: (0, 0, None, 1, 0), 3: (2, 1, 0, 0, 1), 4: (3, 2, 1, 1, 1), 5: (2, 2, 1, 1, 1)}
+
+
 # Line dedup
 
 

@@ -4,8 +4,9 @@ A line's quote level is the number of `>` that lead it. Quoted passages are runs
 lines; they are normalised (lower case, single blanks) and hashed, and so are, of what each message says itself, the whole, its
 paragraphs and its lines. A passage belongs to the first message of the conversation that says it; where that is no
 earlier one, each of its lines of MIN_WORDS words or more is looked up by itself. A message replies to the latest
-message that a passage of level 1 belongs to, passages before single lines. A message of whose quotes none is
-found opens a thread, as does one without quotes.
+message that a passage of the shallowest level found belongs to, passages before single lines; so where the message
+quoted at level 1 is missing or was edited, what that one quoted links. A message of whose quotes none is found opens a
+thread, as does one without quotes.
 
 Threads are found by pointer doubling over the replies. A conversation's order is thread by thread, by the place of the
 thread's first message, and in order of turn within, so that a reply stands behind what it answers.
@@ -80,9 +81,8 @@ def replies(messages: DataFrame) -> DataFrame:
     by = [*CONV, "h1", "h2"]
     first = spoken.join(wanted, by, "left_semi").groupBy(*by).agg(F.min("key").alias("original"))
     found = quoted.join(first, by).where(F.col("original") < F.col("key"))
-    direct = F.when(F.col("level") == 1, F.struct((-F.col("kind")).alias("whole"), "original"))
-    out = found.groupBy(*CONV, "key").agg(F.max(direct)["original"].alias("parent"), F.countDistinct(F.when(F.col("kind") == 0, F.struct("level", "h1", "h2"))).alias("linked"))
-    return out.where("parent IS NOT NULL")
+    nearest = F.struct((-F.col("level")).alias("shallow"), (-F.col("kind")).alias("whole"), "original")
+    return found.groupBy(*CONV, "key").agg(F.max(nearest)["original"].alias("parent"), F.countDistinct(F.when(F.col("kind") == 0, F.struct("level", "h1", "h2"))).alias("linked"))
 
 
 def threads(links: DataFrame) -> DataFrame:
