@@ -240,6 +240,12 @@ def test_lines_against_brute_force(spark, seed):
     assert out == brute_lines(rows, 6)
 
 
+def test_lines_without_white_space_at_the_end(spark):
+    rows = [(1, "one two three\nfour five six\nmine"), (2, "yours\r\none two three\r\nfour five six\r\n"), (3, "one two three \t\nfour five six"), (4, " one two three\nfour five six")]
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(documents(spark, rows), 6).select("row.doc_id", "text").collect()}
+    assert out == {1: rows[0][1], 2: "yours\r", 3: "", 4: rows[3][1]}
+
+
 def test_lines_odd(spark):
     docs = documents(spark, ODD)
     out = linededup.dedup_lines(docs, 2).select("row.doc_id", "text", "lines", "deleted").toPandas()

@@ -1,6 +1,7 @@
 """Line dedup by a suffix array over line-ID sequences.
 
-Every document is a sequence of its lines with words (blank lines aside), each line an ID of 128 hashed bits. The
+Every document is a sequence of its lines with words (blank lines aside), each line an ID of 128 hashed bits, taken
+without the white space at its end (lines that end in \\r\\n equal those that end in \\n). The
 suffixes of all sequences are ordered by distributed prefix doubling: rank 0 orders suffixes by their first line,
 and rank k + 1 by the pair of rank k at the suffix and rank k at 2**k lines on. Each round sorts the distinct pairs
 by range over the cluster and numbers them in that order. Suffixes that differ from all others are settled and leave
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpointed, text_key, whole_row
 
 MIN_WORDS = 50
+BLANKS = " \t\r\v\f"
 DOC = ["no_id", "id", "th1", "th2"]
 
 
 def sequences(docs: DataFrame) -> DataFrame:
     """The lines with words of each document: DOC, pos (from 0), line (number in the text), upto (the last of the
     blank lines behind it, or itself), l1, l2 (ID) and words."""
+    bare = lambda x: F.rtrim(x, F.lit(BLANKS))
     numbered = F.transform(
         F.split("text", "\n", -1),
-        lambda x, k: F.struct(k.alias("line"), F.xxhash64(x).alias("l1"), F.xxhash64(F.lit(7), x).alias("l2"), F.regexp_count(x, F.lit(WORD)).alias("words")),
+        lambda x, k: F.struct(k.alias("line"), F.xxhash64(bare(x)).alias("l1"), F.xxhash64(F.lit(7), bare(x)).alias("l2"), F.regexp_count(x, F.lit(WORD)).alias("words")),
     )
     keyed = docs.where("text IS NOT NULL").select(
         *doc_key(), F.size(F.split("text", "\n", -1)).alias("n"), F.filter(numbered, lambda x: x.words > 0).alias("lines")
