@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from watchfold.llm import ann, langid, linededup, minhash, mixing, packing, pii, quotes, topk, urls
@@ -412,11 +413,34 @@ def test_packing_round_trip(spark):
     for _, own in out.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 2048
-    bound = packing.lower_bound(out.length.to_numpy(), 2048)
-    assert bound <= out.sequence_id.nunique() <= bound * 1.03 + 2
+    bound = packing.lower_bound(np.bincount(out.length, minlength=2049))
+    assert bound <= out.sequence_id.nunique() <= bound + 1
     assert packing.pack(documents(spark, EMPTY)).count() == 0
 
 
+def test_packing_goes_on_until_nothing_is_gained(spark):
+    """Lengths that leave gaps in small parts: as few bins as one best-fit decreasing over all pieces, nearly."""
+    rows = [(k, "a " * int(n)) for k, n in enumerate(np.random.default_rng(4).integers(8, 40, 900))]
+    out = packing.pack(documents(spark, rows), capacity=64, part_pieces=40).toPandas()
+    assert len(out) == len(rows) and out.groupby("sequence_id").length.sum().max() <= 64
+    alone = packing.best_fit(out.length.to_numpy(), 64)[0].max() + 1
+    assert packing.lower_bound(np.bincount(out.length, minlength=65)) <= out.sequence_id.nunique() <= alone * 1.02 + 1
+
+
+#: Text that libraries could cut in different ways: white space of all kinds and in runs, letters and digits of several
+#: scripts, joiners, marks, emoji, contractions, and the name of a special token.
+SCRAPS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\x1c", "a", "the", "Don't", "É", "ß", "日本", "123", "½", "²", "!", "...", "’", "😀", "👩\u200d🔬", "\u0301", "<|endoftext|>", "_", "٣", "Ⅷ", "\u2028", "ſ", "'LL", "'s"]
+
+
+def test_ids_against_tokenizers():
+    encode = packing.Ids("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    table = pq.read_table(f"{SF.replace('0.001', '0.01')}/documents.parquet", columns=["text"])["text"].to_pylist()
+    rng = np.random.default_rng(9)
+    made = ["".join(SCRAPS[int(k)] for k in rng.integers(0, len(SCRAPS), rng.integers(1, 9))) for _ in range(30_000)]
+    for text in [*filter(None, table), *made, *(chr(k) for k in range(0x3100))]:
+        assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_bounds_hold_against_exhaustion():
     from functools import lru_cache
 
@@ -432,7 +456,7 @@ def test_bounds_hold_against_exhaustion():
 
         best = fewest(tuple(sorted(lengths.tolist())), 0)
         bins, _ = packing.best_fit(lengths, 10)
-        assert packing.lower_bound(lengths, 10) <= best <= bins.max() + 1
+        assert packing.lower_bound(np.bincount(lengths, minlength=11)) <= best <= bins.max() + 1
         assert max(np.bincount(bins, lengths)) <= 10
 
 
