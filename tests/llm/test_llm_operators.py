@@ -477,7 +477,7 @@ def test_surrogates(spark):
     assert [e.kind for e in one] == kinds[1] and [e.kind for e in two] == kinds[2]
     assert one[0].norm == two[0].norm and one[1].norm == one[2].norm and two[1].norm == two[2].norm
     assert out[1]["text"].startswith("Mail ") and "+1 (" in out[1]["text"] and one[0].norm.endswith(".com") and pii.luhn(two[1].norm)
-    assert pii.network(one[3].norm) == "private" and pii.network(one[4].norm) == pii.network("227.5.221.1")
+    assert pii.network(one[3].norm) == "private" and pii.network(one[4].norm) == "multicast"
     given = re.search(r"Mrs\. (\w+) (\w+) met Mr (\w+)\.", out[3]["text"])
     assert given[1].lower() in pii.LISTS[0][1] and given[2] == given[3] and given[2][-1] == "r"
     for d, t in rows:
@@ -498,7 +498,8 @@ def test_names_are_found_whole():
 
 
 def test_surrogates_are_distinct(spark):
-    rows = [(k, f"from 192.168.{k // 256}.{k % 256} to u{k}@x{k % 7}.example.com {1000000000000 + k}") for k in range(1200)]
+    checked = lambda digits: next(digits + d for d in pii.DIGITS if pii.luhn(digits + d))
+    rows = [(k, f"from 192.168.{k // 256}.{k % 256} to u{k}@x{k % 7}.example.com {checked(str(1000000000000 + k))}") for k in range(1200)]
     found = pii.found_in(documents(spark, rows))
     again = {(r["kind"], r["norm"]): r["attempt"] for r in pii.drawn_again(found, "k").collect()}
     norms = {(r["kind"], r["norm"]) for r in found.select("kind", "norm").distinct().collect()}
@@ -529,4 +530,39 @@ def test_lengthened_surrogates():
 
 def test_permutation_is_one():
     for size in (1, 2, 10, 97, 1000):
-        assert sorted(pii.permuted(k, size, "key") for k in range(size)) == list(range(size))
+        assert sorted(pii.permuted(k, size, b"key") for k in range(size)) == list(range(size))
+    assert len({pii.respelled(f"{a}{b}" + "x" * 40 + c, "k") for a in "ab" for b in "xyz" for c in "aeiou"}) == 30
+
+
+def brute_surrogates(texts, key):
+    """All entities in one set; whoever has a value that is taken, or that another has drawn before, draws again."""
+    norms = {(e.kind, e.norm) for t in texts if t for e in pii.entities(t)}
+    listed, drawn = {x for _, own in pii.LISTS for x in own}, dict.fromkeys(norms, 0)
+    for attempt in range(1, 100):
+        owners = defaultdict(list)
+        for (kind, norm), n in drawn.items():
+            owners[kind, pii.surrogate(kind, norm, n, key)].append((n, norm))
+        again = [(kind, norm) for (kind, value), own in owners.items() for _, norm in (own if (kind, value) in norms and value not in listed else sorted(own)[1:])]
+        if not again:
+            return [t if t is None else pii.replaced(t, drawn, key)[0] for t in texts]
+        drawn |= dict.fromkeys(again, attempt)
+
+
+def test_surrogates_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    rows = list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True))
+    rows += [(10_000 + k, f"Mr {x} wrote to {y}@b.com from 10.0.0.{k}.") for k, (x, y) in enumerate(zip("Al El Il Ol Ul Al Ab".split(), "aeiouae", strict=True))]
+    rows += [(20_000, "Мария Иванова, Андрей Петров, Елена Смирнова, Пётр Попов"), (20_001, rows[5][1]), (20_001, rows[5][1])]
+    out = pii.pseudonymise(documents(spark, rows)).select("row.doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted(zip([d for d, _ in rows], brute_surrogates([t for _, t in rows], pii.KEY), strict=True))
+    names = next(r["text"] for r in out if r["doc_id"] == 20_000)
+    assert all(a != b for a, b in zip(names.split(), rows[-3][1].split(), strict=True))
+
+
+def test_surrogates_of_long_entities_and_look_alikes(spark):
+    blob = "".join("Ab9+/c_-"[k * k % 8] for k in range(200_000))
+    rows = [(1, f"password={blob} end"), (2, f"token: {'0123456789abcdef' * 20_000}"), (3, LONG + " mail me@x.org " + LONG), (4, "Version 1.2.3.4, v10.0.0.1 and card 4111 1111 1111 1112 stay"), (5, f"Mr {'X' + 'y' * 50_000} left")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(documents(spark, rows)).select("row.doc_id", "text", "n_entities").collect()}
+    assert [out[k]["n_entities"] for k in range(1, 6)] == [1, 1, 1, 0, 1] and out[4]["text"] == rows[3][1]
+    for k in (1, 2, 5):
+        assert len(out[k]["text"]) == len(rows[k - 1][1]) and sum(a == b for a, b in zip(out[k]["text"], rows[k - 1][1])) < 0.4 * len(out[k]["text"])

@@ -1,15 +1,16 @@
 """Keyed surrogates for personal data.
 
-Entities (e-mail addresses, phone numbers, IPv4 addresses, account numbers, social security numbers, IBANs, secrets
-behind a keyword, and names) get surrogates of the same kind and form: letters stay letters of their
-script and case, vowels vowels, digits digits; punctuation, country codes, top-level domains, the network class of an
-address and the validity of a check digit stay. Given names of a list move within the list of their gender and script, in
+Entities (e-mail addresses, phone numbers, IPv4 addresses that are no version numbers, account numbers with a valid check
+digit, social security numbers, IBANs, secrets behind a keyword, and names) get surrogates of the same kind and form:
+letters stay letters of their script and case, vowels vowels, digits digits; punctuation, country codes, top-level
+domains, the network class of an address and the validity of a check digit stay. Given names of a list move within the list of their gender and script, in
 one cycle, so that none stays; other names keep their last letter, which carries gender in many languages.
 
 A name is the whole run of capitalised words behind a form of address, or a listed given name with those behind it; each
 of its words is then replaced wherever the same document has it with a capital letter.
 
-A surrogate is a keyed permutation (a Feistel network with cycle walking) of all values of the entity's form. So equal
+A surrogate is a keyed permutation (a Feistel network with cycle walking) of all values of the entity's form, in blocks
+of BLOCK characters of which each one's key depends on those before it, so that entities may be of any length. So equal
 entities get equal surrogates everywhere, in whatever way they are written, and different ones different surrogates,
 without a table. What a permutation cannot see is checked over the corpus: all distinct entities are gathered, and those
 whose surrogate is itself an entity of the corpus, or that of another entity, draw again until none is left. After TRIES
@@ -40,8 +41,11 @@ KEY = "surrogates-1"
 TRIES = 12
 #: Draws after which the run fails, rather than leave a collision: longer values are all free by then, addresses are used up.
 MAX_DRAWS = 64
-#: Texts with an entity that drew again, up to which these are sent to all executors instead of shuffling all texts.
-BROADCAST_TEXTS = 20_000
+#: Bytes of the entities that drew again, with their texts' keys, up to which these are sent to all executors instead of
+#: shuffling all texts.
+BROADCAST_BYTES = 16 << 20
+#: Characters that are permuted at once.
+BLOCK = 32
 VOWELS, CONSONANTS, DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789"
 #: Letters that change places, by script.
 CLASSES = (VOWELS, CONSONANTS, DIGITS, "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
@@ -69,6 +73,9 @@ TITLED = re.compile(rf"(?<!\w)(?:{ADDRESS}\.? )+(?P<name>{NAME}(?:[ -]{NAME})*)"
 GIVEN_FIRST = re.compile(rf"(?P<name>(?:{'|'.join(rf'{x}(?<!\w{x})' for _, own in LISTS for x in (y.title() for y in own))})(?:[ -]{NAME})+)")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d[\d .()-]{4}")
+#: What a dotted quad behind it is a version of.
+VERSION = re.compile(r"(?i)(?:version|release|build|section|chapter|\bv|§)[ .:]{0,2}$")
+HEX = "0123456789abcdef"
 KEYWORD = re.compile(r"(?i)token|secret|password|api_?key")
 
 
@@ -108,6 +115,8 @@ def entities(text: str) -> list[Entity]:
                     start, end = m.span(pattern.groups)
                     if kind == "email":  # a full stop before the address ends a sentence
                         end -= len(m[0]) - len(m[0].rstrip(".-"))
+                    if kind == "account" and not luhn(normal(kind, m[0])) or kind == "ip" and VERSION.search(text, max(0, start - 12), start):
+                        continue
                     found.append((rank, Entity(start, end, kind, normal(kind, text[start:end]))))
     names = {normal("name", word) for pattern in (TITLED, GIVEN_FIRST) for m in pattern.finditer(text) for word in WORD.findall(m["name"])}
     if names:
@@ -123,11 +132,15 @@ def entities(text: str) -> list[Entity]:
     return out
 
 
-def permuted(number: int, size: int, key: str) -> int:
-    """A keyed permutation of range(size)."""
+def digest(*parts: str | bytes) -> bytes:
+    return hashlib.sha256(b"|".join(x if isinstance(x, bytes) else x.encode("utf-8", "replace") for x in parts)).digest()
+
+
+def permuted(number: int, size: int, key: bytes) -> int:
+    """A keyed permutation of range(size), for sizes up to about 2**200."""
     a = int(size**0.5) + 1 if size < 1 << 50 else 1 << (size.bit_length() // 2 + 1)
     b = -(-size // a)
-    draw = lambda k, x, m: int.from_bytes(hashlib.blake2b(f"{k}:{x}".encode(), key=hashlib.sha256(key.encode()).digest(), digest_size=16).digest(), "big") % m
+    draw = lambda k, x, m: int.from_bytes(hashlib.blake2b(f"{k}:{x}".encode(), key=key, digest_size=24).digest(), "big") % m
     while True:
         left, right = divmod(number, b)
         for k in range(4):
@@ -138,22 +151,27 @@ def permuted(number: int, size: int, key: str) -> int:
             return number
 
 
-def respelled(text: str, key: str, valid: Callable[[str], bool] = lambda _: True) -> str:
-    """A keyed permutation of the texts of the same form: each letter or digit stays in its class."""
-    groups = [CLASS_OF.get(x, x) for x in text]
-    size = 1
-    for g in groups:
-        size *= len(g)
-    key = f"{key}|{'|'.join(g[0] for g in groups)}"
+def respelled_block(text: str, groups: list[str], key: bytes) -> str:
+    size, number, out = 1, 0, []
+    for x, g in zip(text, groups, strict=True):
+        size, number = size * len(g), number * len(g) + g.index(x)
+    number = permuted(number, size, key)
+    for g in reversed(groups):
+        number, k = divmod(number, len(g))
+        out.append(g[k])
+    return "".join(reversed(out))
+
+
+def respelled(text: str, key: str, valid: Callable[[str], bool] = lambda _: True, alphabet: str = "") -> str:
+    """A keyed permutation of the texts of the same form: each letter or digit stays in its class, or in alphabet."""
+    groups = [alphabet or CLASS_OF.get(x, x) for x in text]
+    start = digest(key, *(g[0] for g in groups))
     while True:
-        number = 0
-        for x, g in zip(text, groups, strict=True):
-            number = number * len(g) + g.index(x)
-        number, out = permuted(number, size, key), []
-        for g in reversed(groups):
-            number, k = divmod(number, len(g))
-            out.append(g[k])
-        text = "".join(reversed(out))
+        out, chain = [], start
+        for k in range(0, len(text), BLOCK):
+            out.append(respelled_block(text[k : k + BLOCK], groups[k : k + BLOCK], chain))
+            chain = digest(chain, text[k : k + BLOCK])
+        text = "".join(out)
         if valid(text):
             return text
 
@@ -171,7 +189,7 @@ def lengthened(kind: str, norm: str, more: int, key: str) -> str:
         local, _, domain = norm.partition("@")
         return surrogate(kind, f"{local}{'b' * more}@{domain}", 0, key)
     if kind == "ip":
-        number = permuted(int.from_bytes(bytes(map(int, norm.split("."))), "big"), 1 << 32, key)
+        number = permuted(int.from_bytes(bytes(map(int, norm.split("."))), "big"), 1 << 32, digest(key))
         return ".".join(map(str, number.to_bytes(4, "big")))
     if kind == "phone":
         head = 0 if len(norm) <= 10 else 2
@@ -196,8 +214,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     if kind == "email":
         local, _, domain = norm.partition("@")
         *labels, top = domain.split(".")
-        kept = [labels.pop(), top] if labels and labels[-1] == "example" else [top]
-        return f"{respelled(local, key)}@{'.'.join([*(respelled(x, f'{key}|domain') for x in labels), *kept])}"
+        return f"{respelled(local, key)}@{'.'.join([*(respelled(x, f'{key}|domain') for x in labels), top])}"
     if kind == "phone":
         head = 0 if len(norm) <= 10 else 2
         return norm[:head] + respelled(norm[head:], key)
@@ -207,7 +224,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         size = network(norm)
         number = int.from_bytes(bytes(map(int, norm.split("."))), "big")
         while True:
-            number = permuted(number, 1 << 32, key)
+            number = permuted(number, 1 << 32, digest(key))
             if network(out := ".".join(map(str, number.to_bytes(4, "big")))) == size:
                 return out
     if kind == "iban":
@@ -216,7 +233,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         listed = {x for _, names in LISTS for x in names}
         return respelled(norm[:-1], f"{key}|{norm[-1]}", lambda x: x + norm[-1] not in listed) + norm[-1]
     if re.fullmatch("[0-9a-f]+", norm):
-        return f"{permuted(int(norm, 16), 16 ** len(norm), f'{key}|{len(norm)}'):0{len(norm)}x}"
+        return respelled(norm, key, alphabet=HEX)
     upper = "".join("A" if x.isupper() else "a" for x in norm)
     low = respelled(norm.lower(), f"{key}|{upper}")
     return "".join(x.upper() if u == "A" else x for x, u in zip(low, upper, strict=True))
@@ -301,11 +318,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
             yield pd.DataFrame(made, columns=["text", "n_entities"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *text_key(F.col("text")))
-    number = again.count()
-    if not number:
+    if again.isEmpty():
         rows = rows.withColumn("attempts", F.lit(None).cast("array<struct<kind: string, norm: string, attempt: int>>"))
     else:
         attempts = checkpointed(attempts)
-        rows = rows.join(F.broadcast(attempts) if attempts.count() <= BROADCAST_TEXTS else attempts, ["th1", "th2"], "left")
+        size = attempts.agg(F.sum(F.aggregate("attempts", F.lit(32).cast("long"), lambda n, x: n + F.length(x.norm) * 4 + 64))).first()[0]
+        rows = rows.join(F.broadcast(attempts) if (size or 0) <= BROADCAST_BYTES else attempts, ["th1", "th2"], "left")
     done = rows.select("row", replace("text", "attempts").alias("done"))
     return done.select("row", "done.text", "done.n_entities")
