@@ -1,5 +1,6 @@
 """The operators against brute force, and their defined results for odd input."""
 
+import itertools
 import math
 import re
 import zlib
@@ -112,7 +113,7 @@ def test_forest_recall_and_scores(spark):
     x = cloud(3000, 24)
     x[100:160] = x[100]
     rows = [(k, v.tolist(), 1, "s") for k, v in enumerate(x)] + [(9000, [0.0] * 24, 1, "s"), (9020, None, 1, "s"), (9040, [1.0] * 5, 1, "s"), (9060, [math.nan] * 24, 1, "s")]
-    out = ann.search(vectors(spark, rows), 20, k=20, leaf_rows=40, sample=2000).toPandas()
+    out = ann.search(vectors(spark, rows), 20, k=20, subtree_rows=300).toPandas()
     y, hits, all_ = x.astype(float), 0, 0
     assert set(out.query_id) == set(range(0, 3000, 20))
     for q, own in out.groupby("query_id"):
@@ -128,8 +129,39 @@ def test_forest_recall_and_scores(spark):
     assert own.vec_id.tolist() == list(range(101, 121))
 
 
+def test_forest_of_clustered_vectors_scores_few(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(100, 24)), 60, axis=0) + rng.normal(size=(6000, 24)) * 0.25
+    rows = [(k, v.tolist(), 1, "s") for k, v in enumerate(x)]
+    entries = spark.createDataFrame([(v.tolist(), [k]) for k, v in enumerate(x)], "vec array<double>, ids array<long>")
+    forest = ann.Forest(x, ann.TREES, 7, float(np.linalg.norm(x, axis=1).max()))
+    asked = vectors(spark, rows).select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).where("vec_id % 20 = 0")
+    budget = ann.budget_for(forest, entries, asked, 300, 20, ann.TARGET, ann.PROBES)
+    filed = forest.leaves(x)
+    sizes = np.bincount(filed.ravel(), minlength=forest.trees << forest.depth)
+    assert np.mean([sizes[v].sum() for v in forest.visits(x[::20], budget)]) < 6000 / 3
+    out = ann.search(vectors(spark, rows), 20).toPandas()
+    best = np.argsort(-(x[::20] @ x.T), axis=1, kind="stable")
+    hits = sum(len(set(own.vec_id) & set([i for i in best[q // 20] if i != q][:20])) for q, own in out.groupby("query_id"))
+    assert hits >= 0.9 * 20 * 300
+
+
+def test_forest_ties_and_dimensions(spark):
+    """60 permutations of one vector tie with the query; vectors of another dimension are searched by themselves."""
+    base = np.zeros(64)
+    base[:3] = [1.0, 0.5, 0.25]
+    rows = [(0, np.ones(64).tolist(), 1, "s")] + [(k, np.roll(base, k).tolist(), 1, "s") for k in range(1, 61)]
+    rows += [(100 + k, [1.0 + k, 2.0], 1, "t") for k in range(62)]
+    out = ann.search(vectors(spark, rows), 20).toPandas()
+    own = out[out.query_id == 0].sort_values("rank")
+    assert own.vec_id.tolist() == list(range(1, 21)) and set(own.score) == {1.75}
+    assert out[out.query_id == 100].sort_values("rank").vec_id.tolist() == list(range(161, 141, -1))
+    entries = ann.Entries(np.tile(base, (90, 1)) + np.arange(90)[:, None] * 0.0, [np.array([k]) for k in range(90)][::-1])
+    assert entries.best(np.array([7]), np.ones((1, 64)), 5).vec_id.tolist() == [0, 1, 2, 3, 4]
+
+
 def test_forest_odd(spark):
-    rows = [(0, [1.0, 0.0], 1, ""), (1, [0.5, 0.5], 1, ""), (2, [0.5, 0.5], 1, "")]
+    rows = [(0, [1.0, 0.0], 1, ""), (1, [0.5, 0.5], 1, ""), (2, [0.5, 0.5], 1, ""), (2, [0.5, 0.5], 1, ""), (None, [9.0, 9.0], 1, ""), (3, [], 1, "")]
     assert ann.search(vectors(spark, rows), 20).orderBy("rank").toPandas().vec_id.tolist() == [1, 2]
     assert ann.search(vectors(spark, EMPTY), 20).count() == 0
 
@@ -204,6 +236,67 @@ def test_quotes_of_a_missing_message(spark):
     assert got == {0: (0, 0, None, 0, 0), 1: (0, 0, None, 1, 0), 3: (2, 1, 0, 0, 1), 4: (3, 2, 1, 1, 1), 5: (2, 2, 1, 1, 1)}
 
 
+def brute_quotes(texts):
+    """{turn: (quotes, linked, reply_to, thread, depth, position, body)} of one conversation, message by message."""
+    flat = lambda x: " ".join(x.split()).lower()
+    units, quoted, bodies = {}, {}, {}
+    for turn, text in texts.items():
+        lines = [(m[1].count(">"), m[2]) for m in (re.match(r"((?:[ \t]*>)*)(.*)", x) for x in text.split("\n"))]
+        own = [lv == 0 and not (re.search(quotes.ANNOUNCE, x) and [*lines, (0, "")][k + 1][0]) for k, (lv, x) in enumerate(lines)]
+        said = "\n".join(x if o else "" for o, (_, x) in zip(own, lines, strict=True))
+        wordy = lambda p: [flat(x) for x in p.split("\n") if len(x.split()) >= quotes.MIN_WORDS]
+        units[turn] = {flat(p) for p in re.split(quotes.BLANK, said)} | {flat(said)} | set(wordy(said))
+        quoted[turn] = []
+        for lv, run in itertools.groupby(((lv, x) for lv, x in lines), key=lambda x: (x[0], not x[1].strip())):
+            part = "\n".join(x for _, x in run)
+            if lv[0] and not lv[1]:
+                quoted[turn] += [(lv[0], 0, flat(part)), *((lv[0], 1, x) for x in wordy(part))]
+        kept = "\n".join(x for o, (_, x) in zip(own, lines, strict=True) if o)
+        bodies[turn] = re.sub(r"\n{3,}", "\n\n", kept).strip() if any(lv for lv, _ in lines) else text
+    out, parent = {}, {}
+    for turn in texts:
+        first = lambda x: min((t for t in texts if x in units[t]), default=turn)
+        found = [(-lv, -kind, first(x), x) for lv, kind, x in quoted[turn] if first(x) < turn]
+        parent[turn] = max(f[:3] for f in found)[2] if found else None
+        root, depth = turn, 0
+        while parent[root] is not None:
+            root, depth = parent[root], depth + 1
+        passages = sum(kind == 0 for _, kind, _ in quoted[turn])
+        out[turn] = [passages, len({(f[0], f[3]) for f in found if f[1] == 0}), parent[turn], root, depth, None, bodies[turn]]
+    for k, turn in enumerate(sorted(out, key=lambda t: (out[t][3], t))):
+        out[turn][5] = k
+    return {t: tuple(x) for t, x in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_against_brute_force(spark, seed):
+    rng, talks = np.random.default_rng(seed), {}
+    for conv in range(25):
+        texts = {}
+        for turn in range(int(rng.integers(1, 12))):
+            lines = []
+            for _ in range(int(rng.integers(0, 3)) if texts else 0):
+                old = texts[list(texts)[int(rng.integers(0, len(texts)))]].split("\n")
+                a = int(rng.integers(0, len(old)))
+                lines += ["On Monday, B wrote:"] * int(rng.integers(0, 2)) + [[">", "> ", " >  "][int(rng.integers(0, 3))] + x.upper() for x in old[a : a + int(rng.integers(1, 6))]]
+            for _ in range(int(rng.integers(0, 4))):
+                lines += ["", " "][: int(rng.integers(0, 3))] + [" ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(1, 5)))]
+            texts[turn] = "\n".join(lines)
+        talks[conv] = {t: x for t, x in texts.items() if rng.random() < 0.8}
+    rows = [(c, t, x) for c, own in talks.items() for t, x in own.items()]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3))
+    got = {(r[0], r[1]): tuple(r[2:]) for r in got.select("row.conv_id", "row.turn", "quotes", "linked", "reply_to", "thread", "depth", "position", "body").collect()}
+    assert got == {(c, t): x for c, own in talks.items() for t, x in brute_quotes(own).items()}
+    assert sum(x[1] for x in got.values()) > 20
+
+
+def test_quotes_deep_and_long(spark):
+    rows = [(1, 0, "say this once more"), (1, 1, ">" * 20_000 + " say this once more"), (1, 2, "\n".join(">" * k + f" line number {k}" for k in range(1, 1500))), (1, 3, "> say this once more\n" + " " * 200_000 + "x\n" * 50_000), (1, 4, "> a\x01\x02b c d\nyes")]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    got = {r["turn"]: r[1:] for r in out.select("row.turn", "quotes", "linked", "reply_to").collect()}
+    assert got == {0: (0, 0, None), 1: (1, 1, 0), 2: (1499, 0, None), 3: (1, 1, 0), 4: (1, 0, None)}
+
+
 # Line dedup
 
 

@@ -1,23 +1,25 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Equal vectors are one entry of the index, with their k + 1 smallest ids, all that any answer can need of them. The trees are
-fitted on a hash sample of about SAMPLE entries: each node projects on the difference of two random entries and splits at
-the sample's median. All entries are then filed into a leaf of each tree, in parallel. Trees have 64 leaves at least
-and about LEAF_ROWS entries a leaf at most (a table of no more entries is one leaf).
+Equal vectors are one entry of the index, with their k + 1 smallest ids, all that any answer can need of them. The trees
+are fitted on a hash sample of about SAMPLE_PER_LEAF entries a leaf: each node projects on the difference of two random entries
+and splits at the sample's median, down to leaves of about LEAF_ROWS entries. All entries are then filed into a leaf of each
+tree, in parallel. Every table of more than LEAF_ROWS entries has its forest.
 
-A query walks all trees through one priority queue, nearest side first by the widest margin crossed on the way, and
-takes leaves until its budget is spent. Queries and entries meet by leaf, leaves over LEAF_ROWS in blocks;
-candidates are ranked by exact inner products in doubles, and the lists merge.
+A query walks all trees through one priority queue, nearest side first by the sum of the squared margins crossed on the
+way, and takes leaves until its budget is spent. Leaves meet their queries by subtree (about SUBTREE_ROWS entries, larger
+ones in blocks), so that a query goes to a subtree once, with the leaves it visits there; only those are scored.
+Candidates are ranked by exact inner products in doubles, and the lists merge.
 
 The budget is measured, not guessed: for PROBES queries the exact neighbours are found over all entries, and the
 budget is the least number of leaves that holds TARGET of them. Inner products are searched as angles: entries get a
 component that lifts them to the longest norm.
 
-Bounds: the forest (trees * 2**depth nodes) is fitted on the sample only and broadcast after a check of its size.
+Bounds: the forest (trees * 2**depth nodes) takes no more than MAX_FOREST_BYTES, as it is broadcast, and the sample a
+small multiple of that; from there on leaves grow instead.
 
-Defined results: vectors null, zero, or with null or non-finite components take no part, nor do those of another
-dimension than the most frequent one (ties to the smaller); an id in several rows counts once (its least vector);
-with fewer than k candidates all are returned; an empty table gives an empty result.
+Defined results: vectors null, zero, or with null or non-finite components take no part; queries meet only entries of
+their own dimension, which has a forest of its own; an id in several rows counts once (its least vector); ties go to
+smaller ids; with fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,18 +36,18 @@ from .common import checkpointed
 from .vectors import merged, usable
 
 TREES = 8
-SAMPLE = 16_384
-LEAF_ROWS = 4096
-MIN_DEPTH = 6
+LEAF_ROWS = 64
+SUBTREE_ROWS = 4096
+SAMPLE_PER_LEAF = 16
 TARGET = 0.95
 PROBES = 64
-MAX_FOREST_BYTES = 256 << 20
+MAX_FOREST_BYTES = 64 << 20
+#: Candidates kept by rough scores beyond those asked for. Where ties go on behind them, all that tie are scored.
+SLACK = 11
+#: Queries that a task walks or scores at once.
+CHUNK = 256
 RESULT = "query_id long, vec_id long, score double"
-
-
-def products(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Inner products, summed in an order that does not depend on the rows' places."""
-    return np.einsum("qd,cd->qc", queries, entries, optimize=False)
+EMPTY = "query_id long, rank int, vec_id long, score double"
 
 
 class Forest:
@@ -91,43 +93,87 @@ class Forest:
                 while node < end:
                     margin = margins[t][node]
                     near = 2 * node + (margin > 0)
-                    heapq.heappush(queue, (max(far, abs(margin)), t, near ^ 1))
+                    heapq.heappush(queue, (far + margin * margin, t, near ^ 1))
                     node = near
                 found.append(t << self.depth | node - end)
             out.append(found)
         return out
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, entries: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[pd.DataFrame]:
-    """The k best ids of each query among entries with their lists of ids."""
-    for a in range(0, len(queries), 256):
-        asking, names = queries[a : a + 256], query_ids[a : a + 256]
-        rough = asking @ entries.T
-        top = min(len(entries), k + 9)
-        picked = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-        rows = []
-        for name, query, own in zip(names, asking, picked, strict=True):
-            score = products(query[None, :], entries[own])[0]
-            found = [(-s, i, name) for s, c in zip(score, own, strict=True) for i in ids[c] if i != name]
-            found.sort()
-            rows += found[:k]
-        if rows:
-            score, vec, name = zip(*rows, strict=True)
-            yield pd.DataFrame({"query_id": np.array(name, np.int64), "vec_id": np.array(vec, np.int64), "score": -np.array(score)})
-
-
 def matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), float)
 
 
+class Entries:
+    """Entries that a task holds, with their lists of ids, and with the leaf of each if they are in order of leaves."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[np.ndarray], leaves: np.ndarray | None = None):
+        self.vectors, self.flat = vectors, np.concatenate(ids)
+        self.sizes = np.array([len(x) for x in ids])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.leaves = leaves
+        self.longest = float(np.sqrt((vectors * vectors).sum(axis=1).max()))
+
+    def spans(self, asked: list[np.ndarray] | None, number: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Queries (by place) with the stretch of entries that they visit; all visit all unless told which leaves."""
+        if asked is None:
+            for a in range(0, len(self.vectors), SUBTREE_ROWS):
+                yield np.arange(number), a, min(a + SUBTREE_ROWS, len(self.vectors))
+            return
+        query, leaf = np.repeat(np.arange(number), [len(x) for x in asked]), np.concatenate(asked)
+        order = np.argsort(leaf, kind="stable")
+        names, at = np.unique(leaf[order], return_index=True)
+        for name, own in zip(names, np.split(query[order], at[1:]), strict=True):
+            a, b = np.searchsorted(self.leaves, [name, name + 1])
+            if a < b:
+                yield own, int(a), int(b)
+
+    def best(self, names: np.ndarray, queries: np.ndarray, k: int, asked: list[np.ndarray] | None = None) -> pd.DataFrame:
+        """The k best ids of each query among the entries it visits: by rough scores first, then by exact ones."""
+        number, take = len(queries), k + 1 + SLACK
+        score, place = np.full((number, take), -np.inf), np.full((number, take), -1)
+        spans = list(self.spans(asked, number))
+        for own, a, b in spans:
+            s = np.hstack([score[own], queries[own] @ self.vectors[a:b].T])
+            p = np.hstack([place[own], np.broadcast_to(np.arange(a, b), (len(own), b - a))])
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            score[own], place[own] = np.take_along_axis(s, top, axis=1), np.take_along_axis(p, top, axis=1)
+        # rough scores that differ by less than this may belong to equal exact ones
+        near = 1e-9 * np.sqrt((queries * queries).sum(axis=1)) * self.longest
+        least = -np.partition(-score, k, axis=1)[:, k] - near
+        tied = np.isfinite(least) & (score.min(axis=1) >= least)
+        place[tied] = -1
+        query, column = np.nonzero(place >= 0)
+        found = [(query, place[query, column])]
+        for own, a, b in spans if tied.any() else ():
+            own = own[tied[own]]
+            q, e = np.nonzero(queries[own] @ self.vectors[a:b].T >= least[own, None])
+            found.append((own[q], e + a))
+        query, entry = (np.concatenate(x) for x in zip(*found, strict=True))
+        exact = np.empty(len(query))
+        for a in range(0, len(query), 4096):
+            exact[a : a + 4096] = np.einsum("pd,pd->p", queries[query[a : a + 4096]], self.vectors[entry[a : a + 4096]])
+        sizes = self.sizes[entry]
+        ids = self.flat[np.repeat(self.starts[entry] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        query, exact = np.repeat(query, sizes), np.repeat(exact, sizes)
+        other = ids != names[query]
+        query, exact, ids = query[other], exact[other], ids[other]
+        order = np.lexsort((ids, -exact, query))
+        query, exact, ids = query[order], exact[order], ids[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < k
+        return pd.DataFrame({"query_id": names[query[keep]].astype(np.int64), "vec_id": ids[keep].astype(np.int64), "score": exact[keep]})
+
+
 def exact(entries: DataFrame, probes: pd.DataFrame, k: int) -> DataFrame:
     """The k nearest of a few queries over all entries, with the entries' vectors."""
     queries, names = matrix(probes["vec"]), probes["vec_id"].to_numpy()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            of = {i: v for own, v in zip(batch["ids"], batch["vec"], strict=True) for i in own}
-            for found in best(names, queries, matrix(batch["vec"]), batch["ids"].tolist(), k):
+            if len(batch):
+                of = {i: v for own, v in zip(batch["ids"], batch["vec"], strict=True) for i in own}
+                found = Entries(matrix(batch["vec"]), batch["ids"].tolist()).best(names, queries, k)
                 yield found.assign(vec=found["vec_id"].map(of))
 
     return merged(entries.mapInPandas(scan, f"{RESULT}, vec array<double>"), k)
@@ -136,67 +182,80 @@ def exact(entries: DataFrame, probes: pd.DataFrame, k: int) -> DataFrame:
 def budget_for(forest: Forest, entries: DataFrame, queries: DataFrame, number: int, k: int, target: float, probes: int) -> int:
     """The least number of leaves that holds the target share of the probes' exact neighbours."""
     everything = forest.trees << forest.depth
-    if not forest.depth:
-        return everything
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, probes / max(1, number)) * (1 << 30))
     asked = queries.where(draw).limit(4 * probes).toPandas()
     if not len(asked):
         return everything
     truth = exact(entries, asked, k).toPandas()
+    if not len(truth):
+        return everything
     order = dict(zip(asked["vec_id"], forest.visits(matrix(asked["vec"]), everything), strict=True))
     place = {q: {leaf: n for n, leaf in enumerate(leaves)} for q, leaves in order.items()}
     needed = sorted(min(place[q][leaf] for leaf in own) for q, own in zip(truth["query_id"], forest.leaves(matrix(truth["vec"])).tolist(), strict=True))
-    return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] + 1 if needed else everything
+    return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] + 1
 
 
 def search(
-    vectors: DataFrame, query_divisor: int, k: int = 20, trees: int = TREES, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS,
+    vectors: DataFrame, query_divisor: int, k: int = 20, trees: int = TREES, leaf_rows: int = LEAF_ROWS, subtree_rows: int = SUBTREE_ROWS,
     target: float = TARGET, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found of each vector whose id query_divisor divides."""
     rows = checkpointed(usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0)))
-    common = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vec") == common["dim"])
+    out = vectors.sparkSession.createDataFrame([], EMPTY)
+    for r in rows.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect():  # a row a dimension
+        own = rows.where(F.size("vec") == r["dim"])
+        out = out.unionByName(search_alike(own, query_divisor, k, trees, leaf_rows, subtree_rows, target, probes))
+    return out
+
+
+def search_alike(rows: DataFrame, query_divisor: int, k: int, trees: int, leaf_rows: int, subtree_rows: int, target: float, probes: int) -> DataFrame:
+    """search() over rows (vec_id, vec) of one dimension."""
     turn = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     entries = checkpointed(rows.withColumn("turn", turn).where(F.col("turn") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     queries = rows.where(F.col("vec_id") % query_divisor == 0)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    known = entries.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("norm")).first()
-    depth = 0 if known["n"] <= leaf_rows else max(MIN_DEPTH, int(np.ceil(np.log2(known["n"] / leaf_rows))))
-    depth = min(depth, int(np.log2(sample)) - 3)
-    drawn = entries.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(min(1.0, sample / known["n"]) * (1 << 30)))
-    forest = Forest(matrix(drawn.select("vec").toPandas()["vec"]) if depth else np.zeros((1, common["dim"])), trees if depth else 1, depth, known["norm"])
-    if forest.planes.nbytes > MAX_FOREST_BYTES:
-        raise ValueError(f"the forest takes {forest.planes.nbytes} bytes; lower trees or sample")
-    budget = budget_for(forest, entries, queries, -(-common["n"] // query_divisor), k, target, probes)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+    known = entries.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
+    depth = max(0, int(np.ceil(np.log2(known["n"] / leaf_rows))))
+    while depth and trees * (known["dim"] + 1) * 4 << depth > MAX_FOREST_BYTES:
+        depth -= 1
+    bits = max(0, depth - max(0, int(np.ceil(np.log2(known["n"] / subtree_rows)))))
+    drawn = entries.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(min(1.0, (SAMPLE_PER_LEAF << depth) / known["n"]) * (1 << 30)))
+    sample = matrix(drawn.select("vec").toPandas()["vec"]) if depth else np.zeros((0, known["dim"]))
+    forest = Forest(sample.reshape(-1, known["dim"]), trees if depth else 1, depth, known["norm"])
+    budget = budget_for(forest, entries, queries, queries.count(), k, target, probes)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(leaf=list(shared.value.leaves(matrix(batch["vec"]))))
+            if len(batch):
+                yield batch.assign(leaf=list(shared.value.leaves(matrix(batch["vec"]))))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(leaf=shared.value.visits(matrix(batch["vec"]), budget))
+            for a in range(0, len(batch), CHUNK):
+                own, made = batch[a : a + CHUNK], []
+                for name, vec, leaves in zip(own["vec_id"], own["vec"], shared.value.visits(matrix(own["vec"]), budget), strict=True):
+                    leaves = np.sort(np.array(leaves, np.int64))
+                    subtrees, at = np.unique(leaves >> bits, return_index=True)
+                    made += [(name, vec, s, x) for s, x in zip(subtrees, np.split(leaves, at[1:]), strict=True)]
+                yield pd.DataFrame(made, columns=["query_id", "vec", "subtree", "asked"])
 
     filed = checkpointed(entries.mapInPandas(file, "vec array<double>, ids array<long>, leaf array<long>"))
-    sizes = filed.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    # of the leaves, whose number the forest bounds, those that are dealt in blocks
-    blocks = sizes.where(F.col("n") > 2 * leaf_rows).select("leaf", F.ceil(F.col("n") / leaf_rows).cast("int").alias("blocks"))
-    entry = filed.select("vec", "ids", F.explode("leaf").alias("leaf"), F.lit(None).cast("long").alias("query_id")).join(F.broadcast(blocks), "leaf", "left")
-    entry = entry.withColumn("block", F.coalesce(F.pmod(F.xxhash64("vec"), F.col("blocks")), F.lit(0)).cast("long"))
-    query = queries.mapInPandas(walk, "vec_id long, vec array<double>, leaf array<long>")
-    query = query.select("vec", F.lit(None).cast("array<long>").alias("ids"), F.explode("leaf").alias("leaf"), F.col("vec_id").alias("query_id"))
+    entry = filed.select("vec", "ids", F.explode("leaf").alias("leaf")).withColumn("subtree", F.shiftright("leaf", bits))
+    sizes = entry.groupBy("subtree").agg(F.count(F.lit(1)).alias("n"))
+    # of the subtrees, whose number the forest bounds, those that are dealt in blocks
+    blocks = sizes.where(F.col("n") > 2 * subtree_rows).select("subtree", F.ceil(F.col("n") / subtree_rows).cast("int").alias("blocks"))
+    entry = entry.join(F.broadcast(blocks), "subtree", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("vec"), F.col("blocks")), F.lit(0)).cast("long"))
     of_blocks = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1)
-    query = query.join(F.broadcast(blocks), "leaf", "left").withColumn("block", F.explode(of_blocks))
-    met = entry.unionByName(query).drop("blocks").repartition("leaf", "block").sortWithinPartitions("leaf", "block", F.col("query_id").asc_nulls_first())
+    query = queries.mapInPandas(walk, "query_id long, vec array<double>, subtree long, asked array<long>")
+    query = query.join(F.broadcast(blocks), "subtree", "left").withColumn("block", F.explode(of_blocks))
+    met = entry.drop("blocks").unionByName(query.drop("blocks"), allowMissingColumns=True)
+    met = met.repartition("subtree", "block").sortWithinPartitions("subtree", "block", F.col("query_id").asc_nulls_first(), "leaf")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts, held = None, [], None
         for batch in batches:
-            for key, own in batch.groupby(["leaf", "block"], sort=False):
+            for key, own in batch.groupby(["subtree", "block"], sort=False):
                 if key != now:
                     now, parts, held = key, [], None
                 filed_ = own["query_id"].isna()
@@ -206,8 +265,11 @@ def search(
                 if not len(asking) or not parts:
                     continue
                 if held is None:
-                    held = np.vstack([matrix(p["vec"]) for p in parts]), [i for p in parts for i in p["ids"]]
-                yield from best(asking["query_id"].to_numpy(np.int64), matrix(asking["vec"]), *held, k)
+                    leaves = np.concatenate([p["leaf"].to_numpy(np.int64) for p in parts])
+                    held = Entries(np.vstack([matrix(p["vec"]) for p in parts]), [i for p in parts for i in p["ids"]], leaves)
+                for a in range(0, len(asking), CHUNK):
+                    some = asking[a : a + CHUNK]
+                    yield held.best(some["query_id"].to_numpy(np.int64), matrix(some["vec"]), k, some["asked"].tolist())
 
     lists = met.mapInPandas(rerank, RESULT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged(lists, k).select("query_id", "rank", "vec_id", "score")

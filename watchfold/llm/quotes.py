@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, text_key
 
-LEAD = r"^((?:[ \t]*>)*)"
+#: Blanks and `>` up to the last `>`: one character class, which Java's expressions repeat without recursion.
+LEAD = r"^([ \t>]*>)?"
 ANNOUNCE = r"(?i)^\s*(on .{3,200} wrote|am .{3,200} schrieb .{1,200}|le .{3,200} a écrit|el .{3,200} escribió)\s*:\s*$"
 BLANK = r"\n\s*\n"
+#: What opens a quoted passage, and what ends its level's number; in texts they count as white space.
+OPEN, UPTO = "\x01", "\x02"
 MIN_WORDS = 3
 CONV = ["no_conv", "conv"]
 
 
 def normalised(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, rf"[\s{OPEN}{UPTO}]+", " ")))
 
 
 def passages(text: Column) -> Column:
@@ -46,9 +49,8 @@ def hashed(x: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """row, CONV, key (the message's place in its conversation), lines (level, said), body and quotes (level, kind, h)."""
     text = F.coalesce("text", F.lit(""))
-    lead = lambda x: F.regexp_extract(x, LEAD, 1)
-    level = lambda x: F.length(lead(x)) - F.length(F.replace(lead(x), F.lit(">")))
-    split = F.transform(F.split(text, "\n", -1), lambda x: F.struct(level(x).alias("level"), F.substr(x, F.length(lead(x)) + 1).alias("said")))
+    led = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, LEAD, 1).alias("lead")))
+    split = F.transform(led, lambda x: F.struct((F.length(x.lead) - F.length(F.replace(x.lead, F.lit(">")))).alias("level"), F.substr(x.line, F.length(x.lead) + 1).alias("said")))
     key = F.struct(F.col("turn").isNull().alias("no_turn"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), *text_key(F.col("text"))).alias("key")
     rows = messages.select(
         F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"), F.col("conv_id").isNull().alias("no_conv"),
@@ -58,15 +60,20 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("depth", F.array_max(F.transform("lines", lambda x: x.level)))
     said = F.array_join(F.transform("lines", lambda x, k: F.when(F.get("own", k), x.said).otherwise("")), "\n")
     kept = F.array_join(F.transform(F.filter("lines", lambda x, k: F.get("own", k)), lambda x: x.said), "\n")
-    at_level = lambda n: F.array_join(F.transform("lines", lambda x: F.when(x.level == n, x.said).otherwise("")), "\n")
     wordy = lambda p: F.filter(F.transform(F.split(p, "\n", -1), normalised), lambda x: F.size(F.split(x, " ")) >= MIN_WORDS)
-    tagged = lambda n, kind, ps: F.transform(ps, lambda p: F.struct(n.alias("level"), F.lit(kind).alias("kind"), hashed(p).alias("h")))
-    levels = F.when(F.col("depth") > 0, F.sequence(F.lit(1), F.col("depth"))).otherwise(F.array().cast("array<int>"))
-    quotes = F.flatten(F.transform(levels, lambda n: F.concat(tagged(n, 0, passages(at_level(n))), tagged(n, 1, wordy(at_level(n))))))
+    blank = lambda x: normalised(x) == ""
+    before = lambda k: F.when(k > 0, F.get("lines", k - 1))
+    goes_on = lambda x, k: F.coalesce((before(k)["level"] == x.level) & ~blank(before(k)["said"]), F.lit(False))
+    bare = lambda x: F.translate(x, OPEN + UPTO, "  ")
+    marked = F.transform("lines", lambda x, k: F.when((x.level == 0) | blank(x.said), OPEN).when(goes_on(x, k), bare(x.said)).otherwise(F.concat(F.lit(OPEN), x.level.cast("string"), F.lit(UPTO), bare(x.said))))
+    pieces = F.filter(F.split(F.array_join(marked, "\n"), OPEN, -1), lambda p: F.contains(p, F.lit(UPTO)))
+    tagged = lambda p, kind, text: F.struct(F.substring_index(p, UPTO, 1).cast("int").alias("level"), F.lit(kind).alias("kind"), hashed(text).alias("h"))
+    quoted = lambda p: F.substring_index(p, UPTO, -1)
+    quotes = F.flatten(F.transform(pieces, lambda p: F.concat(F.array(tagged(p, 0, normalised(quoted(p)))), F.transform(wordy(quoted(p)), lambda x: tagged(p, 1, x)))))
     units = F.array_distinct(F.concat(passages(F.col("said")), F.array(normalised(F.col("said"))), wordy(F.col("said"))))
     return (
         rows.withColumn("said", said)
-        .withColumn("body", F.when(F.col("text").isNotNull(), F.when(F.col("depth") > 0, F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(F.col("text"))))
+        .withColumn("body", F.when(F.col("text").isNotNull(), F.when(F.col("depth") > 0, F.btrim(F.regexp_replace(kept, r"\n{3,}", "\n\n"), F.lit(" \t\n\r\v\f"))).otherwise(F.col("text"))))
         .withColumn("quotes", quotes)
         .withColumn("units", F.transform(F.filter(units, lambda u: u != ""), hashed))
         .select("row", *CONV, "key", "body", "quotes", "units")
