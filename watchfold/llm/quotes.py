@@ -51,21 +51,24 @@ def parsed(messages: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     led = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, LEAD, 1).alias("lead")))
     split = F.transform(led, lambda x: F.struct((F.length(x.lead) - F.length(F.replace(x.lead, F.lit(">")))).alias("level"), F.substr(x.line, F.length(x.lead) + 1).alias("said")))
+    blank = lambda x: normalised(x) == ""
+    level_at = lambda ls, k: F.coalesce(F.get(ls, k)["level"], F.lit(0))
+    # of each line, whether its message says it, and whether it goes on with the passage before
+    own = lambda ls, x, k: (x.level == 0) & ~(x.said.rlike(ANNOUNCE) & (level_at(ls, k + 1) > 0))
+    goes_on = lambda ls, x, k: (k > 0) & F.when(k > 0, (level_at(ls, k - 1) == x.level) & ~blank(F.get(ls, k - 1)["said"])).otherwise(F.lit(False))
+    # the array as a lambda's variable: as a column it could be computed anew for each of its elements
+    lines = F.transform(F.array(split), lambda ls: F.transform(ls, lambda x, k: F.struct(x.level.alias("level"), x.said.alias("said"), own(ls, x, k).alias("own"), goes_on(ls, x, k).alias("goes_on"))))[0]
     key = F.struct(F.col("turn").isNull().alias("no_turn"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), *text_key(F.col("text"))).alias("key")
     rows = messages.select(
         F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"), F.col("conv_id").isNull().alias("no_conv"),
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), key, "text", split.alias("lines"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), key, "text", lines.alias("lines"),
     )
-    own = F.transform("lines", lambda x, k: (x.level == 0) & ~(x.said.rlike(ANNOUNCE) & (F.coalesce(F.get("lines", k + 1)["level"], F.lit(0)) > 0)))
-    rows = rows.withColumn("own", own).withColumn("depth", F.array_max(F.transform("lines", lambda x: x.level)))
-    said = F.array_join(F.transform("lines", lambda x, k: F.when(F.get("own", k), x.said).otherwise("")), "\n")
-    kept = F.array_join(F.transform(F.filter("lines", lambda x, k: F.get("own", k)), lambda x: x.said), "\n")
+    rows = rows.withColumn("depth", F.array_max(F.transform("lines", lambda x: x.level)))
+    said = F.array_join(F.transform("lines", lambda x: F.when(x.own, x.said).otherwise("")), "\n")
+    kept = F.array_join(F.transform(F.filter("lines", lambda x: x.own), lambda x: x.said), "\n")
     wordy = lambda p: F.filter(F.transform(F.split(p, "\n", -1), normalised), lambda x: F.size(F.split(x, " ")) >= MIN_WORDS)
-    blank = lambda x: normalised(x) == ""
-    before = lambda k: F.when(k > 0, F.get("lines", k - 1))
-    goes_on = lambda x, k: F.coalesce((before(k)["level"] == x.level) & ~blank(before(k)["said"]), F.lit(False))
     bare = lambda x: F.translate(x, OPEN + UPTO, "  ")
-    marked = F.transform("lines", lambda x, k: F.when((x.level == 0) | blank(x.said), OPEN).when(goes_on(x, k), bare(x.said)).otherwise(F.concat(F.lit(OPEN), x.level.cast("string"), F.lit(UPTO), bare(x.said))))
+    marked = F.transform("lines", lambda x: F.when((x.level == 0) | blank(x.said), OPEN).when(x.goes_on, bare(x.said)).otherwise(F.concat(F.lit(OPEN), x.level.cast("string"), F.lit(UPTO), bare(x.said))))
     pieces = F.filter(F.split(F.array_join(marked, "\n"), OPEN, -1), lambda p: F.contains(p, F.lit(UPTO)))
     tagged = lambda p, kind, text: F.struct(F.substring_index(p, UPTO, 1).cast("int").alias("level"), F.lit(kind).alias("kind"), hashed(text).alias("h"))
     quoted = lambda p: F.substring_index(p, UPTO, -1)
