@@ -8,7 +8,8 @@ tree, in parallel. Every table of more than LEAF_ROWS entries has its forest.
 A query walks all trees through one priority queue, nearest side first by the sum of the squared margins crossed on the
 way, and takes leaves until its budget is spent. Leaves meet their queries by subtree (about SUBTREE_ROWS entries, larger
 ones in blocks), so that a query goes to a subtree once, with the leaves it visits there; only those are scored.
-Candidates are ranked by exact inner products in doubles, and the lists merge.
+Candidates are ranked by exact inner products in doubles, and the lists merge. The first tree is scored before the
+others: its k-th best score is a floor for each query, under which the others report nothing.
 
 The budget is measured, not guessed: for PROBES queries the exact neighbours are found over all entries, and the
 budget is the least number of leaves that holds TARGET of them. Inner products are searched as angles: entries get a
@@ -128,8 +129,8 @@ class Entries:
             if a < b:
                 yield own, int(a), int(b)
 
-    def best(self, names: np.ndarray, queries: np.ndarray, k: int, asked: list[np.ndarray] | None = None) -> pd.DataFrame:
-        """The k best ids of each query among the entries it visits: by rough scores first, then by exact ones."""
+    def best(self, names: np.ndarray, queries: np.ndarray, k: int, asked: list[np.ndarray] | None = None, floors: np.ndarray | None = None) -> pd.DataFrame:
+        """The k best ids of each query among the entries it visits, down to its floor: by rough scores first, then by exact ones."""
         number, take = len(queries), k + 1 + SLACK
         score, place = np.full((number, take), -np.inf), np.full((number, take), -1)
         spans = list(self.spans(asked, number))
@@ -157,6 +158,8 @@ class Entries:
         ids = self.flat[np.repeat(self.starts[entry] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
         query, exact = np.repeat(query, sizes), np.repeat(exact, sizes)
         other = ids != names[query]
+        if floors is not None:
+            other &= ~(exact < floors[query])
         query, exact, ids = query[other], exact[other], ids[other]
         order = np.lexsort((ids, -exact, query))
         query, exact, ids = query[order], exact[order], ids[order]
@@ -249,8 +252,10 @@ def search_alike(rows: DataFrame, query_divisor: int, k: int, trees: int, leaf_r
     of_blocks = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)).cast("long") - 1)
     query = queries.mapInPandas(walk, "query_id long, vec array<double>, subtree long, asked array<long>")
     query = query.join(F.broadcast(blocks), "subtree", "left").withColumn("block", F.explode(of_blocks))
-    met = entry.drop("blocks").unionByName(query.drop("blocks"), allowMissingColumns=True)
-    met = met.repartition("subtree", "block").sortWithinPartitions("subtree", "block", F.col("query_id").asc_nulls_first(), "leaf")
+
+    def met(own: DataFrame, asking: DataFrame) -> DataFrame:
+        both = own.drop("blocks").unionByName(asking.drop("blocks"), allowMissingColumns=True)
+        return both.repartition("subtree", "block").sortWithinPartitions("subtree", "block", F.col("query_id").asc_nulls_first(), "leaf").mapInPandas(rerank, RESULT)
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts, held = None, [], None
@@ -269,7 +274,12 @@ def search_alike(rows: DataFrame, query_divisor: int, k: int, trees: int, leaf_r
                     held = Entries(np.vstack([matrix(p["vec"]) for p in parts]), [i for p in parts for i in p["ids"]], leaves)
                 for a in range(0, len(asking), CHUNK):
                     some = asking[a : a + CHUNK]
-                    yield held.best(some["query_id"].to_numpy(np.int64), matrix(some["vec"]), k, some["asked"].tolist())
-
-    lists = met.mapInPandas(rerank, RESULT).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                    yield held.best(some["query_id"].to_numpy(np.int64), matrix(some["vec"]), k, some["asked"].tolist(), some["floor"].to_numpy(float))
+
+    first = F.col("subtree") < 1 << (depth - bits)
+    lists = checkpointed(merged(met(entry.where(first), query.where(first).withColumn("floor", F.lit(None).cast("double"))), k))
+    if forest.trees > 1:
+        floors = lists.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
+        others = met(entry.where(~first), query.where(~first).join(floors, "query_id", "left"))
+        lists = lists.drop("rank").unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged(lists, k).select("query_id", "rank", "vec_id", "score")
