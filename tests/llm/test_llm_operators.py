@@ -187,14 +187,31 @@ def test_url_rules(spark):
 
 
 def test_url_rules_by_join(spark):
-    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(PAGES)], "page_id long, url string")
-    rules = [urls.site_rule(*x) for x in urls.SITES] + [r for x in urls.PATTERNS if (r := urls.pattern_rule(*x)).tokens]
-    table = spark.createDataFrame([(r.rule, r.verdict, r.site, r.regex, sorted(r.tokens)) for r in rules], "rule string, verdict string, site boolean, regex string, tokens array<string>")
-    one = urls.filter_urls(pages, patterns=tuple(x for x in urls.PATTERNS if urls.pattern_rule(*x).tokens)).where("row.url IS NOT NULL").select("row.url", "host", "path", "rule", "verdict", "pattern").distinct()
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate([*PAGES, *MORE_PAGES])], "page_id long, url string")
+    patterns = (*urls.PATTERNS, ("zzz", urls.BLOCK))
+    rules = [urls.site_rule(*x) for x in urls.SITES] + [urls.pattern_rule(*x) for x in patterns]
+    assert sum(not r.keys for r in rules) == 1
+    table = spark.createDataFrame([(r.rule, r.verdict, r.site, r.regex, sorted(r.keys)) for r in rules], "rule string, verdict string, site boolean, regex string, keys array<string>")
+    one = urls.filter_urls(pages, patterns=patterns).where("row.url IS NOT NULL").select("row.url", "host", "path", "rule", "verdict", "pattern").distinct()
     two = urls.filter_by_join(pages, table)
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+MORE_PAGES = [
+    ("http://h.org/x.exe", ".exe", "block"), ("http://h.org/x.exec", ".exe", "block"), ("http://h.org/exe", None, "allow"), ("http://h.org/tracker7/a/clicks", "/track*/click", "block"),
+    ("http://h.org/racks/click", None, "allow"), ("http://h.org/xzzzx", "zzz", "block"), ("http://h.org/" + "a/" * 100_000 + "?sessionid=1", "?sessionid=", "block"), ("http://h.org/ads/1", "/ads/", "block"),
+]
+
+
+def test_url_patterns_by_open_tokens(spark):
+    """Rules with tokens open on one side have keys; long and repeated urls; only the pattern without a key runs on all."""
+    patterns = (*urls.PATTERNS, ("zzz", urls.BLOCK), ("*roll.png", urls.BLOCK))
+    assert [sorted(urls.pattern_rule(x, "").keys) for x in (".exe", "/track*/click", "zzz", "*roll.png", "//ads.*/about/")] == [["^exe"], ["^click", "^track"], [], ["$roll", "^png"], ["=about", "=ads"]]
+    pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate(MORE_PAGES * 2)], "page_id long, url string").repartition(3)
+    out = {r["page_id"]: (r["pattern"], r["verdict"]) for r in urls.filter_urls(pages, patterns=patterns).select("row.page_id", "pattern", "verdict").collect()}
+    assert [out[k] for k in range(len(out))] == [(p, v) for _, p, v in MORE_PAGES * 2]
+
+
 # Quotes
 
 
