@@ -466,6 +466,16 @@ def test_language_lengths_do_not_depend_on_slices(spark, monkeypatch):
         np.testing.assert_allclose(model.lengths(texts), whole)
 
 
+def test_language_rejects_what_is_in_none(spark):
+    import base64
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = [(90_001, base64.b64encode(bytes(k * k * 7919 // 256 % 256 for k in range(900))).decode()), (90_002, "これは学習していない言語の文章です。" * 5), (90_003, "12345 ... !!!"), (90_004, None)]
+    rows = docs.unionByName(spark.createDataFrame([(d, t, None, "x", 0) for d, t in junk], DOCS).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = {r["doc_id"] for r in langid.keep_identified(rows).collect()}
+    assert kept == {r["doc_id"] for r in docs.where("text IS NOT NULL").collect()}
+
+
 def brute_bits(train, text):
     """PPM of one language by dictionaries, byte by byte."""
     counts = defaultdict(lambda: defaultdict(int))
@@ -474,8 +484,6 @@ def brute_bits(train, text):
         for k in range(3, len(data)):
             for order in range(4):
                 counts[data[k - order : k]][data[k]] += 1
-    for ctx in [c for c in counts if len(c) == 3]:
-        counts[ctx] = {b: n for b, n in counts[ctx].items() if n > 1}
     data, bits = b"\n" * 3 + text.encode(), 0.0
     for k in range(3, len(data)):
         for order in (3, 2, 1, 0):

@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language a tree of byte contexts up to three bytes long is counted over a bounded sample of labelled
-documents. A byte seen in its context costs -log2(count / (total + kinds)) bits; one not seen costs the escape
+For each language a tree of byte contexts up to three bytes long is counted over the lower-cased texts of a bounded sample
+of labelled documents. A byte seen in its context costs -log2(count / (total + kinds)) bits; one not seen costs the escape
 -log2(kinds / (total + kinds)) and is then coded in the context shorter by a byte, down to 8 bits flat (method C,
 without exclusion). The statistics are frozen before scoring, so the code length of a byte depends on its last three
 neighbours only, and whole texts are scored by table lookups, batch by batch, in bounded memory.
@@ -10,8 +10,8 @@ A text's prediction is the language with the shortest code, ties to the smaller
 share of 2 ** -length over all languages.
 
 Bound of the sample: SAMPLE_DOCS documents a language are expected (each drawn by a hash of its doc_id with
-probability SAMPLE_DOCS / labelled documents of that language), of whole texts; contexts of three bytes with a single
-occurrence are left out. The tables grow with the sample only and are broadcast after their size is checked.
+probability SAMPLE_DOCS / labelled documents of that language), of whole texts. The counts grow with the sample only, and
+their number and that of the languages are checked before they are gathered and broadcast; more raise an error.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no labelled document every text
 is; null doc_ids are not held out and not learned from; repeated rows are predicted alike.
@@ -27,9 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 ORDER = 3
 SAMPLE_DOCS = 1500
 MAX_MODEL_BYTES = 512 << 20
+MAX_LANGS = 1000
+#: A text is in none of the languages if it costs more than SLACK_BITS and MAX_BITS for each byte. Text of a learned language
+#: takes 2.2 bits a byte (held-out documents of sf0.1; at most 4.7), random letters and digits about 6, an unknown script about 8.
+MAX_BITS, SLACK_BITS = 5.0, 64
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n" * ORDER
 #: Positions scored at once, and text bytes gathered for that.
@@ -60,11 +66,15 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, owner[ORDER:]
 
 
+def coded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
 def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of (lang, order, key) in each batch of (lang, text)."""
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            data, owner = joined([t.encode("utf-8", "replace") for t in texts])
+            data, owner = joined([coded(t) for t in texts])
             for order in range(ORDER + 1):
                 key, n = np.unique(grams(data, order)[owner >= 0], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "ord": order, "key": key.astype(np.int64), "n": n})
@@ -102,9 +112,6 @@ class Model:
             self.escapes.append(escapes.astype(np.float32))
             lower = self.cost
 
-    def nbytes(self) -> int:
-        return sum(x.nbytes for part in (self.keys, self.bits, self.contexts, self.escapes) for x in part)
-
     def cost(self, key: np.ndarray, order: int) -> np.ndarray:
         """Bits of each gram in each language."""
         if order < 0:
@@ -154,7 +161,7 @@ class Model:
 
         for k, text in enumerate(texts):
             if self.langs and isinstance(text, str) and LETTER.search(text):
-                todo.append((k, text.encode("utf-8", "replace")))
+                todo.append((k, coded(text)))
                 held += len(todo[-1][1])
                 if held >= SLICE:
                     flush()
@@ -167,25 +174,23 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the labelled documents that are not held out."""
     labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # a row for each language, as the model itself has
-    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(per_lang) > MAX_LANGS:
+        raise ValueError(f"there are more than {MAX_LANGS} languages in the labels")
     share = F.create_map(*[F.lit(x) for lang, n in sorted(per_lang.items()) for x in (lang, sample_docs / n)]) if per_lang else F.lit(None)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(draw < (share[F.col("lang")] if per_lang else F.lit(0.0))).where("text IS NOT NULL")
-    counted = (
-        sample.select("lang", "text")
-        .mapInPandas(count_grams, "lang string, ord int, key long, n long")
-        .groupBy("lang", "ord", "key")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("ord") < ORDER) | (F.col("n") > 1))
-    )
+    counted = sample.select("lang", "text").mapInPandas(count_grams, "lang string, ord int, key long, n long")
+    counted = checkpointed(counted.groupBy("lang", "ord", "key").agg(F.sum("n").alias("n")))
+    # a gram seen in one language takes a number in each of them
+    if (size := counted.count() * 8 * (1 + len(per_lang))) > MAX_MODEL_BYTES:
+        raise ValueError(f"the model may take {size} bytes, over {MAX_MODEL_BYTES}; lower sample_docs")
     counts = counted.toPandas()
     return Model(sorted(counts["lang"].unique()), counts)
 
 
 def predictor(docs: DataFrame, model: Model):
     """A column function: text to struct(lang, score, bits)."""
-    if model.nbytes() > MAX_MODEL_BYTES:
-        raise ValueError(f"the model takes {model.nbytes()} bytes; lower sample_docs")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, bits double")
@@ -206,8 +211,8 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_bits: float = 8.0) -> DataFrame:
-    """The documents in some language: those left out have no letter, or cost more than max_bits a byte in every language."""
+def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_bits: float = MAX_BITS) -> DataFrame:
+    """The documents in some language: those left out have no letter, or cost over max_bits a byte, and SLACK_BITS, in every language."""
     predict = predictor(docs, learn(docs, sample_docs))
     said = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict("text").alias("said"))
-    return said.where((F.col("said.lang") != "und") & (F.col("said.bits") <= max_bits)).select("row.*")
+    return said.where((F.col("said.lang") != "und") & (F.col("said.bits") <= max_bits + SLACK_BITS / F.octet_length(F.lower("text")))).select("row.*")

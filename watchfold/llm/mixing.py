@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_row, word_count
+from .common import checkpointed, whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -91,7 +91,8 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target and taken (the words the mix takes of it)."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(0).alias("tie"), F.lit(0).alias("row"))
+    # words are counted once, as the plan needs sizes several times
+    rows = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(0).alias("tie"), F.lit(0).alias("row")))
     plan = plan_mix(rows, **options)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
