@@ -16,7 +16,7 @@ from watchfold.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that no language's model codes better than flat bytes, go."""
+    """Documents without a letter, or that cost over langid.MAX_BITS bits a byte in every learned language, go."""
     return langid.keep_identified(docs)
 
 
