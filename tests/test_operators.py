@@ -185,23 +185,34 @@ RAW = {
     "file": ["id,date,user,pc,filename,content", "4,01/04/2010 09:20:00,abc1234,PC-1,R:\\a.doc,D0-CF more"],
     "email": ["id,date,user,pc,to,cc,bcc,from,size,attachments,content", "5,01/04/2010 09:30:00,abc1234,PC-1,x@y.com;z@dtaa.com,,,abc@dtaa.com,100,1,hello"],
     "http": ["id,date,user,pc,url,content", "6,01/04/2010 09:40:00,abc1234,PC-1,http://linkedin.com/jobs,words"],
+    "psychometric": ["employee_name,user_id,O,C,E,A,N", "Abc Def,abc1234,40,20,30,20,40"],
 }
+LDAP = ["employee_name,user_id,email,role,projects,business_unit,functional_unit,department,team,supervisor", "Abc Def,abc1234, ABC@dtaa.com,ITAdmin,,,,Security,T1,"]
 
 
 def test_stages(spark, tmp_path, capsys):
     for name, lines in RAW.items():
         (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "ldap").mkdir()
+    (tmp_path / "ldap" / "2010-01.csv").write_text("\n".join(LDAP) + "\n")
     audit = sinks.Audit(str(tmp_path / "audit.log"))
     pipelines.stage1(spark, str(tmp_path), str(tmp_path / "out"), audit=audit)
-    tables = {x: spark.read.parquet(f"{tmp_path}/out/{x}") for x in RAW}
+    tables = {x: spark.read.parquet(f"{tmp_path}/out/{x}") for x in (*RAW, "ldap")}
     assert tables["http"].first()["domain_category"] == "social_media" and tables["email"].first()["has_external_recipient"] and tables["logon"].first()["user"] == "ABC1234"
     assert len({r["user_hash"] for x in tables.values() for r in x.collect()}) == 1
-    pipelines.stage2(spark, tables, str(tmp_path / "features"))
+    assert tables["ldap"].first()["email"] == "abc@dtaa.com" and str(tables["ldap"].first()["snapshot_month"]) == "2010-01-01"
+    assert tables["logon"].first()["is_holiday"] is False and tables["logon"].first()["time_bucket"] == at("2010-01-04 09:00")
+    pipelines.stage2(spark, tables, str(tmp_path / "features"), directory=tables["ldap"], traits=tables["psychometric"])
     row = spark.read.parquet(f"{tmp_path}/features/features").first()
     assert (row["logon_count"], row["sum_session"], row["missing_disconnect_count"], row["external_emails_sent"], row["job_visits"], row["logon_count_7d"]) == (1, 3600, 1, 1, 1, 1)
-    assert all(v for v in sinks.completeness(spark, f"{tmp_path}/features", cli.EXPECTED[:5]).values())
-    assert len((tmp_path / "audit.log").read_text().splitlines()) == 5 and json.loads((tmp_path / "audit.log").read_text().splitlines()[0])["kind"] == "write"
+    assert (row["new_pcs"], row["new_domains"], row["degree"], row["role_sensitivity"], row["is_high_risk"]) == (1, 1, 2, 5, True)
+    rows = sinks.completeness(spark, f"{tmp_path}/features", cli.EXPECTED)
+    assert all(v for name, v in rows.items() if name != "graph/edges_shared_pc") and not rows["graph/edges_shared_pc"]
+    edge = spark.read.parquet(f"{tmp_path}/features/graph/edges_browsed").first()
+    assert (edge["user_node"], edge["domain_node"], edge["weight"]) == (0, 1, 1)
+    for task, name in (("features", "features"), ("graph", "graph/nodes_user"), ("sequences", "sequences")):
+        assert cli.main([task, str(tmp_path / "out"), str(tmp_path / "more"), "--windows", "24h,7d"]) == 0 and spark.read.parquet(f"{tmp_path}/more/{name}").count() == 1
+    assert len((tmp_path / "audit.log").read_text().splitlines()) == 7 and json.loads((tmp_path / "audit.log").read_text().splitlines()[0])["kind"] == "write"
     assert cli.main(["check", str(tmp_path)]) == 0 and json.loads(capsys.readouterr().out)["logon"]
     assert logs.read_ground_truth(spark, None).count() == 0
 
@@ -219,12 +230,85 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["date"].day for r in spark.read.parquet(f"{tmp_path}/recent/1").collect()) == [6, 7, 8]
 
 
+def test_answers_windows_and_samples(spark, tmp_path):
+    folder = tmp_path / "r4.2-1"
+    folder.mkdir()
+    (folder / "r4.2-1-ABC1234.csv").write_text('logon,1,"01/04/2010 09:00:00",x\nlogon,2,"01/06/2010 10:00:00",x\n')
+    found = logs.read_answers(spark, str(tmp_path)).first()
+    assert (found["user"], found["scenario"], found["start"], found["end"]) == ("ABC1234", 1, at("2010-01-04 09:00"), at("2010-01-06 10:00"))
+    df = spark.range(100)
+    assert logs.random_sample(df, 7).count() == 7
+    paths = sinks.write_windows({"24h": df, "7d": df}, str(tmp_path / "w"))
+    assert paths["7d"].endswith("features_weekly") and spark.read.parquet(paths["24h"]).count() == 100
+    (tmp_path / "logon.csv").write_text("x" * 600)
+    assert logs.estimated_rows(str(tmp_path / "logon.csv"), "logon") == 10
+    lines = ["id,date,user,pc,filename,content", '4,01/04/2010 09:20:00,abc1234,PC-1,R:\\a.doc,"two', 'lines"']
+    (tmp_path / "file.csv").write_text("\n".join(lines) + "\n")
+    assert logs.read_log(spark, str(tmp_path / "file.csv"), "file", multi_line=True).first()["content"] == "two\nlines"
+
+
+def refusing(path, refusals):
+    """A sender that counts what it is sent in a file, and refuses the first times."""
+
+    def send(messages):
+        with open(path, "a") as out:
+            out.write(f"{len(messages)}\n")
+        with open(path) as lines:
+            if len(lines.readlines()) <= refusals:
+                raise OSError("refused")
+
+    return send
+
+
+def test_post_tries_again(spark, tmp_path):
+    rows = spark.range(5).coalesce(1)
+    live.post(refusing(str(tmp_path / "a"), 2), batch_rows=5, pause=0.01)(rows, 0)
+    assert (tmp_path / "a").read_text().split() == ["5", "5", "5"]
+    with pytest.raises(Exception, match="refused"):
+        live.post(refusing(str(tmp_path / "b"), 99), batch_rows=5, attempts=2, pause=0.01)(rows, 0)
+
+
+def test_post_to_a_server(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    live.to_url(f"http://127.0.0.1:{server.server_port}/")(['{"a": 1}', '{"a": 2}'])
+    server.shutdown()
+    assert got == [[{"a": 1}, {"a": 2}]]
+
+
+def test_replay_forever(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"r{k}") for k in range(3)], "row_id long, name string")
+    query = live.replay_forever(spark, rows, 50).writeStream.format("memory").queryName("forever").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        for _ in range(60):
+            if spark.table("forever").count() > 6:
+                break
+            query.processAllAvailable()
+        assert {r["name"] for r in spark.table("forever").collect()} == {"r0", "r1", "r2"}
+    finally:
+        query.stop()
+
+
 def test_the_rest_works_without_llm():
     import subprocess
     import sys
 
     code = (
-        "import sys; sys.modules['corpus_pipeline'] = None\n"
+        "import sys; sys.modules['corpus_pipeline'] = sys.modules['watchfold.llm'] = None\n"
         "try:\n import __spark_entry__ as e\nexcept ModuleNotFoundError as x:\n assert x.name is None or x.name == 'corpus_pipeline', x\nelse:\n assert 'logon_user_day' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], check=False).returncode == 0

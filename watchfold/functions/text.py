@@ -11,7 +11,7 @@ LARGE_FILE = 5_000_000
 
 # Keyword lists and ladders that results depend on.
 CATEGORIES = (
-    ("social_media", "facebook|twitter|instagram|linkedin"),
+    ("social_media", "facebook|linkedin|twitter"),
     ("cloud_storage", r"dropbox|googledrive|onedrive|box\.com"),
     ("job_search", r"indeed|linkedin\.com|monster|glassdoor"),
     ("file_sharing", r"wikileaks|mega\.nz|mediafire"),
@@ -105,7 +105,7 @@ def distinct_recipients(text: Column) -> Column:
 
 
 def sender_domain(address: Column) -> Column:
-    return extracted(F.trim(address), "@([a-zA-Z0-9.-]+)$")
+    return F.lower(extracted(F.trim(address), "@([a-zA-Z0-9.-]+)$"))
 
 
 def is_internal(address: Column, domain: str = INTERNAL_DOMAIN) -> Column:
@@ -179,8 +179,9 @@ def department_id(department: Column) -> Column:
     return F.when(department.isNull(), F.lit(0)).otherwise(ladder(DEPARTMENTS, F.lit(7), F.lower(department).rlike))
 
 
-def is_large(content: Column) -> Column:
-    return F.octet_length(content) > LARGE_FILE
+def is_large(content: Column, over: int = LARGE_FILE) -> Column:
+    """By bytes."""
+    return F.octet_length(content) > over
 
 
 def clipped(x: Column, low: float, high: float) -> Column:

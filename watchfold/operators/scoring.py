@@ -60,15 +60,32 @@ def late_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"high_after_hours": (number(df, "after_hours_ratio") > 0.3).cast("int"), "email_per_logon": rate})
 
 
+def indicators(df: DataFrame) -> Column:
+    """The rules that hold, each with the value that it judged: name=value."""
+    said = lambda name, column, over: F.when(number(df, column) > over, F.concat(F.lit(f"{name}="), F.round(number(df, column), 2).cast("decimal(18,2)").cast("string")))
+    return F.array_compact(F.array(*[said(*rule) for rule in ALERT_RULES]))
+
+
+def resource(df: DataFrame) -> Column:
+    """What kind of thing the event touched."""
+    kinds = {"logon": "workstation", "device": "removable media", "email": "mailbox", "http": "web"}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("log_type")], F.lit("process"))
+
+
 def messages(df: DataFrame, source: str) -> DataFrame:
-    """Rows as event messages: id, user, action, details, address and raw features; what was random is hashed."""
-    h = F.xxhash64("user")
+    """Rows as event messages: who, when, what, where, the rules that hold with their values, and raw features.
+
+    What a random draw chose is taken from a digest of the user.
+    """
+    digits = lambda a, n: F.conv(F.substring(F.md5(F.col("user").cast("string")), a, n), 16, 10).cast("long")
     raw = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in df.columns]))
     return df.select(
-        F.concat_ws("-", F.lit("LOG"), F.col("date").cast("string"), F.hex(F.abs(h))).alias("id"), F.col("log_type").alias("logType"), F.substring("user", 1, 12).alias("userId"),
+        F.concat_ws("-", F.lit("LOG"), F.col("date").cast("string"), F.substring(F.md5(F.col("user").cast("string")), 1, 8)).alias("id"), F.col("date").cast("timestamp_ntz").alias("timestamp"), F.col("log_type").alias("logType"), F.substring("user", 1, 12).alias("userId"),
         F.concat(F.lit("User_"), F.substring("user", 1, 6)).alias("userName"), F.col("primary_alert").alias("action"), F.lit(source).alias("sourceFile"),
-        F.concat(F.lit("192.168."), F.pmod(h, F.lit(255)).cast("string"), F.lit("."), F.pmod(F.shiftright(h, 8), F.lit(255)).cast("string")).alias("sourceIp"),
-        F.concat(F.lit("SES-"), F.pmod(h, F.lit(1_000_000)).cast("string")).alias("sessionId"), raw.alias("rawFeatures"), "alerts",
+        (F.col("department") if "department" in df.columns else F.lit("unknown")).alias("department"),
+        F.concat(F.lit("192.168."), (digits(1, 2) % 255).cast("string"), F.lit("."), (digits(3, 2) % 255).cast("string")).alias("sourceIp"),
+        F.concat(F.lit("SES-"), (digits(5, 6) % 1_000_000).cast("string")).alias("sessionId"), resource(df).alias("resource"), indicators(df).alias("anomalyFactors"),
+        F.concat_ws(" ", F.col("primary_alert"), F.concat(F.lit("("), F.size("alerts").cast("string"), F.lit(" rules)"))).alias("details"), raw.alias("rawFeatures"), "alerts",
     )
 
 

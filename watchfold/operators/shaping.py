@@ -23,6 +23,12 @@ def merge(frames: list[DataFrame], keys: list[str], how: str = "full_outer") ->
     return reduce(lambda a, b: a.join(b, keys, how), frames)
 
 
+def stacked(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """What a full join on keys gives, for frames with one row a key and no other column in common: a union and one aggregation."""
+    all_ = diagonal(frames)
+    return all_.groupBy(*keys).agg(*[F.max(c).alias(c) for c in all_.columns if c not in keys])
+
+
 def left_without_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """A left join that takes from b only the columns a does not have."""
     return a.join(b.select(*keys, *[c for c in b.columns if c not in a.columns]), keys, "left")
@@ -55,12 +61,29 @@ def pivoted(df: DataFrame, keys: list[str], column: str, values: list, prefix: s
 
 
 def median_imputed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column's missing values become its median (one aggregation over all columns)."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}__median") for c in columns])
-    full = df.crossJoin(F.broadcast(medians))  # one row
+    """Each column's missing values become its median."""
+    full = df
+    for c in columns:
+        full = full.crossJoin(F.broadcast(median(df, c).withColumnRenamed("median", f"{c}__median")))  # one row
     return full.select(*[F.coalesce(c, f"{c}__median").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row with the exact median of a column: its values counted, the distinct ones numbered across range partitions."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = checkpointed(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = sizes.withColumn("before", before).withColumn("all", F.sum("size").over(Window.partitionBy()))
+    within = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    middles = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    # only the partitions that hold a middle place are sorted
+    near = placed.join(F.broadcast(starts.where((F.col("before") <= middles[1]) & (F.col("before") + F.col("size") > middles[0]))), "part")
+    upto = near.withColumn("upto", F.col("before") + F.sum("n").over(within))
+    hit = lambda m: F.max(F.when((F.col("upto") - F.col("n") <= m) & (F.col("upto") > m), F.col("value").cast("double")))
+    return upto.agg(((hit(middles[0]) + hit(middles[1])) / 2).alias("median"))
+
+
 def without_zero_columns(df: DataFrame, share: float = 0.95, keep: tuple[str, ...] = ("user", "date")) -> DataFrame:
     """Drops numeric columns of which more than a share is 0. Runs one aggregation."""
     columns = numbers(df, keep)

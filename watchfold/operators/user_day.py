@@ -13,7 +13,9 @@ from ..functions import text, timeops
 
 UD = ["user", "date"]
 WINDOWS = {"24h": 1, "7d": 7, "30d": 30, "90d": 90}
-WRITES, COPIES, DELETES = ("write", "create", "modify"), ("copy", "move"), ("delete", "remove")
+# Operations that count as writes, copies and deletes.
+WRITES, COPIES, DELETES = ("write", "create"), ("copy", "move"), ("delete", "remove")
+# End of fixed values.
 
 
 def window_days(name: str) -> int:
@@ -76,6 +78,29 @@ def rapid_logons(logs: DataFrame, by: list[str] = UD, seconds: int = 300, logons
     return rows.withColumn("gap", gap).groupBy(*by).agg(how_many((F.col("gap") < seconds) & is_("activity", "logon")).alias("rapid_logons"))
 
 
+def logon_day(logs: DataFrame, seconds: int = 300) -> DataFrame:
+    """logon_counts, session_durations, rapid_logons and temporal_profile of each user and day from one grouped pass.
+
+    Both predecessors, on the same machine and of the user's last logon, are flags of the rows; the second window deals
+    rows by user, and the aggregation needs no other exchange.
+    """
+    on, ts = is_("activity", "logon"), F.col("timestamp")
+    machine, mine = Window.partitionBy("user", "pc").orderBy("timestamp", "id"), Window.partitionBy("user").orderBy("timestamp", "id")
+    paired = is_("activity", "logoff") & (F.lower(F.lag("activity").over(machine)) == "logon")
+    rows = logs.withColumn("session_seconds", F.when(paired, timeops.seconds_between(F.lag("timestamp").over(machine), ts)))
+    before = F.last(F.when(on, ts), ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("gap", F.when(on, timeops.seconds_between(before, ts)))
+    s = F.when(F.col("session_seconds") > 0, F.col("session_seconds"))
+    out = rows.groupBy(*UD).agg(
+        how_many(on).alias("logon_count"), how_many(is_("activity", "logoff")).alias("logoff_count"), how_many(on & F.col("is_after_hours")).alias("after_hours_logons"),
+        how_many(on & F.col("is_weekend")).alias("weekend_logons"), F.countDistinct(F.when(on, F.col("pc"))).alias("unique_pcs"),
+        F.avg(s).alias("avg_session"), F.max(s).alias("max_session"), F.when(F.count(s) > 0, F.coalesce(F.stddev_samp(s), F.lit(0.0))).alias("std_session"), F.median(s).alias("median_session"),
+        F.sum(s).alias("sum_session"), F.count(s).alias("sessions"), how_many(F.col("gap") < seconds).alias("rapid_logons"),
+        *[how_many(F.col("hour") == v).alias(f"hour_{v}") for v in range(24)], *[how_many(F.col("day_of_week") == v).alias(f"day_of_week_{v}") for v in range(7)],
+    )
+    return out.withColumn("logon_ratio", F.col("logon_count") / (F.col("logon_count") + F.col("logoff_count") + 1))
+
+
 def device_counts(logs: DataFrame, by: list[str] = UD) -> DataFrame:
     """Connects, disconnects, those after hours and at weekends, machines, and connects that no disconnect answers."""
     on = is_("activity", "connect")
@@ -112,6 +137,15 @@ def email_counts(logs: DataFrame, by: list[str] = UD) -> DataFrame:
     return out.withColumn("cc_usage_rate", F.least(F.col("avg_cc") / (F.col("emails_sent") + 1), F.lit(1.0)))
 
 
+def email_totals(logs: DataFrame, by: list[str] = UD) -> DataFrame:
+    """Mail by where it goes: all, to insiders alone, outside; attachments, sizes and recipients."""
+    outside = F.col("has_external_recipient")
+    return logs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("emails_sent"), how_many(~outside).alias("internal_emails"), how_many(outside).alias("external_emails"), how_many(F.col("has_attachments")).alias("emails_with_attachments"),
+        F.avg("size").alias("avg_email_size"), F.max("size").alias("max_email_size"), F.sum("size").alias("total_email_size"), F.avg("to_count").alias("avg_recipients"), F.avg("cc_count").alias("avg_cc"),
+    )
+
+
 def http_counts(logs: DataFrame, by: list[str] = UD, words: dict[str, str] = text.SITE_WORDS) -> DataFrame:
     """Requests, domains, those after hours and at weekends, and visits to each group of sites."""
     flags = text.site_flags(F.col("domain"), words)
@@ -153,11 +187,20 @@ def rolling(daily: DataFrame, columns: list[str], days: int, how: str = "sum", s
 
 
 def rolling_distinct(logs: DataFrame, entity: str, days: int) -> DataFrame:
-    """For each day a user was seen, how many different entities the last days held: a day counts on to the days it reaches."""
-    seen = logs.where(F.col(entity).isNotNull()).select("user", "date", entity).distinct()
-    reach = seen.withColumn("date", F.explode(F.sequence("date", F.date_add("date", days - 1), F.expr("interval 1 day"))))
-    counts = reach.groupBy("user", "date").agg(F.countDistinct(entity).alias(f"unique_{entity}s_{days}d"))
-    return logs.select("user", "date").distinct().join(counts, UD, "left").fillna(0, [f"unique_{entity}s_{days}d"])
+    """For each day a user was seen, how many different entities the last days held.
+
+    An entity counts from a day it was seen to the last day that this reaches, or to the day before it was seen next: such
+    stretches do not overlap. So each sighting adds one on its day and takes one away behind its stretch, and the running
+    sum of a user's changes is the number, whatever the length of the window.
+    """
+    upcoming = F.lead("date").over(Window.partitionBy("user", entity).orderBy("date"))
+    seen = logs.select("user", "date", entity).distinct().withColumn("upcoming", upcoming)
+    known = F.col(entity).isNotNull().cast("int")
+    over = F.least("upcoming", F.date_add("date", days))
+    change = F.array(F.struct("date", known.alias("change"), F.lit(True).alias("is_day")), F.struct(over.alias("date"), (-known).alias("change"), F.lit(False).alias("is_day")))
+    changes = seen.select("user", F.explode(change).alias("x")).groupBy("user", "x.date").agg(F.sum("x.change").alias("change"), F.max("x.is_day").alias("is_day"))
+    running = F.sum("change").over(Window.partitionBy("user").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return changes.withColumn(f"unique_{entity}s_{days}d", running).where("is_day").select("user", "date", f"unique_{entity}s_{days}d")
 
 
 def volume_drift(daily: DataFrame, column: str, days: int = 30) -> DataFrame:

@@ -1,25 +1,32 @@
-"""Command line: python -m watchfold.plans.cli check|stage1|stage2|report ..."""
+"""Command line: python -m watchfold.plans.cli check|stage1|stage2|features|graph|sequences|report ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from ..operators import sequences
 from ..session import session
 from ..sources import logs, sinks
 from . import pipelines
 
-EXPECTED = ["features", "sequences", "scores", "graph/nodes_user", "graph/nodes_pc", "graph/edges_used_pc", "graph/edges_shared_pc"]
+GRAPH = [f"graph/{x}" for x in "nodes_user nodes_pc nodes_domain edges_used_pc edges_shared_pc edges_sent_email edges_browsed edges_device_on".split()]
+EXPECTED = ["features", "sequences", "scores", *GRAPH]
+TASKS = "check stage1 stage2 features graph sequences report".split()
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="watchfold")
-    parser.add_argument("task", choices=("check", "stage1", "stage2", "report"))
+    parser.add_argument("task", choices=TASKS)
     parser.add_argument("source")
     parser.add_argument("target", nargs="?")
     parser.add_argument("--no-http", action="store_true")
     parser.add_argument("--http-sample", type=int)
+    parser.add_argument("--multi-line", action="store_true")
+    parser.add_argument("--no-directory", action="store_true")
+    parser.add_argument("--no-traits", action="store_true")
     parser.add_argument("--truth")
+    parser.add_argument("--windows", default="24h,7d,30d,90d")
     args = parser.parse_args(argv)
     if args.task == "check":
         print(json.dumps(logs.availability(args.source)))
@@ -28,11 +35,21 @@ def main(argv: list[str] | None = None) -> int:
     if args.task == "report":
         print(json.dumps(sinks.completeness(spark, args.source, EXPECTED)))
     elif args.task == "stage1":
-        pipelines.stage1(spark, args.source, args.target, http=not args.no_http, http_sample=args.http_sample)
+        pipelines.stage1(spark, args.source, args.target, http=not args.no_http, http_sample=args.http_sample, directory=not args.no_directory, traits=not args.no_traits, multi_line=args.multi_line)
     else:
         tables = {x: spark.read.parquet(f"{args.source}/{x}") for x in ("logon", "device", "file", "email", *([] if args.no_http else ["http"]))}
         truth = logs.read_ground_truth(spark, args.truth) if args.truth else None
-        pipelines.stage2(spark, tables, args.target, truth)
+        directory = None if args.no_directory else spark.read.parquet(f"{args.source}/ldap")
+        traits = None if args.no_traits else spark.read.parquet(f"{args.source}/psychometric")
+        windows = tuple(args.windows.split(","))
+        if args.task == "stage2":
+            pipelines.stage2(spark, tables, args.target, truth, directory, traits, windows)
+        elif args.task == "features":
+            sinks.write_parquet(pipelines.windowed_features(pipelines.with_context(pipelines.daily_features(tables), tables), windows), f"{args.target}/features")
+        elif args.task == "graph":
+            sinks.write_graph(*pipelines.graph_tables(tables, directory, traits), f"{args.target}/graph")
+        else:
+            sinks.write_parquet(sequences.encoded(sequences.unified(tables), truth), f"{args.target}/sequences")
     return 0
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, timeops
 from ..functions.hashing import SALT
 from ..operators import graph, labels, people, scoring, sequences, shaping, user_day
 from ..sources import logs as readers
@@ -15,6 +15,8 @@ from ..sources import sinks
 from ..sources.schemas import LOGS, column_check
 
 UD = user_day.UD
+#: Machines of more users than this are kiosks: they say nothing about who works with whom, and their pairs grow with the square.
+KIOSK_USERS = 1000
 #: Daily columns that add up over days.
 SUMMED = (
     "logon_count logoff_count after_hours_logons weekend_logons connect_count disconnect_count after_hours_connects device_events file_event_count file_write_count file_copy_count "
@@ -26,7 +28,8 @@ SUMMED = (
 def normalised(df: DataFrame, source: str) -> DataFrame:
     """Standard forms of one source's columns."""
     c = F.col
-    out = df.withColumns({x: text.entity(c(x)) for x in ("user", "pc", "user_id") if x in df.columns})
+    out = timeops.calendar(df, holiday_rule=True) if "timestamp" in df.columns else df
+    out = out.withColumns({x: text.entity(c(x)) for x in ("user", "pc", "user_id") if x in df.columns})
     more = {
         "logon": lambda: {"session_key": text.session_key(c("user"), c("pc"))}, "device": lambda: {"activity": F.upper("activity")},
         "file": lambda: {"operation_type": text.operation(c("filename")), "file_extension": text.file_extension(c("filename")), "is_removable": text.is_removable(c("filename"))},
@@ -38,9 +41,12 @@ def normalised(df: DataFrame, source: str) -> DataFrame:
     return out.withColumns(more[source]()) if source in more else out
 
 
-def stage1(spark: SparkSession, raw: str, out: str, salt: str = SALT, http: bool = True, http_sample: int | None = None, audit: sinks.Audit | None = None) -> None:
-    """Reads, checks, normalises, hashes and writes the five logs."""
-    for name, df in readers.hashed(readers.read_all(spark, raw, http, http_sample), salt).items():
+def stage1(
+    spark: SparkSession, raw: str, out: str, salt: str = SALT, http: bool = True, http_sample: int | None = None, audit: sinks.Audit | None = None,
+    directory: bool = True, traits: bool = True, multi_line: bool = False,
+) -> None:
+    """Reads, checks, normalises (with the holiday rule), hashes and writes the five logs, the directory and the traits."""
+    for name, df in readers.hashed(readers.read_all(spark, raw, http, http_sample, directory, traits, multi_line), salt).items():
         column_check(df, name, strict=True)
         sinks.write_parquet(normalised(df, name), f"{out}/{name}")
         if audit:
@@ -51,7 +57,7 @@ def daily_features(tables: dict[str, DataFrame]) -> DataFrame:
     """All sources' features of each user and day, missing ones 0."""
     frames = []
     if (x := tables.get("logon")) is not None:
-        frames += [user_day.logon_counts(x), user_day.session_durations(x), user_day.rapid_logons(x), user_day.temporal_profile(x)]
+        frames.append(user_day.logon_day(x))
     if (x := tables.get("device")) is not None:
         frames.append(user_day.device_counts(x))
     if (x := tables.get("file")) is not None:
@@ -60,7 +66,59 @@ def daily_features(tables: dict[str, DataFrame]) -> DataFrame:
         frames.append(user_day.email_counts(x))
     if (x := tables.get("http")) is not None:
         frames.append(user_day.http_counts(x))
-    return shaping.filled(shaping.merge(frames, UD))
+    return shaping.filled(shaping.stacked(frames, UD))
+
+
+def with_context(daily: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """daily with what depends on other days and users: volume change, new machines and domains, degrees, drift of each user."""
+    out = daily
+    if (x := tables.get("logon")) is not None:
+        more = [user_day.new_entities(x, "pc"), user_day.degree_proxies(x), user_day.rolling_distinct(x, "pc", 7)]
+        more += [user_day.new_entities(tables["http"], "domain")] if "http" in tables else []
+        out = out.join(shaping.stacked(more, UD), UD, "left")
+        out = user_day.volume_proxy(user_day.volume_drift(out, "logon_count"), "logon_count")
+        out = out.join(user_day.behavioural_drift(daily, [c for c in ("logon_count", "unique_pcs", "emails_sent") if c in daily.columns]), "user", "left")
+    return shaping.filled(out)
+
+
+def indexed(edges: DataFrame, nodes: dict[str, DataFrame]) -> DataFrame:
+    """edges with the node numbers of their ends: nodes gives for each end's column its values' numbers (value column, node)."""
+    out = edges
+    for column, numbers in nodes.items():
+        value = next(c for c in numbers.columns if c != "node")
+        out = out.join(numbers.select(F.col(value).alias(column), F.col("node").alias(f"{column}_node")), column, "left")
+    return out
+
+
+def graph_tables(tables: dict[str, DataFrame], directory: DataFrame | None = None, traits: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Nodes (user, pc, domain) and edges (used_pc, shared_pc, sent_email, browsed, device_on), by month; edges with node numbers.
+
+    Users of the directory and of the traits are nodes too.
+    """
+    own = {name: graph.snapshots(df) for name, df in tables.items() if name in LOGS}
+    users = shaping.distinct_keys([*own.values(), *[x for x in (directory, traits) if x is not None]], ["user"])
+    number = {"user": graph.node_index(users, "user"), "pc": graph.node_index(own["logon"], "pc")}
+    nodes = {"user": graph.user_nodes(own["logon"]), "pc": graph.pc_nodes(own["logon"])}
+    edges = {"used_pc": indexed(graph.edges_used_pc(own["logon"]), {x: number[x] for x in ("user", "pc")})}
+    edges["shared_pc"] = indexed(graph.edges_shared_pc(own["logon"], KIOSK_USERS), {"user": number["user"], "user2": number["user"]})
+    if "device" in own:
+        edges["device_on"] = indexed(graph.edges_device_on(own["device"]), {x: number[x] for x in ("user", "pc")})
+    contacts = []
+    if "email" in own:
+        contacts.append(own["email"].select(F.col("sender_domain").alias("domain"), "user"))
+    if "http" in own:
+        contacts.append(own["http"].select("domain", "user"))
+    if contacts:
+        both = shaping.diagonal(contacts)
+        number["domain"] = graph.node_index(both, "domain")
+        kinds = own["http"].select("domain", F.col("domain_category").alias("category")) if "http" in own and "domain_category" in own["http"].columns else None
+        nodes["domain"] = indexed(graph.domain_nodes(both, kinds), {"domain": number["domain"]})
+    if "email" in own:
+        edges["sent_email"] = indexed(graph.edges_sent_email(own["email"]), {"user": number["user"], "sender_domain": number["domain"]})
+    if "http" in own:
+        flagged = own["http"] if "is_sensitive" in own["http"].columns else own["http"].withColumn("is_sensitive", text.is_sensitive(text.domain_category(F.col("domain"))))
+        edges["browsed"] = indexed(graph.edges_browsed(flagged), {"user": number["user"], "domain": number["domain"]})
+    return nodes, edges
 
 
 def windowed_features(daily: DataFrame, windows: tuple[str, ...] = ("24h", "7d", "30d")) -> DataFrame:
@@ -71,19 +129,19 @@ def windowed_features(daily: DataFrame, windows: tuple[str, ...] = ("24h", "7d",
 
 def stage2(spark: SparkSession, tables: dict[str, DataFrame], out: str, intervals: DataFrame | None = None, directory: DataFrame | None = None, traits: DataFrame | None = None, windows: tuple[str, ...] = ("24h", "7d", "30d", "90d")) -> None:
     """Writes features, labels, sequences, graph tables and anomaly scores."""
-    features = windowed_features(daily_features(tables), windows)
+    features = windowed_features(with_context(daily_features(tables), tables), windows)
     if directory is not None:
-        features = features.join(people.organisation(directory).drop("snapshot_month"), "user", "left")
+        organisation = people.organisation(directory)
+        features = shaping.left_without_overlap(features, organisation.drop("snapshot_month"), ["user"])
     if traits is not None:
-        features = features.join(people.personality(traits), "user", "left")
+        features = shaping.left_without_overlap(features, people.personality(traits), ["user"])
     if intervals is not None:
         features = labels.labelled(features, intervals)
     sinks.write_parquet(features, f"{out}/features")
     features = spark.read.parquet(f"{out}/features")
     own = {k: v for k, v in tables.items() if k in LOGS}
     sinks.write_parquet(sequences.encoded(sequences.unified(own), intervals), f"{out}/sequences")
-    events = graph.snapshots(tables["logon"])
-    sinks.write_graph({"user": graph.user_nodes(events), "pc": graph.pc_nodes(events)}, {"used_pc": graph.edges_used_pc(events), "shared_pc": graph.edges_shared_pc(events)}, f"{out}/graph")
+    sinks.write_graph(*graph_tables(tables, directory, traits), f"{out}/graph")
     columns = [c for c in shaping.numbers(features, ("user", "date", "is_insider"))]
     people_ = user_day.user_means(features, columns)
     vectors = scoring.scaled_vectors(people_, [f"mean_{c}" for c in columns])

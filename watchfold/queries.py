@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,35 +10,12 @@ from pyspark.sql import functions as F
 from .functions import hashing, text, timeops
 from .operators import graph, labels, people, scoring, sequences, shaping, user_day
 from .plans import pipelines
-from .session import checkpoint_folder, ship
+from .registry import QUERIES, SQL, query  # noqa: F401
+from .session import checkpoint_folder
 from .sources import adapters as views
 from .sources import logs as readers
 from .streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-Build = Callable[[SparkSession, str], DataFrame]
-
-
-def query(tables: str | None = None, sql: str | None = None, rounds: str = "") -> Callable[[Build], Build]:
-    """Registers a query under its function's name. tables: SQL views that sql needs; rounds: doubles compared to 6 places."""
-
-    def register(build: Build) -> Build:
-        @wraps(build)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            df = build(spark, sf_dir)
-            return df.withColumns({c: F.round(c, 6) for c in rounds.split()}) if rounds else df
-
-        QUERIES[build.__name__] = run
-        if sql is not None:
-            body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounds.split())}) FROM ({sql})" if rounds else sql
-            SQL[build.__name__] = views.with_views(tables, body) if tables else body
-        return run
-
-    return register
-
-
 # Logon, device, file, mail and web by user and day
 
 
@@ -259,9 +234,12 @@ def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", text.url_domain(u).alias("domain"), text.url_path(u).alias("url_path"))
 
 
-CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(site, '{p}') THEN '{name}'" for name, p in text.CATEGORIES) + " ELSE 'other' END"
+CATEGORY = """CASE WHEN contains(site, 'facebook') OR contains(site, 'linkedin') OR contains(site, 'twitter') THEN 'social_media'
+  WHEN contains(site, 'dropbox') OR contains(site, 'googledrive') OR contains(site, 'onedrive') OR contains(site, 'box.com') THEN 'cloud_storage'
+  WHEN contains(site, 'indeed') OR contains(site, 'linkedin.com') OR contains(site, 'monster') OR contains(site, 'glassdoor') THEN 'job_search'
+  WHEN contains(site, 'wikileaks') OR contains(site, 'mega.nz') OR contains(site, 'mediafire') THEN 'file_sharing' ELSE 'other' END"""
 #: Hosts of real sites stand in for some of the given hosts.
-SITES = ("linkedin.com", "www.dropbox.com", "jobs.indeed.com", "mega.nz", "facebook.com", "mybox.com", "wikipedia.org")
+SITES = ("linkedin.com", "www.dropbox.com", "jobs.indeed.com", "mega.nz", "facebook.com", "mybox.com", "wikipedia.org", "instagram.com", "m.twitter.com", "wikileaks.org")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -655,9 +633,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scaled_vectors(rows, vector="embedding")
 
 
-@query()
+@query(None, """SELECT vec_id AS "user", sum(CASE WHEN s > 0 THEN ((x - m) / s) * ((x - m) / s) ELSE 0 END) AS energy FROM (SELECT vec_id, x, avg(x) OVER (PARTITION BY place) AS m, stddev_pop(x) OVER (PARTITION BY place) AS s
+  FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) GROUP BY 1""", "energy")
 def pca_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.embedding(vectors(spark, sf_dir), k=64, out="components").select("user", F.round(F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))
+    """All components together turn the scaled vectors, and so keep their lengths."""
+    return scoring.embedding(vectors(spark, sf_dir), k=64, out="components").select("user", F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
 
 
 @query()
@@ -744,3 +724,4 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(events.select("event_id", "event_type", (F.col("value") > 90).alias("is_high")), "append")
 
 
+from . import stage_queries  # noqa: E402, F401  (registers more)

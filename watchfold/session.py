@@ -39,11 +39,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where none is set (as in tests) one is made."""
+    """The shared folder in spark.checkpoint.dir. Where none is set, a local session makes one; a cluster has to name it."""
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return checkpoint_folder(spark)
 
 

@@ -48,9 +48,10 @@ def file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a request for a page."""
-    pages = table(spark, sf_dir, "pages").where("page_id < 250").select("page_id", "url")
-    asked = events(spark, sf_dir).withColumn("page_id", F.col("id") % 250).join(pages, "page_id")
+    """Every event as a request for a page: of all pages in turn (their ids count from 0)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.broadcast(pages.agg(F.count(F.lit(1)).alias("pages")))  # one row
+    asked = events(spark, sf_dir).crossJoin(number).withColumn("page_id", F.col("id") % F.col("pages")).drop("pages").join(pages, "page_id")
     return asked.withColumns({"domain": text.url_domain(F.col("url")), "url_path": text.url_path(F.col("url"))})
 
 
@@ -58,7 +59,7 @@ def email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as mail: from the customer, to addresses by key, size by price."""
     c = F.col
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    inside = F.when(c("c_nationkey") % 2 == 0, "@dtaa.com").otherwise(F.concat(F.lit("@mail"), c("c_nationkey").cast("string"), F.lit(".example.com")))
+    inside = F.when(c("c_nationkey") % 2 == 0, "@dtaa.com").otherwise(F.concat(F.lit("@Mail"), c("c_nationkey").cast("string"), F.lit(".example.com")))
     to = F.concat(
         F.lit("a"), (c("o_orderkey") % 7).cast("string"), F.lit("@dtaa.com"),
         F.when(c("o_orderkey") % 3 == 0, F.concat(F.lit("; b"), (c("o_orderkey") % 11).cast("string"), F.lit("@x.example.org;"))).otherwise(F.lit("")),
@@ -74,7 +75,7 @@ def email(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = mail.withColumns(
         {
             "sender_domain": text.sender_domain(c("from")), "is_internal_sender": text.is_internal(c("from")), "has_attachments": c("attachments") > 0,
-            "has_external_recipient": text.has_external_recipient(F.concat_ws(";", "to", "cc")), "to_count": text.recipient_count(c("to")).cast("long"),
+            "has_external_recipient": text.has_external_recipient(c("to")), "to_count": text.recipient_count(c("to")).cast("long"),
             "cc_count": F.coalesce(text.recipient_count(c("cc")), F.lit(0)).cast("long"),
         }
     )
@@ -120,12 +121,12 @@ CTES = {
   list_extract(['doc', 'pdf', 'zip', 'exe'], CAST(id % 4 + 1 AS INTEGER)) AS file_extension, value * 100000 AS size,
   CASE WHEN k < 20 THEN 'R:\' WHEN k < 40 THEN 'C:\Windows\' ELSE 'C:\Users\' END || 'f' || k || '.' || list_extract(['doc', 'PDF', 'zip', 'exe'], CAST(id % 4 + 1 AS INTEGER)) AS filename
   FROM ev WHERE kind = 'purchase')""",
-    "http": "http AS (SELECT ev.*, url, lower(nullif(regexp_extract(url, '^https?://([^/]+)', 1), '')) AS domain FROM ev JOIN pages ON id % 250 = page_id)",
-    "mail": r"""mail AS (SELECT *, to_ AS "to", CASE WHEN id % 5 = 0 THEN to_ END AS cc, nullif(regexp_extract(from_, '@([a-zA-Z0-9.-]+)$', 1), '') AS sender_domain, contains(from_, 'dtaa.com') AS internal,
+    "http": "http AS (SELECT ev.*, url, lower(nullif(regexp_extract(url, '^https?://([^/]+)', 1), '')) AS domain FROM ev JOIN pages ON id % (SELECT count(*) FROM pages) = page_id)",
+    "mail": r"""mail AS (SELECT *, to_ AS "to", CASE WHEN id % 5 = 0 THEN to_ END AS cc, lower(nullif(regexp_extract(from_, '@([a-zA-Z0-9.-]+)$', 1), '')) AS sender_domain, contains(from_, 'dtaa.com') AS internal,
   id % 3 = 0 AS external, CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS to_count, CASE WHEN id % 5 <> 0 THEN 0 WHEN id % 3 = 0 THEN 2 ELSE 1 END AS cc_count,
   CAST(timestamp AS DATE) AS date, NOT (hour(timestamp) >= 8 AND hour(timestamp) < 18 AND isodow(timestamp) <= 5) AS after_hours
   FROM (SELECT o_orderkey AS id, o_orderdate AS timestamp, 'C' || o_custkey AS "user", 'a' || (o_orderkey % 7) || '@dtaa.com' || CASE WHEN o_orderkey % 3 = 0 THEN '; b' || (o_orderkey % 11) || '@x.example.org;' ELSE '' END AS to_,
-    'c' || o_custkey || CASE WHEN c_nationkey % 2 = 0 THEN '@dtaa.com' ELSE '@mail' || c_nationkey || '.example.com' END AS from_, CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderkey % 4 AS attachments
+    'c' || o_custkey || CASE WHEN c_nationkey % 2 = 0 THEN '@dtaa.com' ELSE '@Mail' || c_nationkey || '.example.com' END AS from_, CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderkey % 4 AS attachments
     FROM orders JOIN customer ON o_custkey = c_custkey))""",
     "directory": """directory AS (SELECT 'C' || c_custkey AS "user", snapshot_month, list_extract(['ITAdmin', 'Manager', 'Engineer', 'Analyst', 'Salesman', 'Specialist'], n + 1) AS role, n_name AS department, c_mktsegment AS team
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_month, CAST(max(o_orderkey % 6) AS INTEGER) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey)""",

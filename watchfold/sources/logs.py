@@ -12,9 +12,13 @@ from ..functions.hashing import SALT, pseudonymise
 from .schemas import LOGS, SOURCES
 
 
-def read_csv(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """A raw table by its declared schema. Quoted fields may hold line feeds; lines that do not fit give nulls."""
-    return spark.read.schema(SOURCES[source].schema).csv(path, header=True, multiLine=source in ("file", "email", "http"), escape='"', mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, source: str, multi_line: bool = False) -> DataFrame:
+    """A raw table by its declared schema; lines that do not fit give nulls.
+
+    multi_line: quoted fields may hold line feeds. Such files cannot be split, and each is read by one task.
+    """
+    reader = spark.read.schema(SOURCES[source].schema).option("recursiveFileLookup", "true")
+    return reader.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
 
 
 def timed(df: DataFrame, as_written: bool = False) -> DataFrame:
@@ -29,12 +33,11 @@ def enriched(df: DataFrame, source: str) -> DataFrame:
         return df.withColumns({"is_removable": text.is_removable(c("filename")), "file_extension": text.file_extension(c("filename")), "file_header": text.file_header(c("content"))})
     if source == "email":
         counts = {f"{x}_count": F.coalesce(text.recipient_count(c(x)), F.lit(0)).cast("long") for x in ("to", "cc", "bcc")}
-        everyone = F.concat_ws(";", c("to"), c("cc"), c("bcc"))
         return df.withColumns(
             counts
             | {
                 "sender": F.trim(c("from")), "sender_domain": text.sender_domain(c("from")), "is_internal_sender": F.coalesce(text.is_internal(c("from")), F.lit(False)),
-                "has_attachments": F.coalesce(c("attachments") > 0, F.lit(False)), "has_external_recipient": text.has_external_recipient(everyone),
+                "has_attachments": F.coalesce(c("attachments") > 0, F.lit(False)), "has_external_recipient": text.has_external_recipient(c("to")),
             }
         )
     if source == "http":
@@ -46,9 +49,9 @@ def enriched(df: DataFrame, source: str) -> DataFrame:
     return df
 
 
-def read_log(spark: SparkSession, path: str, source: str, sample_rows: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str, source: str, sample_rows: int | None = None, multi_line: bool = False) -> DataFrame:
     """One of the five logs, timed and enriched. sample_rows: only so many."""
-    raw = read_csv(spark, path, source)
+    raw = read_csv(spark, path, source, multi_line)
     return enriched(timed(raw.limit(sample_rows) if sample_rows else raw), source)
 
 
@@ -57,8 +60,8 @@ def read_psychometric(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ldap(spark: SparkSession, folder: str) -> DataFrame:
-    """All monthly snapshots of a folder, with the month of each from its file's name."""
-    month = timeops.parse_month(text.extracted(F.input_file_name(), r"(\d{4}-\d{2})\.csv"))
+    """All monthly snapshots of a folder, with the month of each from its file's or folder's name."""
+    month = timeops.parse_month(text.extracted(F.input_file_name(), r"(\d{4}-\d{2})(?:\.csv|/[^/]*)$"))
     return enriched(read_csv(spark, folder, "ldap").withColumn("snapshot_month", month), "ldap")
 
 
@@ -82,10 +85,15 @@ def read_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_all(spark: SparkSession, folder: str, http: bool = True, http_sample: int | None = None) -> dict[str, DataFrame]:
-    """All logs of a folder, lazily."""
+def read_all(spark: SparkSession, folder: str, http: bool = True, http_sample: int | None = None, directory: bool = True, traits: bool = True, multi_line: bool = False) -> dict[str, DataFrame]:
+    """All tables of a folder, lazily: the five logs, the directory's snapshots and the personality traits."""
     names = [x for x in LOGS if http or x != "http"]
-    return {x: read_log(spark, f"{folder}/{x}.csv", x, http_sample if x == "http" else None) for x in names}
+    out = {x: read_log(spark, f"{folder}/{x}.csv", x, http_sample if x == "http" else None, multi_line) for x in names}
+    if directory:
+        out["ldap"] = read_ldap(spark, f"{folder}/ldap")
+    if traits:
+        out["psychometric"] = read_psychometric(spark, f"{folder}/psychometric.csv")
+    return out
 
 
 def hashed(tables: dict[str, DataFrame], salt: str = SALT) -> dict[str, DataFrame]:

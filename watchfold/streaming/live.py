@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,13 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
+def replay_forever(spark: SparkSession, rows: DataFrame, rows_per_second: int = 10, by: str = "row_id") -> DataFrame:
+    """A bounded table's rows as an endless stream, round and round: a rate source's counter picks rows by their number."""
+    number = rows.count()
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.withColumn(by, F.col("value") % F.lit(max(1, number))).join(rows, by)
+
+
 def enrich(events: DataFrame) -> DataFrame:
     """Feature rows with risk, level and alerts; without state."""
     return alerts(risk(late_flags(events)))
@@ -52,8 +60,35 @@ def recent(path: str, order: str, k: int) -> Callable[[DataFrame, int], None]:
     return keep
 
 
-def post(send: Callable[[list[str]], None], batch_rows: int = 1000) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: hands JSON messages to send, in groups, on the executors."""
+def to_url(url: str, timeout: float = 5.0) -> Callable[[list[str]], None]:
+    """A sender that posts messages as a JSON array; a refusal raises."""
+
+    def send(messages: list[str]) -> None:
+        from urllib.request import Request, urlopen
+
+        request = Request(url, data=f"[{','.join(messages)}]".encode(), headers={"Content-Type": "application/json"}, method="POST")
+        with urlopen(request, timeout=timeout) as answer:
+            if answer.status >= 300:
+                raise OSError(f"{url} answered {answer.status}")
+
+    return send
+
+
+def post(send: Callable[[list[str]], None], batch_rows: int = 1000, attempts: int = 3, pause: float = 5.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands JSON messages to send, in groups, on the executors.
+
+    A send that fails with an OSError is tried again behind a pause. The last failure fails the task, and with it the
+    batch, which the stream's checkpoint then repeats: delivery is at least once.
+    """
+
+    def insist(messages: list[str]) -> None:
+        for attempt in range(attempts):
+            try:
+                return send(messages)
+            except OSError:
+                if attempt + 1 == attempts:
+                    raise
+                time.sleep(pause)
 
     def deliver(batch: DataFrame, _: int) -> None:
         def each(rows) -> None:
@@ -61,10 +96,10 @@ def post(send: Callable[[list[str]], None], batch_rows: int = 1000) -> Callable[
             for row in rows:
                 held.append(row[0])
                 if len(held) == batch_rows:
-                    send(held)
+                    insist(held)
                     held = []
             if held:
-                send(held)
+                insist(held)
 
         batch.select(F.to_json(F.struct("*"))).foreachPartition(each)
 
