@@ -33,9 +33,9 @@ ORDER = 3
 SAMPLE_DOCS = 1500
 MAX_MODEL_BYTES = 512 << 20
 MAX_LANGS = 1000
-#: A text is in none of the languages if it costs more than SLACK_BITS and MAX_BITS for each byte. Text of a learned language
+#: A text is in none of the languages if it costs more than SLACK_BITS, which a key or two may take, and MAX_BITS for each byte. Text of a learned language
 #: takes 2.2 bits a byte (held-out documents of sf0.1; at most 4.7), random letters and digits about 6, an unknown script about 8.
-MAX_BITS, SLACK_BITS = 5.0, 64
+MAX_BITS, SLACK_BITS = 5.0, 256
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n" * ORDER
 #: Positions scored at once, and text bytes gathered for that.
