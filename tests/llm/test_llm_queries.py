@@ -4,10 +4,11 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from watchfold.llm import linededup, queries
+from watchfold.llm import linededup, mixing, packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,14 +47,27 @@ def test_pipeline_stages(spark):
     one = stages["language_id"](spark, docs, SF)
     assert one.columns == docs.columns and one.count() <= docs.count()
     two = stages["line_dedup"](spark, one, SF)
-    from test_llm_operators import brute_lines
+    from test_llm_operators import brute_components, brute_lines
 
     kept = {d: t for d, t in brute_lines([(r["doc_id"], r["text"]) for r in one.collect()], linededup.MIN_WORDS).items() if t.strip()}
     assert {r["doc_id"]: r["text"] for r in two.collect()} == kept
     three = stages["near_dedup"](spark, two, SF)
     assert three.columns == docs.columns
+    texts = [(r["doc_id"], r["text"]) for r in two.collect()]
+    component, sizes = brute_components(texts, 5)
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted(d for d, c in component.items() if d == c or not sizes[d])
     four = stages["mixing"](spark, three, SF)
-    assert four.columns == docs.columns and set(four.toPandas().doc_id) <= set(three.toPandas().doc_id)
-    final = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(final.doc_id) == set(four.toPandas().doc_id)
-    assert final.groupby("sequence_id").length.sum().max() <= 2048
+    assert four.columns == docs.columns
+    mixed = four.toPandas()
+    database = duckdb.connect()
+    database.register("docs", three.toPandas())
+    copies = dict(database.sql(f"WITH {mixing.REPORT_SQL} SELECT doc_id, copies FROM mixed WHERE copies > 0").fetchall())
+    assert mixed.doc_id.value_counts().to_dict() == copies
+    encode = packing.ids_of("byte_bpe_50k.json", "byte_bpe_50k.tiktoken").tokenizer
+    lengths = {r.doc_id: len(encode.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed.itertuples()}
+    for final in (stages["packing"](spark, four, SF).toPandas(), corpus_pipeline.run(spark, SF).toPandas()):
+        assert final.groupby("doc_id").length.sum().to_dict() == {d: lengths[d] * n for d, n in copies.items()}
+        for _, own in final.groupby("sequence_id"):
+            own = own.sort_values("offset")
+            assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 2048
+        assert final.sequence_id.nunique() <= packing.lower_bound(np.bincount(final.length, minlength=2049)) + 1

@@ -1,6 +1,7 @@
 """Exact top-k search by tiled matrix products.
 
-Candidates are dealt by hash to shards of about SHARD_ROWS vectors. Every query visits every shard, as the problem asks; a shard's
+Candidates are dealt by hash to shards of about SHARD_BYTES, as a query is copied to each; where that makes fewer shards
+than there are cores, to smaller ones, down to SHARD_ROWS vectors. Every query visits every shard, as the problem asks; a shard's
 rows and the queries come to one task sorted, the shard first, and the queries stream past it in tiles of TILE_ROWS.
 Each tile is one matrix product with partial selection of its k best. The shards' lists merge in a tree.
 A task holds one shard and one tile, whatever the size of the table.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .vectors import merge_tree, usable
 
 SCALE = 1024
-SHARD_ROWS = 4096
+SHARD_ROWS, SHARD_BYTES = 4096, 32 << 20
 TILE_ROWS = 512
 
 
@@ -51,10 +52,14 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.
     return pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[found], "score": scores[row, found].astype(np.int64)})
 
 
-def search(vectors: DataFrame, query_divisor: int, k: int = 10, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, query_divisor: int, k: int = 10, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the k highest integer inner products of each vector whose id query_divisor divides."""
     rows = usable(vectors, id_col, vec_col).select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    shards = max(1, -(-vectors.count() // shard_rows))
+    known = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+    if shard_rows is None:
+        most = SHARD_BYTES // (8 * max(1, known["dim"] or 1))
+        shard_rows = max(SHARD_ROWS, min(most, -(-known["n"] // vectors.sparkSession.sparkContext.defaultParallelism)))
+    shards = max(1, -(-known["n"] // shard_rows))
     candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "vec")
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part")
     queries = rows.where(F.col("vec_id") % query_divisor == 0).select(everywhere, F.lit(1).alias("kind"), "vec_id", "vec")
