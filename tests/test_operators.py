@@ -260,6 +260,13 @@ def refusing(path, refusals):
     return send
 
 
+def test_required_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/logon")
+    assert set(logs.read_stage1(spark, str(tmp_path), ("logon",), ("device",))) == {"logon"}
+    with pytest.raises(FileNotFoundError, match="device, file"):
+        logs.read_stage1(spark, str(tmp_path), ("logon", "device", "file"))
+
+
 def test_post_tries_again(spark, tmp_path):
     rows = spark.range(5).coalesce(1)
     live.post(refusing(str(tmp_path / "a"), 2), batch_rows=5, pause=0.01)(rows, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import checkpointed
 from .shaping import latest
 
 
@@ -24,7 +25,7 @@ def with_group_sizes(directory: DataFrame) -> DataFrame:
 def organisation(directory: DataFrame) -> DataFrame:
     """Organisational features of each user's last snapshot."""
     role = F.col("role")
-    rows = with_group_sizes(latest_snapshot(directory)).withColumns(
+    rows = with_group_sizes(checkpointed(latest_snapshot(directory))).withColumns(
         {"role_sensitivity": text.role_sensitivity(role), "role_level": text.role_level(role), "is_security_role": text.security_role(role), "is_management": text.management(role), "department_id": text.department_id(F.col("department"))}
         | text.role_flags(role)
     )

@@ -80,13 +80,15 @@ def entropy(counts: list[Column], total: Column) -> Column:
     return F.when(total > 1, sum((part(n) for n in counts[1:]), part(counts[0]))).otherwise(0.0)
 
 
-def features(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: int = MAX_EVENTS) -> DataFrame:
-    """One row an event, up to max_events a user-day: its place, session and the 16 features by name."""
+def features(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: int = MAX_EVENTS, totals: bool = False) -> DataFrame:
+    """One row an event, up to max_events a user-day: its place, session and the 16 features by name. totals: also the
+    whole day's event_count and session_count."""
     c = F.col
     rows = sessions(events, gap_minutes).join(pc_codes(events), "pc", "left").withColumn("code", type_code(c("event_type")))
     order = ["timestamp", "id"]
     run = Window.partitionBy(*SESSION).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     machine = Window.partitionBy(*DAY, "pc").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    whole_day = Window.partitionBy(*DAY)
     state = F.when(c("code") == 2, F.lit(1)).when(c("code") == 3, F.lit(0))
     rows = rows.withColumns(
         {
@@ -94,6 +96,7 @@ def features(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: int
             "removable": F.max(F.coalesce(c("is_removable"), F.lit(False)).cast("int")).over(run), "connected": F.coalesce(F.last(state, ignorenulls=True).over(machine), F.lit(0)),
         }
         | {f"n_{k}": F.sum((c("code") == k).cast("int")).over(run) for k in range(len(TYPES))}
+        | ({"event_count": F.count(F.lit(1)).over(whole_day).cast("int"), "session_count": F.max("session").over(whole_day)} if totals else {})
     )
     elapsed = F.when(c("session") > 0, timeops.seconds_between(c("began"), c("timestamp"))).otherwise(0)
     t = c("timestamp")
@@ -104,18 +107,17 @@ def features(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: int
         c("removable"), site_code(c("domain_category")), (c("n") - 1) / F.greatest(F.lit(1.0), elapsed / 60), entropy([c(f"n_{k}") for k in range(len(TYPES))], c("n")), c("n"),
     ]
     kept = rows.where(c("place") <= max_events)
-    return kept.select("user", "date", "id", "timestamp", "place", "session", *[v.cast("double").alias(f"f_{name}") for v, name in zip(values, FEATURES, strict=True)])
+    return kept.select("user", "date", "id", "timestamp", "place", "session", *(["event_count", "session_count"] if totals else []), *[v.cast("double").alias(f"f_{name}") for v, name in zip(values, FEATURES, strict=True)])
 
 
 def encoded(events: DataFrame, labels: DataFrame | None = None, max_events: int = MAX_EVENTS) -> DataFrame:
     """user, date, sequence (max_events by 16), seq_len, window_id, session_count, event_count and label."""
-    rows = features(events, max_events=max_events)
+    rows = features(events, max_events=max_events, totals=True)
     vector = F.array(*[f"f_{x}" for x in FEATURES])
     packed = F.transform(F.array_sort(F.collect_list(F.struct("place", vector.alias("v")))), lambda x: x.v)  # max_events at most
-    out = rows.groupBy(*DAY).agg(packed.alias("sequence"), F.count(F.lit(1)).cast("int").alias("seq_len"))
-    count = sessions(events).groupBy(*DAY).agg(F.max("session").alias("session_count"), F.count(F.lit(1)).cast("int").alias("event_count"))
+    out = rows.groupBy(*DAY).agg(packed.alias("sequence"), F.count(F.lit(1)).cast("int").alias("seq_len"), F.first("session_count").alias("session_count"), F.first("event_count").alias("event_count"))
     zeros = F.array_repeat(F.array(*[F.lit(0.0)] * len(FEATURES)), F.lit(max_events) - F.col("seq_len"))
-    out = out.join(count, DAY).withColumn("sequence", F.concat("sequence", zeros)).withColumn("window_id", F.concat_ws("_", "user", F.date_format("date", "yyyyMMdd")))
+    out = out.withColumn("sequence", F.concat("sequence", zeros)).withColumn("window_id", F.concat_ws("_", "user", F.date_format("date", "yyyyMMdd")))
     if labels is None:
         return out.withColumn("label", F.lit(0))
     return out.join(labels.select("user", F.lit(1).alias("label")).distinct(), "user", "left").fillna(0, ["label"])

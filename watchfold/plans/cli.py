@@ -37,7 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.task == "stage1":
         pipelines.stage1(spark, args.source, args.target, http=not args.no_http, http_sample=args.http_sample, directory=not args.no_directory, traits=not args.no_traits, multi_line=args.multi_line)
     else:
-        tables = {x: spark.read.parquet(f"{args.source}/{x}") for x in ("logon", "device", "file", "email", *([] if args.no_http else ["http"]))}
+        web = () if args.no_http else ("http",)
+        needed = {"graph": (("logon", "email", *web), ("device",)), "sequences": (("logon", "device", "file", "email", *web), ())}
+        tables = logs.read_stage1(spark, args.source, *needed.get(args.task, (("logon",), ("device", "file", "email", *web))))
         truth = logs.read_ground_truth(spark, args.truth) if args.truth else None
         directory = None if args.no_directory else spark.read.parquet(f"{args.source}/ldap")
         traits = None if args.no_traits else spark.read.parquet(f"{args.source}/psychometric")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,19 @@ def read_all(spark: SparkSession, folder: str, http: bool = True, http_sample: i
     return out
 
 
+def read_stage1(spark: SparkSession, folder: str, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Tables that stage 1 wrote. Required ones that are not there raise, all named; optional ones are left out."""
+    out: dict[str, DataFrame] = {}
+    for name in (*required, *optional):
+        try:
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException:
+            continue
+    if missing := [x for x in required if x not in out]:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    return out
+
+
 def hashed(tables: dict[str, DataFrame], salt: str = SALT) -> dict[str, DataFrame]:
     """All tables with user_hash (and pc_hash), by one rule for all."""
     users = {"user": "user", "pc": "pc"}

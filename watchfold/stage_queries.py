@@ -87,8 +87,8 @@ def stage1_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through(spark, sf_dir, "file").select(*TIMED, "is_removable", "file_extension", "file_header", "operation_type", text.is_large(F.col("content"), 50).alias("is_large"))
 
 
-@query("mail", f"""SELECT {WHEN}, from_ AS sender, sender_domain, internal AS is_internal_sender, attachments > 0 AS has_attachments, external AS has_external_recipient, to_count, cc_count, CAST(0 AS BIGINT) AS bcc_count,
-  CASE WHEN external THEN 3 ELSE 1 END AS recipient_count, external AS has_outside_address, contains(from_, '@Mail') AND false OR regexp_matches(lower(from_), '@gmail|@yahoo|@hotmail|@outlook|@mail[.]') AS is_webmail FROM mail""")
+@query("mail", f"""SELECT {WHEN}, from_ AS sender, sender_domain, internal AS is_internal_sender, attachments > 0 AS has_attachments, external AS has_external_recipient, CAST(to_count AS BIGINT) AS to_count, CAST(cc_count AS BIGINT) AS cc_count, CAST(0 AS BIGINT) AS bcc_count,
+  CASE WHEN external THEN 3 ELSE 1 END AS recipient_count, external AS has_outside_address, regexp_matches(lower(from_), '@gmail|@yahoo|@hotmail|@outlook|@mail[.]') AS is_webmail FROM mail""")
 def stage1_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.col(f"{x}_count").cast("long").alias(f"{x}_count") for x in ("to", "cc", "bcc")]
     names = ["sender", "sender_domain", "is_internal_sender", "has_attachments", "has_external_recipient", *counts, "recipient_count", "has_outside_address"]
@@ -218,7 +218,7 @@ def user_day_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shaping
 
 
-@query("ev psycho", """SELECT "user", n, O, coalesce(O, -1.0) AS filled FROM (SELECT "user", count(*) AS n FROM ev GROUP BY 1) LEFT JOIN (SELECT replace("user", 'P', 'U') AS "user", O FROM psycho) USING ("user")""")
+@query("ev psycho", """SELECT "user", n, O, coalesce(CAST(O AS DOUBLE), -1.0) AS filled FROM (SELECT "user", count(*) AS n FROM ev GROUP BY 1) LEFT JOIN (SELECT replace("user", 'P', 'U') AS "user", O FROM psycho) USING ("user")""")
 def left_on_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = views.events(spark, sf_dir).groupBy("user").agg(F.count(F.lit(1)).alias("n"))
     traits = traits_of_users(spark, sf_dir).select("user", "O", F.lit(0).alias("n"))
