@@ -54,3 +54,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read back, which cuts its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
