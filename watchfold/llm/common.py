@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder, checkpointed  # noqa: F401
+from ..session import checkpoint_folder, checkpointed, discard  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def lower_ascii(word: Column) -> Column:
+    """A-Z lower-cased, other letters as they are. Only words with others take the slower way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+
+
 def whole_row(df: DataFrame, name: str = "row") -> Column:
     """All of a frame's columns as one struct, so that their names cannot clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

@@ -2,9 +2,10 @@
 
 Candidates are dealt by hash to shards of about SHARD_BYTES, as a query is copied to each; where that makes fewer shards
 than there are cores, to smaller ones, down to SHARD_ROWS vectors. Every query visits every shard, as the problem asks; a shard's
-rows and the queries come to one task sorted, the shard first, and the queries stream past it in tiles of TILE_ROWS.
-Each tile is one matrix product with partial selection of its k best. The shards' lists merge in a tree.
-A task holds one shard and one tile, whatever the size of the table.
+rows and the queries come to one task sorted, the shard first, and the queries stream past it in tiles of at most
+TILE_CELLS scores (the more rows a shard has, the fewer queries a tile). Each tile is one matrix product with partial
+selection of its k best. The shards' lists merge in a tree. A task holds one shard and one tile's scores, keys and
+places, of 8 bytes a cell each, whatever the size of the table and the length of its vectors.
 
 Vectors are of integers: floor(scale * x). Products are exact: tiles whose sums could pass 2**53 use integers, of 64
 bits, instead of doubles (sums beyond 64 bits are not defined).
@@ -27,7 +28,7 @@ from .vectors import merge_tree, usable
 
 SCALE = 1024
 SHARD_ROWS, SHARD_BYTES = 4096, 32 << 20
-TILE_ROWS = 512
+TILE_CELLS = 1 << 20
 
 
 def tile(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -38,10 +39,12 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.
     least = scores.min()
     bits = int(len(ids) - 1).bit_length()
     if exact and float(scores.max() - least) < 2.0 ** (62 - bits):
-        key = (scores - least).astype(np.int64) << bits | np.arange(len(ids))[::-1]
+        key = (scores - least).astype(np.int64)
+        key <<= bits
+        key |= np.arange(len(ids))[::-1]
         key[query_ids[:, None] == ids[None, :]] = -1
         top = min(k, len(ids))
-        best = np.argpartition(-key, top - 1, axis=1)[:, :top]
+        best = np.argpartition(key, len(ids) - top, axis=1)[:, len(ids) - top :]
         keep = np.take_along_axis(key, best, axis=1) >= 0
     else:
         best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1]
@@ -73,15 +76,16 @@ def search(vectors: DataFrame, query_divisor: int, k: int = 10, scale: int = SCA
                     now, parts, shard = (part, dim), [], None
                 of_shard = own[own["kind"] == 0]
                 if len(of_shard):
-                    parts.append(of_shard)
+                    parts.append((np.array(of_shard["vec"].tolist()), of_shard["vec_id"].to_numpy()))
                 asking = own[own["kind"] == 1]
                 if not len(asking) or not parts:
                     continue
                 if shard is None:
-                    shard = np.array([v for p in parts for v in p["vec"]])
-                    ids = np.concatenate([p["vec_id"].to_numpy() for p in parts])
-                for a in range(0, len(asking), TILE_ROWS):
-                    some = asking[a : a + TILE_ROWS]
+                    shard, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts = [None]
+                rows_ = max(1, TILE_CELLS // len(ids))
+                for a in range(0, len(asking), rows_):
+                    some = asking[a : a + rows_]
                     yield tile(np.array(some["vec"].tolist()), some["vec_id"].to_numpy(), shard, ids, k).assign(part=np.int32(part))
 
     found = dealt.mapInPandas(tiles, "query_id long, vec_id long, score long, part int")
