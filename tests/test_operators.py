@@ -3,13 +3,14 @@
 import json
 import math
 from datetime import date, datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from watchfold.functions import hashing, text, timeops
-from watchfold.operators import graph, labels, scoring, sequences, shaping, user_day
+from watchfold.operators import axes, forest, graph, labels, scoring, sequences, shaping, user_day
 from watchfold.plans import cli, pipelines
 from watchfold.sources import logs, schemas, sinks
 from watchfold.streaming import live
@@ -161,7 +162,7 @@ def test_scores(spark):
     rows = [(k, rng.normal(size=6).tolist()) for k in range(300)] + [(999, [9.0, -9.0] * 3)]
     df = scoring.scaled_vectors(spark.createDataFrame(rows, "user long, v array<double>"), vector="v")
     assert np.allclose(np.std(np.array(df.toPandas()["scaled"].tolist()), axis=0), 1)
-    out = scoring.ensemble(scoring.isolation_scores(scoring.reconstruction_error(df, k=2))).toPandas().set_index("user")
+    out = scoring.ensemble(forest.isolation_scores(axes.reconstruction_error(df, k=2))).toPandas().set_index("user")
     assert out.iso_forest_score.idxmax() == 999 and out.rank_percentile.max() == pytest.approx(300 / 301) and out.rank_percentile[out.ensemble_anomaly_score.idxmin()] == 0
     logits = lambda x: np.stack([-x[:, 0], x[:, 0]], axis=1)
     flat = spark.createDataFrame([(1, 3.0), (2, None), (3, -3.0)], "user long, a double")
@@ -319,3 +320,31 @@ def test_the_rest_works_without_llm():
         "try:\n import __spark_entry__ as e\nexcept ModuleNotFoundError as x:\n assert x.name is None or x.name == 'corpus_pipeline', x\nelse:\n assert 'logon_user_day' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], check=False).returncode == 0
+
+
+def test_shared_machines_of_many_users(spark):
+    """A machine of 3,000 users, and others of few: every pair once each way, and no exchange holds pairs of users."""
+    rows = [("2024-01-31", "kiosk", f"u{k:04d}") for k in range(3000)] + [("2024-01-31", f"pc{k % 40}", f"u{k:04d}") for k in range(0, 3000, 7)] + [("2024-02-29", "kiosk", "u0001"), ("2024-02-29", "kiosk", None), (None, None, "u1")]
+    events = spark.createDataFrame(rows, "snapshot string, pc string, user string")
+    edges = graph.edges_shared_pc(events)
+    got = edges.groupBy("snapshot").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.count(F.when(F.col("user") == F.col("user2"), 1)).alias("own"), F.countDistinct("user", "user2").alias("pairs")).collect()
+    on = [[k for k in range(0, 3000, 7) if k % 40 == m] for m in range(40)]
+    assert [tuple(r) for r in got] == [("2024-01-31", 3000 * 2999, 3000 * 2999 + sum(len(x) * (len(x) - 1) for x in on), 0, 3000 * 2999)]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in line and " a#" in line.split("Exchange")[1] for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["graph_edges", "graph_written", "edges_shared_pc"])
+def test_graph_queries_at_a_larger_scale(spark, name):
+    """Sums over all rows against the SQL, where machines have over 1,000 users."""
+    import duckdb
+    from watchfold import queries
+
+    sf = "/root/testdata/sf0.1"
+    base = duckdb.connect()
+    for table in Path(sf).glob("*.parquet"):
+        base.sql(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
+    got = queries.QUERIES[name](spark, sf)
+    sums = ", ".join(f"sum({c}) AS {c}" for c, kind in got.dtypes if kind in ("bigint", "int", "double"))
+    mine, expected = got.selectExpr("count(*) AS n", *sums.split(", ")).first(), base.sql(f"SELECT count(*) AS n, {sums} FROM ({queries.SQL[name]})").fetchall()[0]
+    assert [float(x) for x in mine] == pytest.approx([float(x) for x in expected], rel=1e-9)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import timeops
 
 WINDOW_DAYS = 30
+#: Users of a block, where the edges of shared machines are counted.
+BLOCK_USERS = 256
 # Places of the one-hot domain categories; later ones are all zero.
 DOMAIN_CATEGORIES = (
     "advertising blog business cdn chat climate cloudprovider commercial cryptocurrency dating download drugs education entertainment file_transfer "
@@ -193,19 +195,28 @@ def edges_device_on(device: DataFrame) -> DataFrame:
     return device.groupBy(*by).agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("log_n"), (F.log1p(seconds) / 10).alias("log_seconds"), F.count(F.lit(1)).alias("weight"))
 
 
-def edges_shared_pc(events: DataFrame, max_users: int | None = None) -> DataFrame:
+def edges_shared_pc(events: DataFrame, block_users: int = BLOCK_USERS) -> DataFrame:
     """User to user, both ways: machines that both used, and log1p of that.
 
-    Pairs grow with the square of a machine's users, as the result itself does; machines of more than max_users (kiosks) can be left out.
+    The product of the sparse user-by-machine matrix with its transpose, in blocks of users. A machine's users are listed
+    by block, and each list goes to the pairs of blocks of which the machine has users. A task holds whole pairs of
+    blocks: it multiplies their lists, machine by machine, and sums in place, so that pairs of users are never shuffled,
+    and a machine of many users is spread over as many tasks as it has pairs of blocks.
     """
     by = keyed(events, "pc")
-    used = events.select(*by, "user").distinct()
-    if max_users is not None:
-        used = used.join(used.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_users).drop("n"), by)
-    other = used.withColumnRenamed("user", "user2")
-    pairs = used.join(other, by).where("user < user2").groupBy(*keyed(events, "user", "user2")).agg(F.count(F.lit(1)).alias("weight"))
-    back = pairs.select(*[F.col({"user": "user2", "user2": "user"}.get(c, c)).alias(c) for c in pairs.columns])
-    return pairs.unionByName(back).withColumn("log_weight", F.log1p(F.col("weight").cast("double")))
+    used = events.select(*by, "user").where("pc IS NOT NULL AND user IS NOT NULL").distinct()
+    blocks = max(1, -(-used.agg(F.approx_count_distinct("user")).first()[0] // block_users))
+    cells = used.withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks))).groupBy(*by, "block").agg(F.collect_list("user").alias("users"))
+    met = cells.groupBy(*by).agg(F.collect_list("block").alias("blocks"))
+    sent = cells.join(met, by).withColumn("other", F.explode("blocks"))
+    place = keyed(events, "i", "j")
+    lower = F.col("block") <= F.col("other")
+    sent = sent.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(lower, F.col("users")).alias("left"), F.when(F.col("block") >= F.col("other"), F.col("users")).alias("right"))
+    tiles = sent.repartition(*place).groupBy(*place, "pc").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"))
+    pairs = tiles.select(*place, "right", F.explode("left").alias("a")).select(*place, "a", F.explode("right").alias("b")).where("i < j OR a < b")
+    summed = pairs.groupBy(*place, "a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("user"), F.col("b").alias("user2")), F.struct(F.col("b").alias("user"), F.col("a").alias("user2"))))
+    return summed.select("*", both.alias("x")).select(*keyed(events, "x.user", "x.user2"), "weight", F.log1p(F.col("weight").cast("double")).alias("log_weight"))
 
 
 def edges_monthly(events: DataFrame) -> DataFrame:

@@ -112,95 +112,10 @@ def scaled_vectors(df: DataFrame, columns: list[str] | None = None, vector: str
     return model.transform(raw).withColumn(out, F.transform(vector_to_array("__scaled"), lambda x: x * ratio)).drop("__raw", "__scaled")
 
 
-def embedding(df: DataFrame, vector: str = "scaled", k: int = 64, out: str = "embedding") -> DataFrame:
-    """Principal components of an array column. Their signs are arbitrary."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    if df.limit(2).count() < 2:  # no components
-        return df.withColumn(out, F.transform(vector, lambda _: F.lit(0.0)))
-    raw = df.withColumn("__v", array_to_vector(vector))
-    size = raw.select(F.size(vector).alias("n")).first()["n"]
-    model = PCA(k=min(k, size), inputCol="__v", outputCol="__p").fit(raw)
-    return model.transform(raw).withColumn(out, vector_to_array("__p")).drop("__v", "__p")
-
-
-def reconstruction_error(df: DataFrame, vector: str = "scaled", k: int = 8, out: str = "pca_recon_error") -> DataFrame:
-    """Mean square of what k principal components leave of each row."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    if df.limit(2).count() < 2:  # no components
-        return df.withColumn(out, F.lit(0.0))
-    raw = df.withColumn("__v", array_to_vector(vector))
-    size = raw.select(F.size(vector).alias("n")).first()["n"]
-    axes = PCA(k=min(k, size), inputCol="__v", outputCol="__p").fit(raw).pc.toArray()
-
-    @F.pandas_udf("double")
-    def left(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            x = np.array(rows.tolist(), float)
-            yield pd.Series(((x - x @ axes @ axes.T) ** 2).mean(axis=1)) if len(x) else pd.Series([], dtype=float)
-
-    return df.withColumn(out, left(F.col(vector)))
-
-
-class IsolationTrees:
-    """Random trees over a bounded sample; rows that few splits isolate score high."""
-
-    def __init__(self, sample: np.ndarray, trees: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.size = min(256, len(sample))
-        self.limit = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self.grow(sample[rng.choice(len(sample), self.size, replace=False)], 0, rng) for _ in range(trees)]
-
-    @staticmethod
-    def mean_depth(n: float) -> float:
-        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
-
-    def grow(self, rows: np.ndarray, depth: int, rng: np.random.Generator):
-        spread = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 else []
-        if depth >= self.limit or not len(spread):
-            return depth + self.mean_depth(len(rows))
-        column = int(rng.choice(spread))
-        at = rng.uniform(rows[:, column].min(), rows[:, column].max())
-        below = rows[:, column] < at
-        return column, at, self.grow(rows[below], depth + 1, rng), self.grow(rows[~below], depth + 1, rng)
-
-    def depths(self, tree, rows: np.ndarray, own: np.ndarray, out: np.ndarray) -> None:
-        if not isinstance(tree, tuple):
-            out[own] += tree
-            return
-        column, at, low, high = tree
-        below = rows[own, column] < at
-        self.depths(low, rows, own[below], out)
-        self.depths(high, rows, own[~below], out)
-
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows))
-        for tree in self.trees:
-            self.depths(tree, rows, np.arange(len(rows)), out)
-        return np.exp2(-out / len(self.trees) / max(self.mean_depth(self.size), 1e-9)) - 0.5
-
-
-def isolation_scores(df: DataFrame, vector: str = "scaled", key: str = "user", trees: int = 100, seed: int = 42, sample: int = 4096, out: str = "iso_forest_score") -> DataFrame:
-    """Isolation-forest scores, higher for more unusual rows. Trees are grown on the driver from at most `sample` rows, chosen by hash."""
-    rows = df.orderBy(F.xxhash64(key, F.lit(seed)), key).select(vector).limit(sample).toPandas()[vector]
-    if not len(rows):
-        return df.withColumn(out, F.lit(0.0))
-    forest = df.sparkSession.sparkContext.broadcast(IsolationTrees(np.array(rows.tolist(), float), trees, seed))
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(forest.value.score(np.array(batch.tolist(), float))) if len(batch) else pd.Series([], dtype=float)
-
-    return df.withColumn(out, score(F.col(vector)))
-
-
 def ensemble(df: DataFrame, iso: str = "iso_forest_score", pca: str = "pca_recon_error", key: str = "user") -> DataFrame:
-    """Two derived scores, the weighted sum of all normalised ones, and its place in the ranking."""
-    scored = df.withColumns({"autoencoder_recon_error": F.col(pca) * 1.5, "deep_svdd_distance": F.abs(iso) * 0.8})
+    """The weighted sum of normalised scores, and its place in the ranking. Learned scores that df lacks are stood in for by multiples of the others."""
+    stand_in = {"autoencoder_recon_error": F.col(pca) * 1.5, "deep_svdd_distance": F.abs(iso) * 0.8}
+    scored = df.withColumns({name: value for name, value in stand_in.items() if name not in df.columns})
     names = [iso, pca, "deep_svdd_distance"]
     total = sum(w * F.col(f"{c}_norm") for w, c in zip((0.3, 0.3, 0.4), names, strict=True))
     out = min_max(scored, names).withColumn("ensemble_anomaly_score", total).drop(*[f"{c}_norm" for c in names])

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timeops
 from ..functions.hashing import SALT
-from ..operators import graph, labels, people, scoring, sequences, shaping, user_day
+from ..operators import axes, forest, graph, labels, people, scoring, sequences, shaping, user_day
 from ..sources import logs as readers
 from ..sources import sinks
 from ..sources.schemas import LOGS, column_check
 
 UD = user_day.UD
-#: Machines of more users than this are kiosks: they say nothing about who works with whom, and their pairs grow with the square.
-KIOSK_USERS = 1000
 #: Daily columns that add up over days.
 SUMMED = (
     "logon_count logoff_count after_hours_logons weekend_logons connect_count disconnect_count after_hours_connects device_events file_event_count file_write_count file_copy_count "
@@ -100,7 +98,7 @@ def graph_tables(tables: dict[str, DataFrame], directory: DataFrame | None = Non
     number = {"user": graph.node_index(users, "user"), "pc": graph.node_index(own["logon"], "pc")}
     nodes = {"user": graph.user_nodes(own["logon"]), "pc": graph.pc_nodes(own["logon"])}
     edges = {"used_pc": indexed(graph.edges_used_pc(own["logon"]), {x: number[x] for x in ("user", "pc")})}
-    edges["shared_pc"] = indexed(graph.edges_shared_pc(own["logon"], KIOSK_USERS), {"user": number["user"], "user2": number["user"]})
+    edges["shared_pc"] = indexed(graph.edges_shared_pc(own["logon"]), {"user": number["user"], "user2": number["user"]})
     if "device" in own:
         edges["device_on"] = indexed(graph.edges_device_on(own["device"]), {x: number[x] for x in ("user", "pc")})
     contacts = []
@@ -145,5 +143,5 @@ def stage2(spark: SparkSession, tables: dict[str, DataFrame], out: str, interval
     columns = [c for c in shaping.numbers(features, ("user", "date", "is_insider"))]
     people_ = user_day.user_means(features, columns)
     vectors = scoring.scaled_vectors(people_, [f"mean_{c}" for c in columns])
-    scores = scoring.ensemble(scoring.isolation_scores(scoring.reconstruction_error(vectors)))
+    scores = scoring.ensemble(forest.isolation_scores(axes.reconstruction_error(vectors)))
     sinks.write_parquet(scores.select("user", "iso_forest_score", "pca_recon_error", "autoencoder_recon_error", "deep_svdd_distance", "ensemble_anomaly_score", "rank_percentile"), f"{out}/scores")

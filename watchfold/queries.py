@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, text, timeops
-from .operators import graph, labels, people, scoring, sequences, shaping, user_day
+from .operators import axes, forest, graph, labels, people, scoring, sequences, shaping, user_day
 from .plans import pipelines
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .session import checkpoint_folder
@@ -637,12 +637,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) GROUP BY 1""", "energy")
 def pca_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All components together turn the scaled vectors, and so keep their lengths."""
-    return scoring.embedding(vectors(spark, sf_dir), k=64, out="components").select("user", F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
+    return axes.embedding(vectors(spark, sf_dir), k=64, out="components").select("user", F.aggregate("components", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
 
 
 @query()
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.isolation_scores(scoring.reconstruction_error(vectors(spark, sf_dir)))
+    scored = forest.isolation_scores(axes.reconstruction_error(vectors(spark, sf_dir)))
     names = "iso_forest_score pca_recon_error autoencoder_recon_error deep_svdd_distance ensemble_anomaly_score rank_percentile".split()
     return scoring.ensemble(scored).select("user", *names)
 
@@ -724,4 +724,4 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(events.select("event_id", "event_type", (F.col("value") > 90).alias("is_high")), "append")
 
 
-from . import stage_queries  # noqa: E402, F401  (registers more)
+from . import model_queries, stage_queries  # noqa: E402, F401  (register more)
