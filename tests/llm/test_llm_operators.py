@@ -186,6 +186,18 @@ def test_url_rules(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_without_a_scheme(spark):
+    """Host and path are empty, so that no site rule fits; patterns see the whole url."""
+    rows = [(1, "foo/ads/bar"), (2, "example.com/en/x"), (3, None), (4, ""), (5, "www.example.com/x.exe")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages).select("row.page_id", "host", "path", "rule", "verdict").collect()}
+    assert got == {1: ("", "", None, "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "block")}
+    rules = [urls.site_rule(*x) for x in urls.SITES] + [urls.pattern_rule(*x) for x in urls.PATTERNS]
+    table = spark.createDataFrame([(r.rule, r.verdict, r.site, r.regex, sorted(r.keys)) for r in rules], "rule string, verdict string, site boolean, regex string, keys array<string>")
+    joined = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_by_join(pages, table).collect() if r["url"] is not None}
+    assert joined == {u: got[k] for k, u in rows if u is not None}
+
+
 def test_url_rules_by_join(spark):
     pages = spark.createDataFrame([(k, u) for k, (u, _, _) in enumerate([*PAGES, *MORE_PAGES])], "page_id long, url string")
     patterns = (*urls.PATTERNS, ("zzz", urls.BLOCK))
@@ -498,6 +510,25 @@ def brute_bits(train, text):
     return bits
 
 
+def test_language_rates_on_planted_junk(spark):
+    """Of planted texts in no language nearly all go, of the given documents hardly any."""
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").toPandas()
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    kinds = [
+        lambda: " ".join(pick("0123456789", int(rng.integers(1, 9))) for _ in range(120)), lambda: " ".join(pick("0123456789abcdef", 32) for _ in range(20)),
+        lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 600), lambda: " ".join(pick("абвгдежзийклмнопрстуфхцчшщ", 6) for _ in range(60)),
+        lambda: pick("#$%&*!?-=_+|", 400) + " the", lambda: "\n".join(f"{pick('0123456789', 4)};{pick('0123456789', 3)};x{pick('0123456789', 2)}" for _ in range(60)),
+    ]
+    junk = [(100_000 + k, kinds[k % len(kinds)](), None, None) for k in range(300)]
+    rows = [(int(d), t, "a", g) for d, t, g in docs.itertuples(index=False)] + junk
+    kept = {r["doc_id"] for r in langid.keep_identified(documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 100_000, F.col("lang")))).select("doc_id").collect()}
+    assert sum(d in kept for d in docs.doc_id) >= 0.995 * len(docs)
+    assert sum(j[0] not in kept for j in junk) >= 0.99 * len(junk)
+    only = langid.keep_identified(documents(spark, rows[:1000]), wanted=["fr"]).toPandas()
+    assert 0.97 < (only.lang == "fr").mean() and len(only) > 0.9 * (docs.lang == "fr").sum()
+
+
 def test_language_code_lengths_against_brute_force(spark):
     texts = ["the cat sat on the mat", "the dog ran to the cat", "that hat"]
     ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 3 != 1][: len(texts)]
@@ -646,6 +677,46 @@ def test_lengthened_surrogates():
     assert pii.written("phone", "55512345678", "(743) 555-3824") == "(555) 123-45678"
 
 
+#: What a value of each kind looks like, and must look like still.
+FORMS = {
+    "ssn": ("123-45-6789 078-05-1120 000-12-3456 919-00-0000 123456789", r"(\d{3})-?(\d\d)-?(\d{4})"),
+    "secret": ("123456789012 00000000000000 04dbebab91ab85687d33eea deadbeefdead Zz1_2c3d4e5f A-B/C+d9e8f7", None),
+    "phone": ("+1 (743) 555-3824 (743) 555-3824 743-555-3824 +44 20 7946 0958", r"[+\d ().-]+"),
+    "account": ("4111111111111111 4111-1111-1111-1111 5500005555555559", r"\d{4}-?\d{4}-?\d{4}-?\d{4}"),
+    "ip": ("10.0.0.7 192.168.3.4 172.20.1.1 8.8.8.8 227.5.221.1 127.0.0.1", r"(\d{1,3}\.){3}\d{1,3}"),
+    "iban": ("DE89370400440532013000 GB29NWBK60161331926819", r"[A-Z]{2}\d{2}[A-Z0-9]+"),
+    "email": ("ann.lee@mail.acme.com x_1@a-b.org", r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+"),
+}
+
+
+def shape(text):
+    """Digits, letters by case, and everything else as it is."""
+    return re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", text)))
+
+
+def test_surrogates_keep_their_kind():
+    for kind, (values, form) in FORMS.items():
+        seen = set()
+        for value in re.findall(r"\+\d+ \(\d+\) \S+|\(\d+\) \S+|\+44 \d\d \d+ \d+|\S+", values):
+            norm = pii.normal(kind, value)
+            for key in map(str, range(40)):
+                out = pii.written(kind, pii.surrogate(kind, norm, 0, key), value)
+                seen.add(out != value)
+                if form:
+                    assert re.fullmatch(form, out), (kind, value, out)
+                if kind == "secret" and re.fullmatch("[0-9a-f]+", value) and not value.isdigit():
+                    assert re.fullmatch("(?=.*[a-f])[0-9a-f]+", out) and len(out) == len(value)
+                elif kind != "ip":
+                    assert shape(out) == shape(value), (kind, value, out)
+                if kind == "ssn":
+                    lone = lambda x: (lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000")(re.sub(r"\D", "", x))
+                    assert lone(out) == lone(value)
+        assert True in seen
+    text = "SSN 123-45-6789 and 078-05-1120."
+    out = pii.replaced(text, {}, pii.KEY)[0]
+    assert re.fullmatch(r"SSN \d{3}-\d{2}-\d{4} and \d{3}-\d{2}-\d{4}\.", out) and [e.kind for e in pii.entities(out)] == ["ssn", "ssn"] and "6789" not in out
+
+
 def test_permutation_is_one():
     for size in (1, 2, 10, 97, 1000):
         assert sorted(pii.permuted(k, size, b"key") for k in range(size)) == list(range(size))

@@ -36,6 +36,11 @@ MAX_LANGS = 1000
 #: A text is in none of the languages if it costs more than SLACK_BITS, which a key or two may take, and MAX_BITS for each byte. Text of a learned language
 #: takes 2.2 bits a byte (held-out documents of sf0.1; at most 4.7), random letters and digits about 6, an unknown script about 8.
 MAX_BITS, SLACK_BITS = 5.0, 256
+#: Nor is a text in a language of which letters are less than this share (all characters beyond ASCII count as letters; white space does not count).
+#: Prose has 0.9 and more, prose with marks behind each word 0.6, tables of numbers and keys less than 0.4.
+MIN_LETTERS = 0.5
+NOT_LETTERS = bytes(x for x in range(256) if not (97 <= x <= 122 or x >= 0xC0))
+SPACE = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n" * ORDER
 #: Positions scored at once, and text bytes gathered for that.
@@ -70,6 +75,11 @@ def coded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
+def letter_share(data: bytes) -> float:
+    """Letters' share of a coded text's characters; bytes that continue a character do not count."""
+    return len(data.translate(None, NOT_LETTERS)) / max(1, len(data.translate(None, SPACE)))
+
+
 def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of (lang, order, key) in each batch of (lang, text)."""
     for batch in batches:
@@ -144,8 +154,8 @@ class Model:
         return out
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
-        """lang, score and bits a byte of the prediction, for each text."""
-        lang, score, bits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        """lang, score and bits a byte of the prediction, and letters (their share), for each text."""
+        lang, score, bits, letters = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         todo: list[tuple[int, bytes]] = []
         held = 0
 
@@ -156,7 +166,7 @@ class Model:
                 least = lengths[np.arange(len(todo)), best]
                 share = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(axis=1)
                 for (k, t), b, s, x in zip(todo, best, share, least, strict=True):
-                    lang[k], score[k], bits[k] = self.langs[b], s, x / len(t)
+                    lang[k], score[k], bits[k], letters[k] = self.langs[b], s, x / len(t), letter_share(t)
                 todo.clear()
 
         for k, text in enumerate(texts):
@@ -167,7 +177,7 @@ class Model:
                     flush()
                     held = 0
         flush()
-        return pd.DataFrame({"lang": lang, "score": score, "bits": bits})
+        return pd.DataFrame({"lang": lang, "score": score, "bits": bits, "letters": letters})
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -190,10 +200,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 
 def predictor(docs: DataFrame, model: Model):
-    """A column function: text to struct(lang, score, bits)."""
+    """A column function: text to struct(lang, score, bits, letters)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double, bits double")
+    @F.pandas_udf("lang string, score double, bits double, letters double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield shared.value.predict(texts)
@@ -211,8 +221,17 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_bits: float = MAX_BITS) -> DataFrame:
-    """The documents in some language: those left out have no letter, or cost over max_bits a byte, and SLACK_BITS, in every language."""
+def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_bits: float = MAX_BITS, min_letters: float = MIN_LETTERS, wanted: list[str] | None = None) -> DataFrame:
+    """The documents in some language, or in one of the wanted.
+
+    Those left out have no letter, have less than min_letters of them and cost that of SLACK_BITS or more (a short text
+    may be a key or a number and a few words), or cost over max_bits a byte, and SLACK_BITS, in every language.
+    """
     predict = predictor(docs, learn(docs, sample_docs))
     said = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict("text").alias("said"))
-    return said.where((F.col("said.lang") != "und") & (F.col("said.bits") <= max_bits + SLACK_BITS / F.octet_length(F.lower("text")))).select("row.*")
+    size = F.octet_length(F.lower("text"))
+    good = (F.col("said.lang") != "und") & (F.col("said.bits") <= max_bits + SLACK_BITS / size)
+    good &= (F.col("said.letters") >= min_letters) | (F.col("said.bits") * size < SLACK_BITS)
+    if wanted is not None:
+        good &= F.col("said.lang").isin(wanted)
+    return said.where(good).select("row.*")

@@ -76,6 +76,7 @@ DIGIT = re.compile(r"\d[\d .()-]{4}")
 #: What a dotted quad behind it is a version of.
 VERSION = re.compile(r"(?i)(?:version|release|build|section|chapter|\bv|§)[ .:]{0,2}$")
 HEX = "0123456789abcdef"
+DIGITS_ONLY, HEX_ONLY = re.compile("[0-9]+"), re.compile("[0-9a-f]+")
 KEYWORD = re.compile(r"(?i)token|secret|password|api_?key")
 
 
@@ -91,6 +92,11 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if k % 2 == 0 else (2 * int(d) - 9 * (d > "4")) for k, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def issued(ssn: str) -> bool:
+    """Whether a number may have been given out."""
+    return ssn[:3] not in ("000", "666") and ssn[0] != "9" and ssn[3:5] != "00" and ssn[5:] != "0000"
+
+
 def network(ip: str) -> str:
     a, b = map(int, ip.split(".")[:2])
     if a == 10 or a == 172 and 16 <= b < 32 or a == 192 and b == 168:
@@ -199,7 +205,7 @@ def lengthened(kind: str, norm: str, more: int, key: str) -> str:
         return respelled(padded + next(d for d in DIGITS if luhn(padded + d) == luhn(norm)), key, lambda x: luhn(x) == luhn(norm))
     if kind == "name":  # letters of no class would stay, and with them the name
         return respelled("".join(x if x in CLASS_OF else "b" for x in norm[:-1]) + "b" * more, key) + norm[-1]
-    return surrogate(kind, norm + ("b" if kind == "secret" else "0") * more, 0, key)
+    return surrogate(kind, norm + ("0" if DIGITS_ONLY.fullmatch(norm) else "b" if kind == "secret" else "0") * more, 0, key)
 
 
 def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
@@ -232,8 +238,12 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     if kind == "name":
         listed = {x for _, names in LISTS for x in names}
         return respelled(norm[:-1], f"{key}|{norm[-1]}", lambda x: x + norm[-1] not in listed) + norm[-1]
-    if re.fullmatch("[0-9a-f]+", norm):
-        return respelled(norm, key, alphabet=HEX)
+    if kind == "ssn":
+        return respelled(norm, key, lambda x: issued(x) == issued(norm))
+    if DIGITS_ONLY.fullmatch(norm):
+        return respelled(norm, key)
+    if HEX_ONLY.fullmatch(norm):  # some letter stays, so that it stays hexadecimal
+        return respelled(norm, key, lambda x: not DIGITS_ONLY.fullmatch(x), alphabet=HEX)
     upper = "".join("A" if x.isupper() else "a" for x in norm)
     low = respelled(norm.lower(), f"{key}|{upper}")
     return "".join(x.upper() if u == "A" else x for x, u in zip(low, upper, strict=True))

@@ -12,7 +12,8 @@ The longest site rule that fits decides; else the longest pattern; else the defa
 Bound: the rules are a parameter, checked against MAX_RULE_BYTES before they are broadcast. Beyond it filter_by_join does
 the same with the rules as a table, joined by key.
 
-Defined results: a null url, or one without `://`, has empty host and path, fits no rule and gets the default;
+Defined results: a null url has empty host and path, fits no rule and gets the default; a url without `://` has empty
+host and path too, so that no site rule fits it, but patterns are held against the whole of it and may decide;
 repeated urls are judged alike; an empty table gives an empty result. Ports and user names are part of the host.
 """
 
