@@ -298,19 +298,6 @@ def test_post_to_a_server(tmp_path):
     assert got == [[{"a": 1}, {"a": 2}]]
 
 
-def test_replay_forever(spark, tmp_path):
-    rows = spark.createDataFrame([(k, f"r{k}") for k in range(3)], "row_id long, name string")
-    query = live.replay_forever(spark, rows, 50).writeStream.format("memory").queryName("forever").option("checkpointLocation", str(tmp_path)).start()
-    try:
-        for _ in range(60):
-            if spark.table("forever").count() > 6:
-                break
-            query.processAllAvailable()
-        assert {r["name"] for r in spark.table("forever").collect()} == {"r0", "r1", "r2"}
-    finally:
-        query.stop()
-
-
 def test_the_rest_works_without_llm():
     import subprocess
     import sys

@@ -62,7 +62,7 @@ def unified(logs: dict[str, DataFrame]) -> DataFrame:
 def sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES, logoff_starts: bool = False) -> DataFrame:
     """events with session: it grows at each logon, and behind a gap of more than so many minutes in the same day."""
     w = Window.partitionBy(*DAY).orderBy("timestamp", "id")
-    starts = F.lower("event_type").isin("logon", *(["logoff"] if logoff_starts else []))
+    starts = F.coalesce(F.lower("event_type").isin("logon", *(["logoff"] if logoff_starts else [])), F.lit(False))
     gap = timeops.seconds_between(F.lag("timestamp").over(w), F.col("timestamp"))
     opens = (starts | (F.coalesce(gap, F.lit(0)) > gap_minutes * 60)).cast("int")
     return events.withColumn("opens", opens).withColumn("session", F.sum("opens").over(w).cast("int")).withColumn("place", F.row_number().over(w)).drop("opens")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.scoring import alerts, late_flags, risk
+from ..operators.shaping import rank_percentile
+from ..session import checkpointed
 
 
 def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -17,11 +21,26 @@ def replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def replay_forever(spark: SparkSession, rows: DataFrame, rows_per_second: int = 10, by: str = "row_id") -> DataFrame:
-    """A bounded table's rows as an endless stream, round and round: a rate source's counter picks rows by their number."""
-    number = rows.count()
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return ticks.withColumn(by, F.col("value") % F.lit(max(1, number))).join(rows, by)
+def replay_rounds(spark: SparkSession, rows: DataFrame, order: list[str], folder: str, rows_per_batch: int = 1000, rounds: int | None = None) -> DataFrame:
+    """A bounded table's rows as a stream in order, round and round, with round (from 0) and row (the place in order, from 0).
+
+    The rows are numbered once, by range partitions, and kept under their numbers in folder, which a restart finds again.
+    Each batch takes the next rows_per_batch numbers from a counter whose offsets the stream's checkpoint keeps: a batch
+    that is repeated has the same rows, and (round, row) grows from batch to batch. rounds: so many, then batches are empty.
+    """
+    try:
+        numbered = spark.read.parquet(folder)
+    except AnalysisException:
+        placed = rank_percentile(rows.withColumn("__order", F.struct(*order)).withColumn("__one", F.xxhash64(*rows.columns)), "__order", "__one", "__share")
+        placed = checkpointed(placed)
+        n = placed.count()
+        placed.withColumn("row", F.round(F.col("__share") * n).cast("long")).drop("__order", "__one", "__share").repartitionByRange("row").sortWithinPartitions("row").write.parquet(folder)
+        numbered = spark.read.parquet(folder)
+    n = max(1, numbered.count())
+    counter = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("numPartitions", 1).load()
+    due = counter.select(F.col("value"), F.floor(F.col("value") / n).cast("long").alias("round"), (F.col("value") % n).alias("row"))
+    due = due if rounds is None else due.where(F.col("round") < rounds)
+    return numbered.join(F.broadcast(due.drop("value")), "row")  # a batch has rows_per_batch numbers
 
 
 def enrich(events: DataFrame) -> DataFrame:
@@ -106,6 +125,48 @@ def post(send: Callable[[list[str]], None], batch_rows: int = 1000, attempts: in
     return deliver
 
 
+def post_once(send: Callable[[list[str]], None], ledger: str, keys: list[str], batch_rows: int = 1000, attempts: int = 3, pause: float = 5.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: as post, but a batch that is repeated leaves out what its earlier runs have delivered.
+
+    ledger: a folder of the shared store, with the keys of each batch's delivered messages. A group that is refused does
+    not fail its task: the task goes on to report what it has delivered and what it has not, the delivered keys are
+    written to the ledger, and only then does the batch fail, to be repeated without them. So a message is delivered
+    once, but for the groups of an executor that is lost between sending and reporting, which are sent again.
+    Messages of one batch with equal keys are one message.
+    """
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        broken = ""
+        for batch in batches:
+            for a in range(0, len(batch), batch_rows):
+                own = batch[a : a + batch_rows]
+                for attempt in range(attempts if not broken else 0):
+                    try:
+                        send(own["message"].tolist())
+                        broken = ""
+                        break
+                    except OSError as error:
+                        broken = str(error) or type(error).__name__
+                        if attempt + 1 < attempts:
+                            time.sleep(pause)
+                yield pd.DataFrame({"key": own["key"], "refused": [broken or None] * len(own)})
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        spark, folder = batch.sparkSession, f"{ledger}/batch={number}"
+        messages = batch.select(F.to_json(F.struct(*keys)).alias("key"), F.to_json(F.struct("*")).alias("message")).dropDuplicates(["key"])
+        try:
+            messages = messages.join(spark.read.schema("key string").parquet(folder), "key", "left_anti")
+        except AnalysisException:
+            pass
+        told = checkpointed(messages.mapInPandas(groups, "key string, refused string"))  # each message is sent by this one job
+        told.where("refused IS NULL").select("key").write.mode("append").parquet(folder)
+        failed = told.where("refused IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.max("refused").alias("why")).first()
+        if failed["n"]:
+            raise OSError(f"{failed['n']} messages of batch {number} were refused: {failed['why']}")
+
+    return deliver
+
+
 def write_available(events: DataFrame, checkpoint: str, mode: str = "append") -> DataStreamWriter:
     """A writer that takes what is there and stops; restarts go on from the checkpoint."""
     return events.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
