@@ -180,6 +180,24 @@ def test_shaping(spark):
         schemas.column_check(df, "logon", strict=True)
 
 
+def test_lines_that_do_not_fit(spark, tmp_path):
+    """They are kept with file and reason, counted in the audit log, and the others are as if they were not there."""
+    email = RAW["email"] + ['7,01/04/2010 09:30:00,abc1234,PC-1,"x@y.com;z@y.com",,,abc@dtaa.com,12,1,"said ""so"", then"', "8,01/04/2010 09:30:00,abc1234,PC-1,x@y.com,,,abc@dtaa.com,many,1,hello", "9,cut off", 'a,b,c,d,e,f,g,h,1,2,"i, j",k']
+    for name, lines in RAW.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(email if name == "email" else lines) + "\n")
+    (tmp_path / "ldap").mkdir()
+    (tmp_path / "ldap" / "2010-01.csv").write_text("\n".join([*LDAP, "x,y"]) + "\n")
+    pipelines.stage1(spark, str(tmp_path), str(tmp_path / "out"), audit=sinks.Audit(str(tmp_path / "audit.log")))
+    assert sorted((r["id"], r["size"], r["content"]) for r in spark.read.parquet(f"{tmp_path}/out/email").collect()) == [("5", 100, "hello"), ("7", 12, 'said "so", then')]
+    got = {(r["line"], r["reason"], r["file"].rsplit("/", 1)[1]) for r in spark.read.parquet(f"{tmp_path}/out/rejects/email").collect()}
+    assert got == {(email[3], "values: size", "email.csv"), (email[4], "fields: 2", "email.csv"), (email[5], "fields: 12", "email.csv")}
+    assert [(r["line"], r["file"].rsplit("/", 1)[1]) for r in spark.read.parquet(f"{tmp_path}/out/rejects/ldap").collect()] == [("x,y", "2010-01.csv")]
+    log = {x["table"]: (x["rows"], x["rejected"]) for x in map(json.loads, (tmp_path / "audit.log").read_text().splitlines())}
+    assert log == {**{x: (1, 0) for x in RAW}, "logon": (2, 0), "email": (2, 3), "ldap": (1, 1)} and not (tmp_path / "out" / "rejects" / "logon").exists()
+    there = logs.availability(spark, str(tmp_path))
+    assert there["ground_truth"] is None and there["email"] == (tmp_path / "email.csv").stat().st_size // 180
+
+
 RAW = {
     "logon": ["id,date,user,pc,activity", "1,01/04/2010 09:00:00,abc1234,PC-1,Logon", "2,01/04/2010 10:00:00,abc1234,PC-1,Logoff"],
     "device": ["id,date,user,pc,activity", "3,01/04/2010 09:10:00,abc1234,PC-1,Connect"],
@@ -207,6 +225,14 @@ def test_stages(spark, tmp_path, capsys):
     row = spark.read.parquet(f"{tmp_path}/features/features").first()
     assert (row["logon_count"], row["sum_session"], row["missing_disconnect_count"], row["external_emails_sent"], row["job_visits"], row["logon_count_7d"]) == (1, 3600, 1, 1, 1, 1)
     assert (row["new_pcs"], row["new_domains"], row["degree"], row["role_sensitivity"], row["is_high_risk"]) == (1, 1, 2, 5, True)
+    monthly, quarterly = (spark.read.parquet(f"{tmp_path}/features/features_{x}") for x in ("monthly", "quarterly"))
+    assert monthly.first()["logon_count"] == 1 and monthly.columns == quarterly.columns and "logon_count" in spark.read.parquet(f"{tmp_path}/features/features_daily").columns
+    ranks = {r["node"]: r["rank"] for r in spark.read.parquet(f"{tmp_path}/features/graph/ranks").collect()}
+    assert len(ranks) == 4 and sum(ranks.values()) == pytest.approx(1) and max(ranks, key=ranks.get) == "ABC1234"
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in spark.read.parquet(f"{tmp_path}/features/graph/mail").collect()) == [("abc@dtaa.com", "x@y.com", 1), ("abc@dtaa.com", "z@dtaa.com", 1)]
+    for _ in range(2):
+        assert cli.main(["stream", str(tmp_path / "features"), str(tmp_path / "live"), "--audit", str(tmp_path / "audit2.log")]) == 0
+    assert spark.read.parquet(f"{tmp_path}/live/scored").count() == 1 and len((tmp_path / "audit2.log").read_text().splitlines()) == 4
     rows = sinks.completeness(spark, f"{tmp_path}/features", cli.EXPECTED)
     assert all(v for name, v in rows.items() if name != "graph/edges_shared_pc") and not rows["graph/edges_shared_pc"]
     edge = spark.read.parquet(f"{tmp_path}/features/graph/edges_browsed").first()
@@ -242,7 +268,7 @@ def test_answers_windows_and_samples(spark, tmp_path):
     paths = sinks.write_windows({"24h": df, "7d": df}, str(tmp_path / "w"))
     assert paths["7d"].endswith("features_weekly") and spark.read.parquet(paths["24h"]).count() == 100
     (tmp_path / "logon.csv").write_text("x" * 600)
-    assert logs.estimated_rows(str(tmp_path / "logon.csv"), "logon") == 10
+    assert logs.estimated_rows(spark, str(tmp_path / "logon.csv"), "logon") == 10 and logs.estimated_rows(spark, str(tmp_path / "none.csv"), "logon") == 0
     lines = ["id,date,user,pc,filename,content", '4,01/04/2010 09:20:00,abc1234,PC-1,R:\\a.doc,"two', 'lines"']
     (tmp_path / "file.csv").write_text("\n".join(lines) + "\n")
     assert logs.read_log(spark, str(tmp_path / "file.csv"), "file", multi_line=True).first()["content"] == "two\nlines"

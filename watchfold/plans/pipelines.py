@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, timeops
 from ..functions.hashing import SALT
-from ..operators import axes, forest, graph, labels, people, scoring, sequences, shaping, user_day
+from ..operators import axes, forest, graph, labels, people, rank, scoring, sequences, shaping, user_day
 from ..sources import logs as readers
 from ..sources import sinks
 from ..sources.schemas import LOGS, column_check
@@ -43,12 +43,21 @@ def stage1(
     spark: SparkSession, raw: str, out: str, salt: str = SALT, http: bool = True, http_sample: int | None = None, audit: sinks.Audit | None = None,
     directory: bool = True, traits: bool = True, multi_line: bool = False,
 ) -> None:
-    """Reads, checks, normalises (with the holiday rule), hashes and writes the five logs, the directory and the traits."""
-    for name, df in readers.hashed(readers.read_all(spark, raw, http, http_sample, directory, traits, multi_line), salt).items():
-        column_check(df, name, strict=True)
-        sinks.write_parquet(normalised(df, name), f"{out}/{name}")
+    """Reads, checks, normalises (with the holiday rule), hashes and writes the five logs, the directory and the traits.
+
+    Lines that do not fit their table go to rejects/<table>. They are counted while the others are written; only a table
+    that has some is read again for them.
+    """
+    for name, df in readers.hashed(readers.read_all(spark, raw, http, http_sample, directory, traits, multi_line, True), salt).items():
+        good, seen = readers.without_rejects(df), Observation(f"{name} lines")
+        column_check(good, name, strict=True)
+        counted = df.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(readers.RAW_LINE).alias("rejected"))
+        sinks.write_parquet(normalised(readers.without_rejects(counted), name), f"{out}/{name}")
+        lines, rejected = seen.get["lines"], seen.get["rejected"]
+        if rejected:
+            sinks.write_parquet(readers.rejects(df, name), f"{out}/rejects/{name}")
         if audit:
-            audit.log("write", table=name, path=f"{out}/{name}")
+            audit.log("write", table=name, path=f"{out}/{name}", rows=lines - rejected, rejected=rejected)
 
 
 def daily_features(tables: dict[str, DataFrame]) -> DataFrame:
@@ -125,8 +134,25 @@ def windowed_features(daily: DataFrame, windows: tuple[str, ...] = ("24h", "7d",
     return reduce(lambda df, w: user_day.rolling(df, columns, user_day.window_days(w), suffix=w), [w for w in windows if w != "24h"], daily)
 
 
+def window_table(features: DataFrame, window: str, windows: tuple[str, ...]) -> DataFrame:
+    """A window's columns of windowed_features, by user and day, without the window's name behind theirs."""
+    if window == "24h":
+        others = tuple(f"_{w}" for w in windows if w != "24h")
+        return features.select(*[c for c in features.columns if not (others and c.endswith(others))])
+    own = [c for c in features.columns if c.endswith(f"_{window}")]
+    return features.select(*UD, *[F.col(c).alias(c.removesuffix(f"_{window}")) for c in own])
+
+
+def ranked_nodes(edges: dict[str, DataFrame]) -> DataFrame:
+    """Rank of users, machines and domains, over the edges of all months: to machines and back, and to domains."""
+    ends = {"used_pc": ("user", "pc"), "browsed": ("user", "domain"), "sent_email": ("user", "sender_domain")}
+    parts = [edges[x].select(F.col(a).alias("src"), F.col(b).alias("dst"), "weight") for x, (a, b) in ends.items() if x in edges]
+    back = edges["used_pc"].select(F.col("pc").alias("src"), F.col("user").alias("dst"), "weight")
+    return rank.page_rank(reduce(DataFrame.unionByName, [*parts, back]), "src", "dst", tolerance=1e-4)
+
+
 def stage2(spark: SparkSession, tables: dict[str, DataFrame], out: str, intervals: DataFrame | None = None, directory: DataFrame | None = None, traits: DataFrame | None = None, windows: tuple[str, ...] = ("24h", "7d", "30d", "90d")) -> None:
-    """Writes features, labels, sequences, graph tables and anomaly scores."""
+    """Writes features (all windows in one table, and a table for each), labels, sequences, graph tables with ranks, the mail graph and anomaly scores."""
     features = windowed_features(with_context(daily_features(tables), tables), windows)
     if directory is not None:
         organisation = people.organisation(directory)
@@ -137,9 +163,15 @@ def stage2(spark: SparkSession, tables: dict[str, DataFrame], out: str, interval
         features = labels.labelled(features, intervals)
     sinks.write_parquet(features, f"{out}/features")
     features = spark.read.parquet(f"{out}/features")
+    sinks.write_windows({w: window_table(features, w, windows) for w in windows}, out)
     own = {k: v for k, v in tables.items() if k in LOGS}
     sinks.write_parquet(sequences.encoded(sequences.unified(own), intervals), f"{out}/sequences")
-    sinks.write_graph(*graph_tables(tables, directory, traits), f"{out}/graph")
+    nodes, edges = graph_tables(tables, directory, traits)
+    sinks.write_graph(nodes, edges, f"{out}/graph")
+    written = {name: spark.read.schema(df.schema).parquet(f"{out}/graph/edges_{name}") for name, df in edges.items()}  # one without edges has no files
+    sinks.write_parquet(ranked_nodes(written), f"{out}/graph/ranks")
+    if "email" in tables:
+        sinks.write_parquet(graph.email_graph(tables["email"]), f"{out}/graph/mail")
     columns = [c for c in shaping.numbers(features, ("user", "date", "is_insider"))]
     people_ = user_day.user_means(features, columns)
     vectors = scoring.scaled_vectors(people_, [f"mean_{c}" for c in columns])

@@ -56,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def file_size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file, or of all files in a folder, in any store that Spark reads; None where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getContentSummary(where).getLength() if store.exists(where) else None
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Remove a folder of the shared store, if it is there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, timeops
 from ..functions.hashing import SALT, pseudonymise
+from ..session import file_size
 from .schemas import LOGS, SOURCES
 
+#: Holds the line as it stands where it does not fit the schema, and its file.
+RAW_LINE, RAW_FILE = "__raw_line", "__raw_file"
+
 
-def read_csv(spark: SparkSession, path: str, source: str, multi_line: bool = False) -> DataFrame:
-    """A raw table by its declared schema; lines that do not fit give nulls.
+def read_csv(spark: SparkSession, path: str, source: str, multi_line: bool = False, keep_raw: bool = False) -> DataFrame:
+    """A raw table by its declared schema; lines that do not fit give nulls, and stand in RAW_LINE where it is asked for.
 
     multi_line: quoted fields may hold line feeds. Such files cannot be split, and each is read by one task.
     """
-    reader = spark.read.schema(SOURCES[source].schema).option("recursiveFileLookup", "true")
-    return reader.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
+    schema = SOURCES[source].schema
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if not keep_raw:
+        return reader.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
+    # without column pruning, so that what fits does not depend on which columns are asked for
+    reader = reader.schema(T.StructType([*schema.fields, T.StructField(RAW_LINE, T.StringType())])).option("columnPruning", "false")
+    df = reader.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=RAW_LINE)
+    return df.withColumn(RAW_FILE, F.input_file_name())
+
+
+def without_rejects(df: DataFrame) -> DataFrame:
+    """The rows whose lines fit."""
+    return df.where(F.col(RAW_LINE).isNull()).drop(RAW_LINE, RAW_FILE) if RAW_LINE in df.columns else df
+
+
+def rejects(df: DataFrame, source: str) -> DataFrame:
+    """file, line and reason of each line that does not fit (its number of fields, or the columns whose values are of another type), and how many of its columns were filled."""
+    fields = SOURCES[source].schema.fields
+    line = F.col(RAW_LINE)
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    n = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    typed = [f.name for f in fields if not isinstance(f.dataType, T.StringType)]
+    wrong = F.concat_ws(", ", *[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in typed])
+    filled = sum((F.col(f"`{f.name}`").isNotNull().cast("int") for f in fields), F.lit(0))
+    reason = F.when(n != len(fields), F.concat(F.lit("fields: "), n.cast("string"))).otherwise(F.concat(F.lit("values: "), wrong))
+    return df.where(line.isNotNull()).select(F.col(RAW_FILE).alias("file"), line.alias("line"), reason.alias("reason"), filled.alias("filled"))
 
 
 def timed(df: DataFrame, as_written: bool = False) -> DataFrame:
@@ -50,20 +77,20 @@ def enriched(df: DataFrame, source: str) -> DataFrame:
     return df
 
 
-def read_log(spark: SparkSession, path: str, source: str, sample_rows: int | None = None, multi_line: bool = False) -> DataFrame:
+def read_log(spark: SparkSession, path: str, source: str, sample_rows: int | None = None, multi_line: bool = False, keep_raw: bool = False) -> DataFrame:
     """One of the five logs, timed and enriched. sample_rows: only so many."""
-    raw = read_csv(spark, path, source, multi_line)
+    raw = read_csv(spark, path, source, multi_line, keep_raw)
     return enriched(timed(raw.limit(sample_rows) if sample_rows else raw), source)
 
 
-def read_psychometric(spark: SparkSession, path: str) -> DataFrame:
-    return enriched(read_csv(spark, path, "psychometric"), "psychometric")
+def read_psychometric(spark: SparkSession, path: str, keep_raw: bool = False) -> DataFrame:
+    return enriched(read_csv(spark, path, "psychometric", keep_raw=keep_raw), "psychometric")
 
 
-def read_ldap(spark: SparkSession, folder: str) -> DataFrame:
+def read_ldap(spark: SparkSession, folder: str, keep_raw: bool = False) -> DataFrame:
     """All monthly snapshots of a folder, with the month of each from its file's or folder's name."""
     month = timeops.parse_month(text.extracted(F.input_file_name(), r"(\d{4}-\d{2})(?:\.csv|/[^/]*)$"))
-    return enriched(read_csv(spark, folder, "ldap").withColumn("snapshot_month", month), "ldap")
+    return enriched(read_csv(spark, folder, "ldap", keep_raw=keep_raw).withColumn("snapshot_month", month), "ldap")
 
 
 def read_ground_truth(spark: SparkSession, path: str | None, release: float | None = None) -> DataFrame:
@@ -86,14 +113,14 @@ def read_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_all(spark: SparkSession, folder: str, http: bool = True, http_sample: int | None = None, directory: bool = True, traits: bool = True, multi_line: bool = False) -> dict[str, DataFrame]:
+def read_all(spark: SparkSession, folder: str, http: bool = True, http_sample: int | None = None, directory: bool = True, traits: bool = True, multi_line: bool = False, keep_raw: bool = False) -> dict[str, DataFrame]:
     """All tables of a folder, lazily: the five logs, the directory's snapshots and the personality traits."""
     names = [x for x in LOGS if http or x != "http"]
-    out = {x: read_log(spark, f"{folder}/{x}.csv", x, http_sample if x == "http" else None, multi_line) for x in names}
+    out = {x: read_log(spark, f"{folder}/{x}.csv", x, http_sample if x == "http" else None, multi_line, keep_raw) for x in names}
     if directory:
-        out["ldap"] = read_ldap(spark, f"{folder}/ldap")
+        out["ldap"] = read_ldap(spark, f"{folder}/ldap", keep_raw)
     if traits:
-        out["psychometric"] = read_psychometric(spark, f"{folder}/psychometric.csv")
+        out["psychometric"] = read_psychometric(spark, f"{folder}/psychometric.csv", keep_raw)
     return out
 
 
@@ -143,14 +170,15 @@ def with_source(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def estimated_rows(path: str, source: str) -> int:
-    """Rows of a local file, from its size."""
-    return Path(path).stat().st_size // SOURCES[source].row_bytes
+def estimated_rows(spark: SparkSession, path: str, source: str) -> int:
+    """Rows of a file or folder in any store, from its size; 0 where there is none."""
+    return (file_size(spark, path) or 0) // SOURCES[source].row_bytes
 
 
-def availability(folder: str) -> dict[str, bool]:
-    """Which raw tables a local folder has."""
-    return {name: (Path(folder) / (name if name == "ldap" else f"{name}.csv")).exists() for name in SOURCES}
+def availability(spark: SparkSession, folder: str) -> dict[str, int | None]:
+    """About how many rows of each raw table a folder has, in any store; None for those that are not there."""
+    paths = {name: f"{folder}/{name if name == 'ldap' else f'{name}.csv'}" for name in SOURCES}
+    return {name: None if file_size(spark, path) is None else estimated_rows(spark, path, name) for name, path in paths.items()}
 
 
 def load_statistics(df: DataFrame, source: str) -> DataFrame:

@@ -55,6 +55,33 @@ def raw_folder(spark: SparkSession, sf_dir: str, *names: str) -> str:
     return folder
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mail log as text, in which every seventh line is cut off behind its user, and every eleventh names its size in words."""
+    c = F.col
+    order = c("id").cast("long")
+    whole = F.concat_ws(",", "id", "date", "user", F.lit("pc-1"), F.concat(F.lit('"'), "to", F.lit('"')), F.lit(""), F.lit(""), "from", F.when(order % 11 == 0, F.lit("much")).otherwise(c("size").cast("string")), c("attachments").cast("string"), F.lit('"a, b"'))
+    rows = raw_tables(spark, sf_dir)["email"].withColumn("line", F.when(order % 7 == 0, F.concat_ws(",", "id", "date", "user")).otherwise(whole))
+    folder = f"{checkpoint_folder(spark)}/raw-{uuid.uuid4().hex}"
+    rows.select("line").write.text(folder)
+    # each file begins with a line that is taken for the header
+    lines = spark.read.option("wholetext", "true").text(folder).select(F.concat(F.lit("id,date,user,pc,to,cc,bcc,from,size,attachments,content\n"), F.rtrim("value", F.lit("\n"))))
+    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}-headed")
+    return readers.read_csv(spark, f"{folder}-headed", "email", keep_raw=True)
+
+
+MAIL_LINE = """SELECT id, CASE WHEN id % 7 = 0 THEN 'fields: 3' WHEN id % 11 = 0 THEN 'values: size' END AS reason, strftime(timestamp, '%m/%d/%Y %H:%M:%S') AS d, * EXCLUDE (id) FROM mail"""
+
+
+@query("mail", f"""SELECT CASE WHEN id % 7 = 0 THEN id || ',' || d || ',' || lower("user") ELSE id || ',' || d || ',' || lower("user") || ',pc-1,"' || "to" || '",,, ' || from_ || ',much,' || attachments || ',"a, b"' END AS line, reason FROM ({MAIL_LINE}) WHERE reason IS NOT NULL""")
+def raw_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.rejects(planted(spark, sf_dir), "email").select("line", "reason")
+
+
+@query("mail", f"""SELECT CAST(id AS VARCHAR) AS id, lower("user") AS "user", "to", size, attachments, 'a, b' AS content FROM ({MAIL_LINE}) WHERE reason IS NULL""")
+def raw_without_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.without_rejects(planted(spark, sf_dir)).select("id", "user", "to", "size", "attachments", "content")
+
+
 def through(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table read, hashed and normalised, as stage 1 does it."""
     folder = raw_folder(spark, sf_dir, name)
