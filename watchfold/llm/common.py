@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,27 @@ from ..session import checkpoint_folder, checkpointed, discard  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a side up to which it is sent to all executors.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the checkpoint folder and read back, and its folder, to be discarded when it is done with."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
+
+
+def sent(df: DataFrame, row_bytes: int, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows, of row_bytes and extra bytes each, are within the limit."""
+    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) + (F.lit(0) if extra is None else extra)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -20,21 +20,18 @@ benchmark or corpus gives no hits or no rows.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, checkpointed, discard, lower_ascii
+from .common import checkpointed, discard, lower_ascii, sent, stored
 
 #: Runs of anything but ASCII characters that are neither letters nor digits.
 RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Terms whose lists are intersected first.
 LISTS = 2
-#: Bytes of a side up to which it is sent to all executors.
-BROADCAST_BYTES = 64 << 20
 #: The term of a document's last posting.
 END = -1
 
@@ -64,12 +61,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def sent(df: DataFrame, row_bytes: int, extra: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its rows, of row_bytes and extra bytes each, are within the limit."""
-    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) + (F.lit(0) if extra is None else extra)), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
-
-
 def windows_of(items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(item, gram) of every window of every item, gram an array of words."""
     own = items.select(F.col(id_col).cast("string").alias("item"), F.transform(words(F.col(text_col)), lower_ascii).alias("words")).where(F.size("words") > 0)
@@ -86,9 +77,7 @@ def build(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("doc_id"), F.array_append(words(F.col(text_col)), F.lit("")).alias("words"))
     spread = rows.select("doc", "doc_id", F.posexplode("words").alias("pos", "word")).withColumn("word", lower_ascii(F.col("word")))
     named = F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")
-    folder = f"{checkpoint_folder(spark)}/postings-{uuid.uuid4().hex}"
-    spread.join(known, "word").select("doc", named, "term", "pos").write.parquet(folder)
-    postings = spark.read.parquet(folder)
+    postings, folder = stored(spread.join(known, "word").select("doc", named, "term", "pos"), "postings")
     counts = postings.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return Index(postings, checkpointed(terms.join(counts, "term", "left").select("word", "term", F.coalesce("n", F.lit(0)).alias("n"))), folder)
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, text_key, whole_row
+from .common import WORD, checkpointed, discard, stored, text_key, whole_row
 
 MIN_WORDS = 50
 BLANKS = " \t\r\v\f"
@@ -115,17 +115,19 @@ def later_copies(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     at = runs.withColumn("k", power).withColumn("pos2", (F.col("start") + F.col("size") - F.expr("shiftleft(1, k)")).cast("int"))
     head = ranks.select(*DOC, "k", F.col("pos").alias("start"), F.col("rank").alias("head"))
     tail = ranks.select(*DOC, "k", F.col("pos").alias("pos2"), F.col("rank").alias("tail"))
-    named = at.join(head, [*DOC, "k", "start"]).join(tail, [*DOC, "k", "pos2"]).select("size", "head", "tail", F.struct(*DOC, "start").alias("place"))
-    firsts = named.groupBy("size", "head", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1")
+    # both are written, so that a class of many copies meets its first one in a join that can be split
+    named = checkpointed(at.join(head, [*DOC, "k", "start"]).join(tail, [*DOC, "k", "pos2"]).select("size", "head", "tail", F.struct(*DOC, "start").alias("place")))
+    firsts = checkpointed(named.groupBy("size", "head", "tail").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1"))
     later = named.join(firsts, ["size", "head", "tail"]).where("place != first")
     return later.select("place.*", "size")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of docs as row, with text without its deleted lines, lines and deleted (their numbers)."""
-    lines = sequences(docs)
+    lines, folder = stored(sequences(docs), "lines")  # read twice, hashed once
     names = ranked(repeated(lines, ["l1", "l2"]), ["l1", "l2"])
     first = checkpointed(lines.join(names, ["l1", "l2"]).select(*DOC, "pos", "line", "upto", "words", "rank"))
+    discard(docs.sparkSession, folder)
     later = later_copies(shortest_runs(first, min_words), doubled_ranks(first, min_words.bit_length() - 1))
     gone = later.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos"))
