@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from watchfold.llm import linededup, mixing, packing, queries
+from watchfold.llm import linededup, minhash, mixing, packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,7 +54,7 @@ def test_pipeline_stages(spark):
     three = stages["near_dedup"](spark, two, SF)
     assert three.columns == docs.columns
     texts = [(r["doc_id"], r["text"]) for r in two.collect()]
-    component, sizes = brute_components(texts, 5)
+    component, sizes = brute_components(texts, minhash.WIDTH)
     assert sorted(r["doc_id"] for r in three.collect()) == sorted(d for d, c in component.items() if d == c or not sizes[d])
     four = stages["mixing"](spark, three, SF)
     assert four.columns == docs.columns

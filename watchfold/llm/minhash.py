@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, text_key
+from .common import checkpointed, sent, text_key
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -123,7 +123,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "set": [shingle_set(t, width, hashes).tobytes() for t in batch["text"]]})
 
-    texts = docs.where("text IS NOT NULL").select(*text_key(F.col("text")), "text").groupBy("th1", "th2").agg(F.first("text").alias("text"))
+    # where the wanted texts are few, the others do not travel
+    keyed = docs.where("text IS NOT NULL").select(*text_key(F.col("text")), "text").join(sent(wanted.select("th1", "th2"), 48), ["th1", "th2"], "left_semi")
+    texts = keyed.groupBy("th1", "th2").agg(F.first("text").alias("text"))
     return texts.join(wanted, ["th1", "th2"]).select("node", "text").mapInPandas(make, "node long, set binary")
 
 
@@ -231,7 +233,7 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     met = checkpointed(spread.join(several, "bucket"))
-    wanted = met.select("node").distinct().join(classes.select("node", "th1", "th2"), "node")
+    wanted = checkpointed(met.select("node").distinct().join(classes.select("node", "th1", "th2"), "node"))
     sets = checkpointed(full_sets(docs, wanted, width))
     # nodes in a new order: those that share most of their shingles first, as they make the best pivots
     known = occurrences(sets).where(100 * F.col("c") >= percent * F.col("n")).withColumn("own", 1 - F.col("c") / F.col("n"))
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     )
 
 
-def dedup_documents(docs: DataFrame, width: int = 5, percent: int = PERCENT, **options) -> DataFrame:
+def dedup_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """docs with one document of each component; of rows that agree in doc_id and text one stays. Empty sets all stay."""
     found = near_duplicates(docs, width, percent, **options)
     key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id")]
