@@ -65,8 +65,10 @@ def user_nodes(events: DataFrame) -> DataFrame:
         F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_std"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("gap_median"),
         event_share(hour < 12).alias("ge0_ratio"), event_share((hour >= 12) & (hour < 18)).alias("afternoon_ratio"), event_share(hour >= 18).alias("evening_ratio"),
     )
-    daily = events.groupBy(*by, "date").agg(n.alias("n")).groupBy(*by).agg(F.avg("n").alias("daily_mean"), F.stddev_pop("n").alias("daily_std"), n.alias("days_active"))
-    pcs = events.groupBy(*by, "pc").agg(n.alias("n"), F.countDistinct("date").alias("days"))
+    # days and machines come from one table of counts
+    cells = events.groupBy(*by, "date", "pc").agg(n.alias("n"))
+    daily = cells.groupBy(*by, "date").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.avg("n").alias("daily_mean"), F.stddev_pop("n").alias("daily_std"), n.alias("days_active"))
+    pcs = cells.groupBy(*by, "pc").agg(F.sum("n").alias("n"), F.count("date").alias("days"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
     pcs = pcs.withColumn("share", share).groupBy(*by).agg(
         n.alias("n_pcs"), F.sum(-F.col("share") * F.log(F.col("share") + 1e-8)).alias("pc_entropy"), F.max("share").alias("max_pc_share"), F.count(F.when(F.col("days") > 1, 1)).alias("repeat_pcs")
@@ -120,17 +122,36 @@ def user_matrix(stats: DataFrame, traits: DataFrame | None = None, organisation:
     return out.select("user", F.concat("a", "b", "c", "d").alias("vector"))
 
 
+def machine_gaps(events: DataFrame, by: list[str]) -> DataFrame:
+    """by, days_active, and gap_mean and gap_std of the seconds between a machine's successive events.
+
+    Gaps within a day are taken in windows of machine and day, so that a busy machine is spread over its days; the gap
+    from a day's last event to the next one's first comes from one row a day. Sums are of whole seconds, and exact.
+    """
+    gap = timeops.seconds_between(F.lag("timestamp").over(Window.partitionBy(*by, "date").orderBy("timestamp", "id")), F.col("timestamp")).cast("decimal(18,0)")
+    days = events.withColumn("gap", gap).groupBy(*by, "date").agg(
+        F.count("gap").alias("n"), F.sum("gap").alias("s"), F.sum(F.col("gap") * F.col("gap")).cast("decimal(38,0)").alias("q"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    )
+    over = timeops.seconds_between(F.lag("last").over(Window.partitionBy(*by).orderBy("first")), F.col("first")).cast("decimal(18,0)")
+    zero = F.lit(0).cast("decimal(38,0)")
+    sums = days.withColumn("over", over).groupBy(*by).agg(
+        F.count("date").alias("days_active"), (F.sum("n") + F.count("over")).cast("decimal(19,0)").alias("n"), (F.coalesce(F.sum("s"), zero) + F.coalesce(F.sum("over"), zero)).cast("decimal(19,0)").alias("s"),
+        (F.coalesce(F.sum("q"), zero) + F.coalesce(F.sum(F.col("over") * F.col("over")), zero)).cast("decimal(19,0)").alias("q"),
+    )
+    n, spread = F.col("n").cast("double"), (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")
+    known = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
+    return sums.select(*by, "days_active", known(F.col("s").cast("double") / n).alias("gap_mean"), known(F.sqrt(spread) / n).alias("gap_std"))
+
+
 def pc_nodes(events: DataFrame) -> DataFrame:
     """For each machine: 12 numbers of access and 4 of its kind (shared, dedicated, busy, quiet)."""
     by = keyed(events, "pc")
-    w = Window.partitionBy(*by).orderBy("timestamp", "id")
-    rows = events.withColumn("gap", timeops.seconds_between(F.lag("timestamp").over(w), F.col("timestamp")))
     hour = F.hour("timestamp")
-    base = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_events"), F.countDistinct("user").alias("n_users"), F.countDistinct("date").alias("days_active"), event_share(F.col("is_after_hours")).alias("off_hours_ratio"),
-        event_share(F.col("is_weekend")).alias("weekend_ratio"), F.avg(hour).alias("hour_mean"), F.stddev_pop(hour).alias("hour_std"),
-        F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_std"), event_share(timeops.is_late_night(F.col("timestamp"))).alias("night_ratio"),
+    base = events.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_events"), F.countDistinct("user").alias("n_users"), event_share(F.col("is_after_hours")).alias("off_hours_ratio"),
+        event_share(F.col("is_weekend")).alias("weekend_ratio"), F.avg(hour).alias("hour_mean"), F.stddev_pop(hour).alias("hour_std"), event_share(timeops.is_late_night(F.col("timestamp"))).alias("night_ratio"),
     )
+    base = base.join(machine_gaps(events, by), by)
     base = base.withColumns({"events_per_user": F.col("n_events") / F.col("n_users"), "events_per_day": F.col("n_events") / F.col("days_active")})
     marks = [F.percentile("n_events", F.lit(p)).alias(x) for p, x in ((0.75, "p75"), (0.25, "p25"))]
     if "snapshot" in base.columns:

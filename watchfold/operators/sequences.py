@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeops
-from .shaping import diagonal
+from ..session import checkpointed
+from .shaping import diagonal, small
 
 MAX_EVENTS = 512
 GAP_MINUTES = 30
@@ -84,7 +85,8 @@ def features(events: DataFrame, gap_minutes: int = GAP_MINUTES, max_events: int
     """One row an event, up to max_events a user-day: its place, session and the 16 features by name. totals: also the
     whole day's event_count and session_count."""
     c = F.col
-    rows = sessions(events, gap_minutes).join(pc_codes(events), "pc", "left").withColumn("code", type_code(c("event_type")))
+    # machines are numbered once and written; a dimension goes to the events, not they to it
+    rows = sessions(events, gap_minutes).join(small(checkpointed(pc_codes(events))), "pc", "left").withColumn("code", type_code(c("event_type")))
     order = ["timestamp", "id"]
     run = Window.partitionBy(*SESSION).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     machine = Window.partitionBy(*DAY, "pc").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -124,6 +124,21 @@ def distinct_keys(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [f.select(*keys).distinct() for f in frames]).distinct()
 
 
+def row_set(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+    """Distinct rows of a's columns: in either (union), in both (intersection), in a alone (difference), or in just one (either). Nulls equal nulls."""
+    b = b.select(a.columns)
+    if kind == "union":
+        return a.unionByName(b).distinct()
+    if kind == "intersection":
+        return a.intersect(b)
+    if kind == "difference":
+        return a.subtract(b)
+    if kind == "either":
+        sides = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(2)))
+        return sides.groupBy(*a.columns).agg(F.countDistinct("__side").alias("__sides")).where("__sides = 1").drop("__sides")
+    raise ValueError(f"no such kind of set: {kind}")
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in an order."""
     return latest_k(df, keys, order, 1).drop("rn")

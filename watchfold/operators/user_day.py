@@ -124,17 +124,19 @@ def file_counts(logs: DataFrame, by: list[str] = UD, large: Column | None = None
 def email_counts(logs: DataFrame, by: list[str] = UD) -> DataFrame:
     """Mail sent by insiders, received, sent outside; sizes, attachments, domains, contacts and use of copies.
 
-    Domains and contacts are told apart by 64 hashed bits: the two distinct counts multiply rows, which so stay narrow.
+    Domains and contacts are told apart by 64 hashed bits, in one set of each for a user's day, so that rows are neither
+    multiplied nor shuffled twice.
     """
     sent = F.col("is_internal_sender")
     outside = sent & F.col("has_external_recipient")
     mine = lambda c: F.when(sent, F.col(c))
+    kinds = lambda c: F.size(F.collect_set(c)).cast("long")
     out = logs.groupBy(*by).agg(
         how_many(sent).alias("emails_sent"), how_many(~sent).alias("emails_received"), F.coalesce(F.avg(mine("size")), F.lit(0.0)).alias("avg_email_size"),
         F.coalesce(F.max(mine("size")), F.lit(0)).alias("max_email_size"), F.coalesce(F.sum(mine("attachments")), F.lit(0)).alias("attachment_count"),
         how_many(sent & F.col("has_attachments")).alias("emails_with_attachments"), how_many(sent & F.col("is_after_hours")).alias("after_hours_emails"),
-        how_many(outside).alias("external_emails_sent"), F.countDistinct(F.when(outside, F.xxhash64("sender_domain"))).alias("unique_external_domains"),
-        F.countDistinct(F.when(F.col("has_external_recipient"), F.xxhash64("to"))).alias("external_contacts"),
+        how_many(outside).alias("external_emails_sent"), kinds(F.when(outside & F.col("sender_domain").isNotNull(), F.xxhash64("sender_domain"))).alias("unique_external_domains"),
+        kinds(F.when(F.col("has_external_recipient") & F.col("to").isNotNull(), F.xxhash64("to"))).alias("external_contacts"),
         F.coalesce(F.avg(mine("to_count")), F.lit(0.0)).alias("avg_recipients"), F.coalesce(F.avg(mine("cc_count")), F.lit(0.0)).alias("avg_cc"),
     )
     return out.withColumn("cc_usage_rate", F.least(F.col("avg_cc") / (F.col("emails_sent") + 1), F.lit(1.0)))

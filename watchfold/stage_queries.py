@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries as base
 from .functions import hashing, text
 from .operators import graph, labels, people, scoring, sequences, shaping, user_day
 from .plans import pipelines
-from .registry import query
+from .registry import SQL, query
 from .session import checkpoint_folder
 from .sources import adapters as views
 from .sources import logs as readers
 from .sources import schemas, sinks
-from .streaming import live
+from .streaming import live, state
 
 # Raw tables: the given ones written as CSV into the shared folder, and read as any raw log
 
@@ -307,6 +308,37 @@ def sequence_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user", "date", "seq_len", "event_count", "session_count", "window_id", "label", codes.alias("codes"), F.size("sequence").alias("padded"))
 
 
+CELLS = {
+    "event_type": "code", "pc": "pc_code", "hour": "hour(timestamp) / 23.0", "day_of_week": "(isodow(timestamp) - 1) / 6.0", "working_hours": "CAST(hour(timestamp) >= 8 AND hour(timestamp) < 18 AS INT)", "weekend": "CAST(isodow(timestamp) >= 6 AS INT)",
+    "after_hours": "CAST(hour(timestamp) >= 22 OR hour(timestamp) < 6 AS INT)",
+    "session_progress": "CASE WHEN n = 1 THEN 0 ELSE least(1.0, elapsed / 14400.0) END", "device_connected": "connected", "file_operation": "op", "email_sent": "0", "removable_access": "removable", "url_category": "0",
+    "activity_density": "(n - 1) / greatest(1.0, elapsed / 60.0)", "temporal_entropy": base.entropy_sql(), "session_event_count": "n",
+}
+
+
+def sums_sql() -> str:
+    """Over the events as sequence_features' SQL has them: of each feature its sum, and its sum weighed by place, in a day's first 512 events."""
+    events = SQL["sequence_features"].rpartition("SELECT id,")[0]
+    sums = ", ".join(f"round(sum({x}), 4) AS s_{name}, round(sum(place * ({x})), 4) AS w_{name}" for name, x in CELLS.items())
+    return f"""{events} SELECT "user", date, CAST(count(*) AS INTEGER) AS seq_len, {sums}, CAST((512 - count(*)) * 16 AS BIGINT) AS zeros FROM timed WHERE place <= 512 GROUP BY "user", date"""
+
+
+SQL["sequence_sums"] = sums_sql()
+
+
+@query()
+def sequence_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded days' 512 x 16 numbers: every column's sum, and weighed by place, and the zeros of the padding."""
+    out = sequences.encoded(base.unified(spark, sf_dir))
+    cells = out.select("user", "date", "seq_len", F.posexplode("sequence").alias("at", "x"))
+    names = [(k, x) for k, x in enumerate(sequences.FEATURES)]
+    total = lambda value, name: F.round(F.sum(value), 4).alias(name)
+    blank = F.when(F.col("at") >= F.col("seq_len"), sum((F.col("x")[k] == 0).cast("long") for k, _ in names))
+    return cells.groupBy("user", "date", "seq_len").agg(
+        *[total(F.col("x")[k], f"s_{x}") for k, x in names], *[total((F.col("at") + 1) * F.col("x")[k], f"w_{x}") for k, x in names], F.coalesce(F.sum(blank), F.lit(0).cast("long")).alias("zeros")
+    )
+
+
 @query("ev", """SELECT count(*) AS days, avg(least(n, 512)) AS mean_len, CAST(max(least(n, 512)) AS INTEGER) AS max_len, CAST(0 AS BIGINT) AS positive FROM (SELECT "user", date, count(*) AS n FROM ev WHERE kind IN ('view', 'click') GROUP BY 1, 2)""", "mean_len")
 def sequence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.summary(sequences.encoded(sequences.unified({"logon": views.logon(spark, sf_dir)})))
@@ -362,6 +394,13 @@ def graph_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.graph_report(spark, folder, [f"nodes_{x}" for x in nodes] + [f"edges_{x}" for x in edges])
 
 
+@query("ev http mail", """SELECT domain, count(DISTINCT u) AS contacts, ln(1 + count(DISTINCT u)) / 10 AS contact_weight FROM (SELECT domain, "user" AS u FROM http UNION ALL SELECT sender_domain, "user" FROM mail) WHERE domain IS NOT NULL GROUP BY 1""", "contact_weight")
+def domain_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the web and of mail's senders as nodes."""
+    both = views.http(spark, sf_dir).select("domain", "user").unionByName(views.email(spark, sf_dir).select(F.col("sender_domain").alias("domain"), "user"))
+    return graph.domain_nodes(both).select("domain", "contacts", "contact_weight")
+
+
 STATS = [
     *[f"avg(CAST(hour = {h} AS INT))" for h in range(24)], *[f"avg(CAST(dow = {d} AS INT))" for d in range(7)], "avg(CAST(hour >= 18 OR hour < 8 AS INT))", "avg(CAST(weekend AS INT))", "any_value(n_pcs)", "count(*)", "count(*) / any_value(days_active)", "any_value(pc_entropy)",
     "coalesce(avg(gap), 0)", "coalesce(stddev_pop(gap), 0)", "coalesce(median(gap), 0)", "any_value(daily_mean)", "any_value(daily_std)", "any_value(days_active)", "any_value(max_pc_share)", "any_value(repeat_pcs)",
@@ -422,9 +461,46 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("id", "timestamp", "logType", "userId", "userName", "department", "sourceIp", "sessionId", "resource", F.array_join("anomalyFactors", ",").alias("anomalyFactors"), "details")
 
 
+@query("ev", """SELECT 'LOG-' || date || '-' || substr(md5("user"), 1, 8) AS id, unnest(['user', 'date', 'logon_count', 'device_events', 'log_type', 'primary_alert']) AS name, unnest(["user", CAST(date AS VARCHAR), CAST(n AS VARCHAR), CAST(d AS VARCHAR), 'logon',
+  CASE WHEN n > 10 THEN 'Unusually many logons' WHEN d > 2 THEN 'Removable devices in use' ELSE 'Normal behavior pattern' END]) AS value FROM (SELECT "user", date, count(*) AS n, count(*) FILTER (kind IN ('signup', 'error')) AS d FROM ev GROUP BY 1, 2)""")
+def message_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw feature of every message."""
+    device = F.count(F.when(F.col("kind").isin("signup", "error"), 1))
+    rows = views.events(spark, sf_dir).groupBy("user", "date").agg(F.count(F.lit(1)).alias("logon_count"), device.alias("device_events"))
+    said = scoring.messages(scoring.alerts(rows), "features").select("id", F.explode("rawFeatures").alias("name", "value"))
+    return said.where("name <> 'alerts'")
+
+
+@query("ev logon device", """SELECT kind, "user", date FROM (SELECT 'union' AS kind, * FROM (SELECT "user", date FROM logon UNION SELECT "user", date FROM device) UNION ALL SELECT 'intersection', * FROM (SELECT "user", date FROM logon INTERSECT SELECT "user", date FROM device)
+  UNION ALL SELECT 'difference', * FROM (SELECT "user", date FROM logon EXCEPT SELECT "user", date FROM device) UNION ALL SELECT 'either', * FROM ((SELECT "user", date FROM logon EXCEPT SELECT "user", date FROM device) UNION (SELECT "user", date FROM device EXCEPT SELECT "user", date FROM logon)))""")
+def row_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-days with logons and with devices, as sets."""
+    a, b = (df.select("user", "date") for df in (views.logon(spark, sf_dir), views.device(spark, sf_dir)))
+    return shaping.diagonal([shaping.row_set(a, b, kind).select(F.lit(kind).alias("kind"), "user", "date") for kind in ("union", "intersection", "difference", "either")])
+
+
 # Streams
 
 
+@query("ev", """SELECT CAST(id AS VARCHAR) AS id, "user", timestamp, date, event_type, CAST(sum(opens) OVER w AS INTEGER) AS session, CAST(row_number() OVER w AS INTEGER) AS place FROM (
+  SELECT *, CASE WHEN event_type = 'Logon' OR date_sub('second', lag(timestamp) OVER w, timestamp) > 1800 THEN 1 ELSE 0 END AS opens FROM (SELECT *, CASE kind WHEN 'view' THEN 'Logon' ELSE kind END AS event_type FROM ev)
+  WINDOW w AS (PARTITION BY "user", date ORDER BY timestamp, CAST(id AS VARCHAR))) WINDOW w AS (PARTITION BY "user", date ORDER BY timestamp, CAST(id AS VARCHAR) ROWS UNBOUNDED PRECEDING)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream of all events, which comes in three parts and is stopped and started again between them."""
+    kind = F.when(F.col("kind") == "view", "Logon").otherwise(F.col("kind"))
+    rows = views.events(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "user", F.col("timestamp").cast("timestamp").alias("timestamp"), kind.alias("event_type"))
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    day = F.dayofmonth("timestamp")
+    last = rows.agg(F.timestamp_add("DAY", F.lit(9), F.max("timestamp")).alias("timestamp"))
+    # a last row of no user's moves the watermark behind all others
+    end = last.select(F.lit("end").alias("id"), F.lit("~").alias("user"), "timestamp", F.lit(None).cast("string").alias("event_type"))
+    for part in (rows.where(day < 11), rows.where((day >= 11) & (day < 21)), rows.where(day >= 21), end):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = state.day_sessions(live.replay(spark, f"{folder}/in", rows.schema, files_per_trigger=1000))
+        live.write_available(stream, f"{folder}/state").foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 def stream_folder(spark: SparkSession, rows: DataFrame) -> str:
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/in")

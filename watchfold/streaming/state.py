@@ -13,9 +13,9 @@ from ..operators.sequences import GAP_MINUTES
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT = "ms bigint, id string, event_type string"
+EVENT = "us bigint, id string, event_type string"
 NUMBERED = f"user string, day bigint, {EVENT}, session int, place int"
-DAY_MS = 86_400_000
+DAY_MS, DAY_US = 86_400_000, 86_400_000_000
 
 
 def with_rocks(spark: SparkSession) -> None:
@@ -30,16 +30,16 @@ class DaySessions(StatefulProcessor):
     watermark lets nothing of the day in any more and its state goes.
     """
 
-    def __init__(self, gap_ms: int, logoff_starts: bool):
-        self.gap_ms, self.opening = gap_ms, ("logon", "logoff") if logoff_starts else ("logon",)
+    def __init__(self, gap_seconds: int, logoff_starts: bool):
+        self.gap_seconds, self.opening = gap_seconds, ("logon", "logoff") if logoff_starts else ("logon",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", EVENT)
-        self.last = handle.getValueState("last", "ms bigint, session int, place int")
+        self.last = handle.getValueState("last", "us bigint, session int, place int")
 
     def wait(self, day: int, held: list[tuple]) -> None:
-        due = min((x[0] for x in held), default=(day + 1) * DAY_MS)
+        due = min((-(-x[0] // 1000) for x in held), default=(day + 1) * DAY_MS)
         for timer in list(self.handle.listTimers()):
             if timer == due:
                 return
@@ -47,7 +47,7 @@ class DaySessions(StatefulProcessor):
         self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [tuple(r) for batch in rows for r in batch[["ms", "id", "event_type"]].astype(object).itertuples(index=False)]
+        fresh = [tuple(r) for batch in rows for r in batch[["us", "id", "event_type"]].astype(object).itertuples(index=False)]
         self.waiting.appendList(fresh)
         self.wait(key[1], [tuple(x) for x in self.waiting.get()])
         return iter(())
@@ -55,14 +55,14 @@ class DaySessions(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
         held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        done, rest = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
+        done, rest = [x for x in held if x[0] <= now * 1000], [x for x in held if x[0] > now * 1000]
         before, session, place = self.last.get() if self.last.exists() else (None, 0, 0)
         out = []
-        for ms, id_, kind in done:
+        for us, id_, kind in done:
             # a gap of more than so many minutes opens a session, one of just as many does not
-            session += int(kind is not None and kind.lower() in self.opening or before is not None and (ms - before) // 1000 * 1000 > self.gap_ms)
-            before, place = ms, place + 1
-            out.append((*key, ms, id_, kind, session, place))
+            session += int(kind is not None and kind.lower() in self.opening or before is not None and (us - before) // 1_000_000 > self.gap_seconds)
+            before, place = us, place + 1
+            out.append((*key, us, id_, kind, session, place))
         self.waiting.clear()
         if rest:
             self.waiting.put(rest)
@@ -73,7 +73,7 @@ class DaySessions(StatefulProcessor):
                 self.last.update((before, session, place))
             self.wait(key[1], rest)
         if out:
-            yield pd.DataFrame(out, columns=["user", "day", "ms", "id", "event_type", "session", "place"])
+            yield pd.DataFrame(out, columns=["user", "day", "us", "id", "event_type", "session", "place"])
 
     def close(self) -> None:
         pass
@@ -87,10 +87,10 @@ def day_sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES, logoff_start
     with_rocks(events.sparkSession)
     at = F.col("timestamp").cast("timestamp")
     rows = events.where("user IS NOT NULL AND timestamp IS NOT NULL").select(at.alias("timestamp"), "user", F.col("id").cast("string").alias("id"), "event_type").withWatermark("timestamp", late)
-    ms = F.unix_millis("timestamp")
-    keyed = rows.select("timestamp", "user", "id", "event_type", ms.alias("ms"), F.floor(ms / DAY_MS).cast("long").alias("day"))
-    found = keyed.groupBy("user", "day").transformWithStateInPandas(DaySessions(gap_minutes * 60_000, logoff_starts), NUMBERED, "Append", "EventTime")
-    return found.select("id", "user", F.timestamp_millis("ms").alias("timestamp"), F.to_date(F.timestamp_millis("ms")).alias("date"), "event_type", "session", "place")
+    us = F.unix_micros("timestamp")
+    keyed = rows.select("timestamp", "user", "id", "event_type", us.alias("us"), F.floor(us / DAY_US).cast("long").alias("day"))
+    found = keyed.groupBy("user", "day").transformWithStateInPandas(DaySessions(gap_minutes * 60, logoff_starts), NUMBERED, "Append", "EventTime")
+    return found.select("id", "user", F.timestamp_micros("us").alias("timestamp"), F.to_date(F.timestamp_micros("us")).alias("date"), "event_type", "session", "place")
 
 
 class LatestAlerts(StatefulProcessor):
