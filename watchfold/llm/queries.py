@@ -105,6 +105,9 @@ def op11_fm_index_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents"), variants.with_losses))
 
 
+SQL["op11_fm_index_variants"] = variants.REPORT_SQL
+
+
 @query
 def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

