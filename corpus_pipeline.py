@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from watchfold.llm import langid, linededup, minhash, mixing, packing
-from watchfold.llm.common import checkpoint_folder
+from watchfold.llm.common import checkpoint_folder, checkpointed, discard
 from watchfold.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that cost over langid.MAX_BITS bits a byte in every learned language, go."""
+    """Documents without a letter, of too few letters, or that cost over langid.MAX_BITS bits a byte in every learned language, go."""
     return langid.keep_identified(docs)
 
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity 0.8 and more."""
+    """One document of each group stays: op8's sets (shingles of two words), similarity 0.8 and more."""
     return minhash.dedup_documents(docs)
 
 
@@ -53,6 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
+            out = checkpointed(out)
+            discard(spark, folder)
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
