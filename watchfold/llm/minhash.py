@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, sent, text_key
+from .common import checkpointed, discard, sent, stored, text_key
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -229,31 +229,43 @@ def settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, component) of the classes with links. classes: node, th1, th2, bands."""
+    """(node, component) of the classes with links. classes: node, th1, th2, bands.
+
+    What has a row for each class and band is kept as Parquet, which takes a fraction of a checkpoint, until it is done with.
+    """
+    spark, folders = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, folder = stored(df, name)
+        folders.append(folder)
+        return df
+
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = checkpointed(spread.join(several, "bucket"))
+    met = kept(spread.join(several, "bucket"), "met")
     wanted = checkpointed(met.select("node").distinct().join(classes.select("node", "th1", "th2"), "node"))
     sets = checkpointed(full_sets(docs, wanted, width))
     # nodes in a new order: those that share most of their shingles first, as they make the best pivots
     known = occurrences(sets).where(100 * F.col("c") >= percent * F.col("n")).withColumn("own", 1 - F.col("c") / F.col("n"))
     ranked = checkpointed(known.repartitionByRange("own", "node").sortWithinPartitions("own", "node").withColumn("id", F.monotonically_increasing_id()))
-    members = checkpointed(met.join(ranked, "node").select("bucket", F.col("id").alias("node"), "n", "c"))
+    members = kept(met.join(ranked, "node").select("bucket", F.col("id").alias("node")), "members")
     sets = sets.join(ranked.select("node", "id"), "node").select(F.col("id").alias("node"), "set")
     sizes = ranked.select("id", "n", "c")
     pivots = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    members = checkpointed(members.join(pivots, "bucket"))
+    members = kept(members.join(pivots, "bucket"), "pivots")
     pairs = members.where("node != a").select("a", F.col("node").alias("b")).distinct()
     pairs = pairs.join(sizes.toDF("a", "na", "ca"), "a").join(sizes.toDF("b", "nb", "cb"), "b").where(can_link(percent, "na", "ca", "nb", "cb"))
     scored = checkpointed(measured(pairs, sets, percent))
     links = scored.where("alike").select("a", "b")
     labels = components(links)
     # what is not in its bucket's first component meets all that is in another
-    named = checkpointed(members.join(labels, "node", "left").select("bucket", F.col("a").alias("pivot"), "node", F.coalesce("component", "node").alias("component")))
+    named = kept(members.join(labels, "node", "left").select("bucket", F.col("a").alias("pivot"), "node", F.coalesce("component", "node").alias("component")), "named")
     first = named.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").drop("last")
     more = checkpointed(settled(named.join(first, "bucket"), sets, percent))
     if not more.isEmpty():
         labels = components(checkpointed(links.unionByName(more)))
+    for folder in folders:
+        discard(spark, folder)
     return labels.join(ranked.select(F.col("node").alias("class"), "id"), F.col("node") == F.col("id")).select(F.col("class").alias("node"), "component")
 
 
