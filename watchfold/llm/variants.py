@@ -10,8 +10,9 @@ Before the cut only the word's own symbol is taken; behind it, once, any other s
 both schemes find count in the first.
 
 The vocabulary is dealt to shards by the first code points of a word (of its mirror image for the second scheme), which
-near words share where the half is whole. Each shard has its own indices, of shard_words words or so; a group of more words
-is split by hash, and its words ask in every part. What leaves a shard is one row for an asking word: its number of near
+near words share where the half is whole. Each shard has its own indices, of shard_words words or so (a word counts once
+for every WORD_LENGTH code points, so that long words do not make a shard large); a group of more is split by hash, and its
+words ask in every part. What leaves a shard is one row for an asking word: its number of near
 words, and the best of them.
 
 A word's form is its near word of the largest n (ties: the smallest in code-point order), if that is `ratio` times the
@@ -36,6 +37,7 @@ RUN = r"[A-Za-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 #: Words of a shard: SHARD_WORDS, or fewer where that makes fewer shards than cores, down to LEAST_WORDS.
 SHARD_WORDS, LEAST_WORDS = 32768, 2048
+WORD_LENGTH = 16
 #: Rows of an interval that are compared with the asking word, and not extended.
 NARROW = 12
 #: Code points up to which words are compared as rows of a matrix; and symbols of one block of asking words.
@@ -244,11 +246,16 @@ def with_losses(id_: Column, run: Column) -> Column:
     return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))).otherwise(run)
 
 
+def weight() -> Column:
+    """How many words a word counts as."""
+    return F.ceil(F.char_length("word") / WORD_LENGTH)
+
+
 def dealt(words: DataFrame, second: bool, key: int, shard_words: int, n_words: int) -> DataFrame:
     """(second, shard, kind, word, n): each word in the shard that holds it (kind 0), and in those that it asks (kind 1)."""
     filed = words.withColumn("group", F.substring(F.reverse("word") if second else F.col("word"), 1, key))
     # groups of more than shard_words words: no more than n_words / shard_words
-    hot = filed.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard_words)
+    hot = filed.groupBy("group").agg(F.sum(weight()).alias("size")).where(F.col("size") > shard_words)
     hot = F.broadcast(hot.select("group", F.ceil(F.col("size") / shard_words).cast("int").alias("parts")))
     small = F.pmod(F.xxhash64("group"), F.lit(max(1, -(-n_words // shard_words))))
     placed = filed.join(hot, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -260,7 +267,7 @@ def dealt(words: DataFrame, second: bool, key: int, shard_words: int, n_words: i
 
 def nearest(words: DataFrame, min_length: int = MIN_LENGTH, shard_words: int | None = None) -> DataFrame:
     """(word, n_near, best_n, best) of all words that have near ones. words: (word, n), distinct, of min_length code points or more (2 at least)."""
-    n_words = words.count()
+    n_words = words.agg(F.coalesce(F.sum(weight()), F.lit(0))).first()[0]
     if shard_words is None:
         shard_words = max(LEAST_WORDS, min(SHARD_WORDS, -(-n_words // words.sparkSession.sparkContext.defaultParallelism)))
     half = min_length // 2
