@@ -41,3 +41,15 @@ def test_against_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_sequence_sums_at_ties(spark, tmp_path):
+    """Two days whose sums weighed by place are ties at the fourth decimal, but for what binary numbers lose."""
+    tables = duckdb.connect()
+    tables.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.01/events.parquet' WHERE (user_id, CAST(ts AS DATE)) IN ((14, DATE '2024-01-13'), (134, DATE '2024-01-24'))) TO '{tmp_path}/events.parquet'")
+    tables.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df, expected = queries.QUERIES["sequence_sums"](spark, str(tmp_path)), tables.sql(queries.SQL["sequence_sums"])
+    wanted = sorted(df.columns)
+    got = rows(df.collect(), df.columns, wanted)
+    assert got == rows(expected.fetchall(), expected.columns, wanted)
+    assert sorted(r[wanted.index("w_session_progress")] for r in got) == [0.0288, 0.3137]

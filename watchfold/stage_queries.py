@@ -332,7 +332,8 @@ def sequence_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sequences.encoded(base.unified(spark, sf_dir))
     cells = out.select("user", "date", "seq_len", F.posexplode("sequence").alias("at", "x"))
     names = [(k, x) for k, x in enumerate(sequences.FEATURES)]
-    total = lambda value, name: F.round(F.sum(value), 4).alias(name)
+    # as SQL rounds: the scaled binary sum, not its shortest decimal (0.028749999999999998 goes to 0.0288, and its decimals to 0.0287)
+    total = lambda value, name: (F.round(F.sum(value) * 10_000) / 10_000).alias(name)
     blank = F.when(F.col("at") >= F.col("seq_len"), sum((F.col("x")[k] == 0).cast("long") for k, _ in names))
     return cells.groupBy("user", "date", "seq_len").agg(
         *[total(F.col("x")[k], f"s_{x}") for k, x in names], *[total((F.col("at") + 1) * F.col("x")[k], f"w_{x}") for k, x in names], F.coalesce(F.sum(blank), F.lit(0).cast("long")).alias("zeros")
