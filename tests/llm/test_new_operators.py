@@ -4,13 +4,15 @@ import hashlib
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
-from watchfold.llm import decontaminate, mining, queries, variants
+from watchfold.llm import decontaminate, langid, minhash, mining, packing, queries, variants
 
 DOCS = "doc_id long, text string, row string, words int, term int, doc long"
 SF = "/root/testdata/sf0.001"
@@ -286,3 +288,20 @@ def test_memory_of_full_shards(module, work, dim):
     """Of a tile, beside its shard of 32 MB."""
     done = subprocess.run([sys.executable, "-c", PEAK.format(module=module, work=work, dim=dim)], capture_output=True, text=True, check=True, cwd=queries.__file__.rsplit("/watchfold", 1)[0])
     assert float(done.stdout) < 250
+
+
+def test_memory_of_python_workers(spark):
+    """Language identification, sets and packing get few texts at once, and language identification scores few bytes at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text", "'en' AS lang", "'a' AS source").coalesce(1)
+    for work in (langid.identify, minhash.near_duplicates, packing.pack):
+        spark.conf.unset(name)
+        assert work(docs).count() >= 2000
+        assert max(r["n"] for r in docs.mapInPandas(sizes, "n long").collect()) <= 512
+    model = langid.Model(["a", "b", "c", "d"], pd.DataFrame({"lang": ["a"], "ord": [0], "key": [97], "n": [1]}))
+    tracemalloc.start()
+    model.lengths([b"some text " * 400_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20

@@ -13,12 +13,22 @@ from ..session import checkpoint_folder, checkpointed, discard  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a side up to which it is sent to all executors.
 BROADCAST_BYTES = 64 << 20
+#: Rows of text or of sets that Spark hands to a Python worker at once.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand Python workers BATCH_ROWS rows at once at most, where it would hand more: a whole split of texts
+    is held several times over, by the worker and outside the executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written as Parquet to the checkpoint folder and read back, and its folder, to be discarded when it is done with."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 1500
@@ -44,7 +44,7 @@ SPACE = bytes([*range(9, 14), 32, *range(0x80, 0xC0)])
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n" * ORDER
 #: Positions scored at once, and text bytes gathered for that.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,6 +201,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 def predictor(docs: DataFrame, model: Model):
     """A column function: text to struct(lang, score, bits, letters)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, bits double, letters double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, discard, sent, stored, text_key
+from .common import checkpointed, discard, sent, small_batches, stored, text_key
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -271,6 +271,7 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, th1, th2, n_shingles, component_id, and lead: whether the row comes first of its component."""
+    small_batches(docs.sparkSession)
     signed = checkpointed(signatures(docs, width, bands, rows))
     classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("th1", "th2")).alias("th"), F.first("bands").alias("bands"))
     classes = checkpointed(classes.select("f1", "f2", "th.th1", "th.th2", "bands", F.monotonically_increasing_id().alias("node")))

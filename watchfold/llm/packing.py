@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -162,6 +162,7 @@ COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, **tokens) -> DataFrame:
     """The pieces with sequence_id and offset, and gap: by how many bins its last partition may miss the least number."""
+    small_batches(docs.sparkSession)
     pieces = checkpointed(cut(docs, capacity, **tokens))
     full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     of = np.zeros(capacity + 1, np.int64)
