@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from watchfold.llm import decontaminate, langid, minhash, mining, packing, queries, variants
+from watchfold.llm.components import components
 
 DOCS = "doc_id long, text string, row string, words int, term int, doc long"
 SF = "/root/testdata/sf0.001"
@@ -305,3 +306,35 @@ def test_memory_of_python_workers(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+# Components
+
+
+@pytest.mark.parametrize("kind", ["none", "pairs", "chain", "random"])
+def test_components_against_brute_force(spark, kind):
+    rng = np.random.default_rng(3)
+    links = {"none": [], "pairs": [(2, 1), (1, 2), (5, 5), (7, 9)], "chain": [(k, k + 1) for k in rng.permutation(300).tolist()], "random": rng.integers(0, 400, (230, 2)).tolist()}[kind]
+    least = {x: x for a, b in links for x in (a, b) if a != b}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    out = components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, out.collect())) == sorted(least.items())
+
+
+def test_rounds_of_components(spark):
+    """Stars around the least nodes are seen as such without a round; with links between them they take two rounds."""
+    context, counted = spark.sparkContext, []
+    stars = [(1000 * (k % 7), 1000 * (k % 7) + k) for k in range(7, 700)]
+    for name, links in (("stars", stars), ("tied", [*stars, (3010, 5012), (2009, 4011)])):
+        df = spark.createDataFrame(links, "a long, b long")
+        context.setJobGroup(f"components-{name}", name)
+        out = components(df)
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components-{name}")]
+        counted.append(len({s for j in jobs for s in j.stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks}))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert out.where("component % 1000 = 0").count() == out.count()
+    assert counted[0] <= 6 and counted[1] <= 30

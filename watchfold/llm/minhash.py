@@ -263,7 +263,9 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     first = named.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").drop("last")
     more = checkpointed(settled(named.join(first, "bucket"), sets, percent))
     if not more.isEmpty():
-        labels = components(checkpointed(links.unionByName(more)))
+        # from the stars there are, not from all links again
+        stars = labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(stars.unionByName(more))
     for folder in folders:
         discard(spark, folder)
     return labels.join(ranked.select(F.col("node").alias("class"), "id"), F.col("node") == F.col("id")).select(F.col("class").alias("node"), "component")
