@@ -53,3 +53,18 @@ def test_sequence_sums_at_ties(spark, tmp_path):
     got = rows(df.collect(), df.columns, wanted)
     assert got == rows(expected.fetchall(), expected.columns, wanted)
     assert sorted(r[wanted.index("w_session_progress")] for r in got) == [0.0288, 0.3137]
+
+
+def planted_files(spark, name, monkeypatch):
+    """The raw files that a query of planted lines reads."""
+    from watchfold import stage_queries
+
+    read = []
+    monkeypatch.setattr(stage_queries, "planted", lambda *args, planted=stage_queries.planted: read.append(planted(*args)) or read[-1])
+    queries.QUERIES[name](spark, SF)
+    return read[0].inputFiles()
+
+
+def test_raw_rejects_reads_few_files(spark, monkeypatch):
+    """A file with a header for each task that writes, not one for each of 1,500 lines."""
+    assert 0 < len(planted_files(spark, "raw_rejects", monkeypatch)) <= 32

@@ -61,13 +61,12 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     order = c("id").cast("long")
     whole = F.concat_ws(",", "id", "date", "user", F.lit("pc-1"), F.concat(F.lit('"'), "to", F.lit('"')), F.lit(""), F.lit(""), "from", F.when(order % 11 == 0, F.lit("much")).otherwise(c("size").cast("string")), c("attachments").cast("string"), F.lit('"a, b"'))
-    rows = raw_tables(spark, sf_dir)["email"].withColumn("line", F.when(order % 7 == 0, F.concat_ws(",", "id", "date", "user")).otherwise(whole))
+    lines = raw_tables(spark, sf_dir)["email"].select(F.when(order % 7 == 0, F.concat_ws(",", "id", "date", "user")).otherwise(whole).alias(",".join(schemas.SOURCES["email"].schema.names)))
     folder = f"{checkpoint_folder(spark)}/raw-{uuid.uuid4().hex}"
-    rows.select("line").write.text(folder)
-    # each file begins with a line that is taken for the header
-    lines = spark.read.option("wholetext", "true").text(folder).select(F.concat(F.lit("id,date,user,pc,to,cc,bcc,from,size,attachments,content\n"), F.rtrim("value", F.lit("\n"))))
-    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}-headed")
-    return readers.read_csv(spark, f"{folder}-headed", "email", keep_raw=True)
+    # one column under the header's name, and lines as they stand: a file for each task, with the header at its top
+    as_is = {"sep": "\x01", "quote": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines.write.options(header="true", **as_is).csv(folder)
+    return readers.read_csv(spark, folder, "email", keep_raw=True)
 
 
 MAIL_LINE = """SELECT id, CASE WHEN id % 7 = 0 THEN 'fields: 3' WHEN id % 11 = 0 THEN 'values: size' END AS reason, strftime(timestamp, '%m/%d/%Y %H:%M:%S') AS d, * EXCLUDE (id) FROM mail"""
