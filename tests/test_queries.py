@@ -68,3 +68,7 @@ def planted_files(spark, name, monkeypatch):
 def test_raw_rejects_reads_few_files(spark, monkeypatch):
     """A file with a header for each task that writes, not one for each of 1,500 lines."""
     assert 0 < len(planted_files(spark, "raw_rejects", monkeypatch)) <= 32
+
+
+def test_raw_without_rejects_reads_few_files(spark, monkeypatch):
+    assert 0 < len(planted_files(spark, "raw_without_rejects", monkeypatch)) <= 32
