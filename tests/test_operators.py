@@ -361,3 +361,34 @@ def test_graph_queries_at_a_larger_scale(spark, name):
     sums = ", ".join(f"sum({c}) AS {c}" for c, kind in got.dtypes if kind in ("bigint", "int", "double"))
     mine, expected = got.selectExpr("count(*) AS n", *sums.split(", ")).first(), base.sql(f"SELECT count(*) AS n, {sums} FROM ({queries.SQL[name]})").fetchall()[0]
     assert [float(x) for x in mine] == pytest.approx([float(x) for x in expected], rel=1e-9)
+
+
+def test_shared_machines_in_words_and_blocks(spark):
+    """Machines within 64 and beyond, several blocks, node numbers and rounding, against brute force."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = {(s, f"pc{rng.choice((rng.randrange(m), 0))}", f"u{rng.randrange(60)}") for s, m in (("2024-01-31", 300), ("2024-02-29", 5), (None, 30)) for _ in range(900)}
+    events = spark.createDataFrame([*rows, *rows], "snapshot string, pc string, user string")
+    number = {f"u{k}": k * 7 for k in range(55)}
+    numbers = spark.createDataFrame([*number.items()], "user string, node long")
+    expected = {}
+    for s, pc in {(s, pc) for s, pc, _ in rows if s}:
+        for a, b in itertools.permutations(sorted(u for t, p, u in rows if (t, p) == (s, pc)), 2):
+            expected[s, a, b] = expected.get((s, a, b), 0) + 1
+    for block in (7, 1000):
+        edges = graph.edges_shared_pc(events.where("snapshot IS NOT NULL"), block, numbers, 6)
+        got = {(r["snapshot"], r["user"], r["user2"]): r for r in edges.collect()}
+        assert {k: r["weight"] for k, r in got.items()} == expected and edges.count() == len(expected)
+        assert all((r["user_node"], r["user2_node"]) == (number.get(r["user"]), number.get(r["user2"])) for r in got.values())
+        assert all(abs(r["log_weight"] - round(math.log1p(r["weight"]), 6)) < 1e-12 for r in got.values())
+
+
+def test_shared_machines_group_no_pairs(spark):
+    """Where blocks share 64 machines at most, what comes of the pairs of users is neither grouped nor sorted."""
+    events = spark.createDataFrame([("pc1", "u1"), ("pc1", "u2")], "pc string, user string")
+    plan = graph.edges_shared_pc(events)._jdf.queryExecution().executedPlan().toString().splitlines()
+    first = next(k for k, line in enumerate(plan) if "Generate explode(right" in line)
+    assert not any(x in line for line in plan[:first] for x in ("Aggregate", "Sort", "Exchange", "Join"))

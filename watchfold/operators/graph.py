@@ -13,7 +13,7 @@ from ..functions import timeops
 
 WINDOW_DAYS = 30
 #: Users of a block, where the edges of shared machines are counted.
-BLOCK_USERS = 256
+BLOCK_USERS = 1024
 # Places of the one-hot domain categories; later ones are all zero.
 DOMAIN_CATEGORIES = (
     "advertising blog business cdn chat climate cloudprovider commercial cryptocurrency dating download drugs education entertainment file_transfer "
@@ -216,28 +216,60 @@ def edges_device_on(device: DataFrame) -> DataFrame:
     return device.groupBy(*by).agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("log_n"), (F.log1p(seconds) / 10).alias("log_seconds"), F.count(F.lit(1)).alias("weight"))
 
 
-def edges_shared_pc(events: DataFrame, block_users: int = BLOCK_USERS) -> DataFrame:
-    """User to user, both ways: machines that both used, and log1p of that.
+def edges_shared_pc(events: DataFrame, block_users: int = BLOCK_USERS, numbers: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """User to user, both ways: machines that both used, and log1p of that (rounded to so many digits).
+
+    numbers: (user, node), for the node numbers of both as user_node and user2_node; users without one have null.
 
     The product of the sparse user-by-machine matrix with its transpose, in blocks of users. A machine's users are listed
     by block, and each list goes to the pairs of blocks of which the machine has users. A task holds whole pairs of
-    blocks: it multiplies their lists, machine by machine, and sums in place, so that pairs of users are never shuffled,
-    and a machine of many users is spread over as many tasks as it has pairs of blocks.
+    blocks: it numbers the machines that a pair of blocks shares, makes 64 of them a word of each user's bits, and counts
+    the bits that two users share. Only where a pair of blocks shares more machines are counts of words added up. So
+    pairs of users are never shuffled, and hardly ever grouped; a machine of many users is spread over as many tasks as
+    it has pairs of blocks.
     """
-    by = keyed(events, "pc")
+    spark = events.sparkSession
+    by, place = keyed(events, "pc"), keyed(events, "i", "j")
     used = events.select(*by, "user").where("pc IS NOT NULL AND user IS NOT NULL").distinct()
     blocks = max(1, -(-used.agg(F.approx_count_distinct("user")).first()[0] // block_users))
-    cells = used.withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks))).groupBy(*by, "block").agg(F.collect_list("user").alias("users"))
+    if numbers is not None:
+        used = used.join(numbers.select("user", F.col("node").alias("user_node")), "user", "left")
+    user = F.struct(*used.drop(*by).columns)
+    cells = used.withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks))).groupBy(*by, "block").agg(F.collect_list(user).alias("users"))
     met = cells.groupBy(*by).agg(F.collect_list("block").alias("blocks"))
     sent = cells.join(met, by).withColumn("other", F.explode("blocks"))
-    place = keyed(events, "i", "j")
     lower = F.col("block") <= F.col("other")
     sent = sent.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(lower, F.col("users")).alias("left"), F.when(F.col("block") >= F.col("other"), F.col("users")).alias("right"))
-    tiles = sent.repartition(*place).groupBy(*place, "pc").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"))
-    pairs = tiles.select(*place, "right", F.explode("left").alias("a")).select(*place, "a", F.explode("right").alias("b")).where("i < j OR a < b")
-    summed = pairs.groupBy(*place, "a", "b").agg(F.count(F.lit(1)).alias("weight"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("user"), F.col("b").alias("user2")), F.struct(F.col("b").alias("user"), F.col("a").alias("user2"))))
-    return summed.select("*", both.alias("x")).select(*keyed(events, "x.user", "x.user2"), "weight", F.log1p(F.col("weight").cast("double")).alias("log_weight"))
+    # few rows are sent, and many come of them: not fewer tasks than partitions, and not many pairs of blocks in one
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // 16)
+    tiles = sent.repartition(parts, *place).groupBy(*place, "pc").agg(F.first("left", True).alias("left"), F.first("right", True).alias("right"))
+    one = Window.partitionBy(*place)
+    tiles = tiles.withColumns({"n": F.row_number().over(one.orderBy("pc")) - 1, "machines": F.count(F.lit(1)).over(one)})
+
+    def counted(some: DataFrame, *keys: str) -> DataFrame:
+        """Pairs of users of a pair of blocks (and word), with the number of its machines that both used."""
+        sides = F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("left").alias("users")), F.struct(F.lit(False).alias("first"), F.col("right").alias("users"))))
+        bits = some.select(*place, *keys, F.expr("shiftleft(1L, n % 64)").alias("bit"), sides.alias("side")).select(*place, *keys, "bit", "side.first", F.explode("side.users").alias("who"))
+        masks = bits.groupBy(*place, *keys, "first", "who").agg(F.bit_or("bit").alias("mask"))
+        member = F.struct("who.*", "mask")
+        lists = masks.groupBy(*place, *keys).agg(F.collect_list(F.when(F.col("first"), member)).alias("left"), F.collect_list(F.when(~F.col("first"), member)).alias("right"))
+        turned = F.when(F.expr("i = j"), F.array(F.struct("left", "right"))).otherwise(F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right"))))
+        # generated code holds all rows that come of one given row: a higher-order function ends it, so that these are one user's pairs
+        lefts = F.explode(F.filter("t.left", lambda a: a["mask"] != 0))
+        both = lists.select(*place, *keys, F.explode(turned).alias("t")).select(*place, *keys, "t.right", lefts.alias("a")).select(*place, *keys, "a", F.explode("right").alias("b"))
+        return both.where("a.mask & b.mask <> 0 AND (i <> j OR a.user <> b.user)").withColumn("weight", F.bit_count(F.col("a.mask").bitwiseAND(F.col("b.mask"))))
+
+    def told(pairs: DataFrame, log: Column) -> DataFrame:
+        nodes = [] if numbers is None else [F.col("a.user_node").alias("user_node"), F.col("b.user_node").alias("user2_node")]
+        return pairs.select(*keyed(events), F.col("a.user").alias("user"), F.col("b.user").alias("user2"), F.col("weight").cast("long").alias("weight"), log.alias("log_weight"), *nodes)
+
+    rounded = lambda x: x if digits is None else F.round(x, digits)
+    logs = F.array(*[rounded(F.log1p(F.lit(float(k)))) for k in range(65)])  # a constant: looked up, not worked out for each pair
+    few = told(counted(tiles.where("machines <= 64")), F.get(logs, F.col("weight")))
+    words = counted(tiles.where("machines > 64").withColumn("word", F.expr("n DIV 64")), "word")
+    plain = [F.struct(*[F.col(f"{x}.{c}") for c in used.drop(*by).columns]).alias(x) for x in "ab"]
+    summed = words.select(*place, *plain, "weight").groupBy(*place, "a", "b").agg(F.sum("weight").alias("weight"))
+    return few.unionByName(told(summed, rounded(F.log1p(F.col("weight").cast("double")))))
 
 
 def edges_monthly(events: DataFrame) -> DataFrame:

@@ -509,9 +509,9 @@ def edges_used_pc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ev", f"""SELECT snapshot, "user", user2, weight, ln(1 + weight) AS log_weight FROM (SELECT a.snapshot, a."user", b."user" AS user2, count(*) AS weight FROM (SELECT DISTINCT snapshot, "user", pc FROM {SNAP}) a
-  JOIN (SELECT DISTINCT snapshot, "user", pc FROM {SNAP}) b ON a.snapshot = b.snapshot AND a.pc = b.pc AND a."user" <> b."user" GROUP BY 1, 2, 3)""", "log_weight")
+  JOIN (SELECT DISTINCT snapshot, "user", pc FROM {SNAP}) b ON a.snapshot = b.snapshot AND a.pc = b.pc AND a."user" <> b."user" GROUP BY 1, 2, 3)""", "log_weight", rounded=True)
 def edges_shared_pc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges_shared_pc(graph.snapshots(views.events(spark, sf_dir)))
+    return graph.edges_shared_pc(graph.snapshots(views.events(spark, sf_dir)), digits=6)
 
 
 @query("mail", """SELECT "user", sender_domain, ln(1 + count(*)) AS log_n, ln(1 + sum(size)) / 20 AS log_size, ln(1 + sum(attachments)) / 15 AS log_attachments, avg(CAST(external AS INT)) AS external,

@@ -16,15 +16,15 @@ SQL: dict[str, str] = {}
 Build = Callable[[SparkSession, str], DataFrame]
 
 
-def query(tables: str | None = None, sql: str | None = None, rounds: str = "") -> Callable[[Build], Build]:
-    """Registers a query under its function's name. tables: SQL views that sql needs; rounds: doubles compared to 6 places."""
+def query(tables: str | None = None, sql: str | None = None, rounds: str = "", rounded: bool = False) -> Callable[[Build], Build]:
+    """Registers a query under its function's name. tables: SQL views that sql needs; rounds: doubles compared to 6 places (rounded: it does so itself)."""
 
     def register(build: Build) -> Build:
         @wraps(build)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
             df = build(spark, sf_dir)
-            return df.withColumns({c: F.round(c, 6) for c in rounds.split()}) if rounds else df
+            return df.withColumns({c: F.round(c, 6) for c in rounds.split()}) if rounds and not rounded else df
 
         QUERIES[build.__name__] = run
         if sql is not None:
