@@ -146,3 +146,20 @@ def test_messages_are_delivered_once(spark, tmp_path):
     assert sorted(got()) == list(range(120))
     run()
     assert len(got()) == 120
+
+
+def test_day_sessions_of_users_in_one_bucket(spark, tmp_path):
+    """Users who share a key of state, in two runs: fewer keys than user-days, and the numbers of the batch."""
+    rows, source, out = events(7, 150), f"{tmp_path}/in", f"{tmp_path}/out"
+    timers = []
+    for part in (rows[:70], [*rows[70:], ("end", "zz", datetime(2024, 4, 1), "HTTP")]):
+        fed(spark, source, [part])
+        stream = state.day_sessions(live.replay(spark, source, spark.read.schema(SCHEMA).parquet(source).schema), buckets=2)
+        query = live.write_available(stream, f"{tmp_path}/state").foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).start()
+        query.awaitTermination()
+        timers += [p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress if p["stateOperators"]]
+    names = ["id", "user", "timestamp", "date", "event_type", "session", "place"]
+    expected = sequences.sessions(spark.createDataFrame(rows, SCHEMA).withColumn("date", F.to_date("timestamp")))
+    got = sorted(map(str, spark.read.parquet(out).select(names).collect()))
+    assert got == sorted(map(str, expected.select(names).collect())) and len(got) == 150
+    assert 0 < max(timers) <= 2
