@@ -392,3 +392,15 @@ def test_shared_machines_group_no_pairs(spark):
     plan = graph.edges_shared_pc(events)._jdf.queryExecution().executedPlan().toString().splitlines()
     first = next(k for k, line in enumerate(plan) if "Generate explode(right" in line)
     assert not any(x in line for line in plan[:first] for x in ("Aggregate", "Sort", "Exchange", "Join"))
+
+
+def test_shared_machines_are_numbered_before_they_are_paired(spark):
+    """Edges of the graph's tables: no join, and with it no exchange, of pairs of users."""
+    from watchfold.plans import pipelines
+    from watchfold.sources import adapters
+
+    _, edges = pipelines.graph_tables({"logon": adapters.logon(spark, "/root/testdata/sf0.001")})
+    assert {"user_node", "user2_node"} <= set(edges["shared_pc"].columns)
+    plan = edges["shared_pc"]._jdf.queryExecution().executedPlan().toString().splitlines()
+    first = next(k for k, line in enumerate(plan) if "Generate explode(right" in line)
+    assert not any(x in line for line in plan[:first] for x in ("Aggregate", "Sort", "Exchange", "Join"))

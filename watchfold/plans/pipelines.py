@@ -107,7 +107,7 @@ def graph_tables(tables: dict[str, DataFrame], directory: DataFrame | None = Non
     number = {"user": graph.node_index(users, "user"), "pc": graph.node_index(own["logon"], "pc")}
     nodes = {"user": graph.user_nodes(own["logon"]), "pc": graph.pc_nodes(own["logon"])}
     edges = {"used_pc": indexed(graph.edges_used_pc(own["logon"]), {x: number[x] for x in ("user", "pc")})}
-    edges["shared_pc"] = indexed(graph.edges_shared_pc(own["logon"]), {"user": number["user"], "user2": number["user"]})
+    edges["shared_pc"] = graph.edges_shared_pc(own["logon"], numbers=number["user"])  # numbered before they are paired
     if "device" in own:
         edges["device_on"] = indexed(graph.edges_device_on(own["device"]), {x: number[x] for x in ("user", "pc")})
     contacts = []
