@@ -404,3 +404,17 @@ def test_shared_machines_are_numbered_before_they_are_paired(spark):
     plan = edges["shared_pc"]._jdf.queryExecution().executedPlan().toString().splitlines()
     first = next(k for k, line in enumerate(plan) if "Generate explode(right" in line)
     assert not any(x in line for line in plan[:first] for x in ("Aggregate", "Sort", "Exchange", "Join"))
+
+
+def test_partitions_are_written_without_a_sort(spark, tmp_path):
+    from watchfold.sources import sinks
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS snapshot", "id % 2 AS half")
+    for by in ("half", "snapshot"):  # fewer partitions than files are open at a time, and more
+        sinks.write_parquet(rows, f"{tmp_path}/{by}", (by,))
+        plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+        assert "WriteFiles" in plan and "Sort" not in plan
+        got = spark.read.parquet(f"{tmp_path}/{by}")
+        assert sorted(map(tuple, got.select(*rows.columns).collect())) == [(k, k % 7, k % 2) for k in range(1000)]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
